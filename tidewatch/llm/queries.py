@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import secrets
+from tidewatch.llm import mixing, quality_rules, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_mixing_sources": mixing.op5_mixing_sources,
     "op7_secret_scans": secrets.op7_secret_scans,
+    "op8_quality_rules": quality_rules.op8_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_mixing_sources": mixing.ORACLE,
+}
