@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import mixing, quality_rules, secrets
+from tidewatch.llm import compression, mixing, quality_rules, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_mixing_sources": mixing.op5_mixing_sources,
+    "op6_compression_classifier": compression.op6_compression_classifier,
     "op7_secret_scans": secrets.op7_secret_scans,
     "op8_quality_rules": quality_rules.op8_quality_rules,
 }
