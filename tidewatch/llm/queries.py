@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import compression, mixing, quality_rules, secrets, toxicity
+from tidewatch.llm import compression, mixing, packing, quality_rules, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": packing.op1_packing,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_mixing_sources": mixing.op5_mixing_sources,
     "op6_compression_classifier": compression.op6_compression_classifier,
