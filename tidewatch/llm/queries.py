@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import compression, mixing, packing, quality_rules, secrets, toxicity
+from tidewatch.llm import compression, mixing, packing, quality_rules, repeats, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
+    "op3_substring_dedup": repeats.op3_substring_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_mixing_sources": mixing.op5_mixing_sources,
     "op6_compression_classifier": compression.op6_compression_classifier,
@@ -18,5 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": repeats.ORACLE,
     "op5_mixing_sources": mixing.ORACLE,
 }
