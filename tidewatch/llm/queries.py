@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import compression, jaccard, mixing, packing, quality_rules, repeats, secrets, toxicity
+from tidewatch.llm import compression, jaccard, mixing, packing, quality_rules, repeats, secrets, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
@@ -16,11 +16,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_compression_classifier": compression.op6_compression_classifier,
     "op7_secret_scans": secrets.op7_secret_scans,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_exact_top_k": topk.op9_exact_top_k,
     "op10_ngram_jaccard_join": jaccard.op10_ngram_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_substring_dedup": repeats.ORACLE,
     "op5_mixing_sources": mixing.ORACLE,
+    "op9_exact_top_k": topk.ORACLE,
     "op10_ngram_jaccard_join": jaccard.ORACLE,
 }
