@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import compression, jaccard, mixing, packing, quality_rules, repeats, secrets, topk, toxicity
+from tidewatch.llm import compression, jaccard, mixing, packing, pii, quality_rules, repeats, secrets, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
+    "op2_pii": pii.op2_pii,
     "op3_substring_dedup": repeats.op3_substring_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_mixing_sources": mixing.op5_mixing_sources,
