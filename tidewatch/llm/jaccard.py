@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,8 @@ from tidewatch.llm.components import components
 WIDTH, CELL = 5, np.uint64(24)
 #: Sets of a part of a cluster that one call joins; leaves of a tree.
 UNIT, LEAF = 2048, 32
+#: Rows up to which the ids of documents to keep are broadcast.
+SMALL_ROWS = 2_000_000
 ROWS = 20  # bits of a node's number for its place in its block
 
 
@@ -61,13 +64,13 @@ def _sums(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
 
 
 def _keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """node, doc_id, n and the two halves of the set's sum, of each document of blocks."""
+    """node, doc_id, a hash of the text, n and the two halves of the set's sum, of each document of blocks."""
     for pdf in frames:
         for uid, body in zip(pdf["uid"], pdf["body"], strict=True):
             ids, texts = win.opened(body)
             doc, h = sets_of(texts)
             n = len(ids)
-            yield pd.DataFrame({"node": (uid << ROWS) + np.arange(n), "doc_id": pd.array(ids, "Int64"), "n": np.bincount(doc, minlength=n), "f1": _sums(doc, common.mix(h), n), "f2": _sums(doc, common.mix(h ^ win.OFF), n)})
+            yield pd.DataFrame({"node": (uid << ROWS) + np.arange(n), "doc_id": pd.array(ids, "Int64"), "tag": np.array([xxhash.xxh64_intdigest(t or "", 42) for t in texts], np.uint64).view(np.int64), "n": np.bincount(doc, minlength=n), "f1": _sums(doc, common.mix(h), n), "f2": _sums(doc, common.mix(h ^ win.OFF), n)})
 
 
 def _chosen(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -196,9 +199,10 @@ def _links(items: DataFrame, bins: int) -> DataFrame:
 
 
 def classes_and_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class_id (the smallest doc_id of an equal set), component_id."""
+    """doc_id, n_shingles, class_id (the smallest doc_id of an equal set), component_id; also component (a number, null
+    for empty sets), node (the row's number) and tag (xxhash64 of the text, null as empty)."""
     blocks = win.blocks(docs, "jaccard-blocks")
-    keys = common.written(blocks.select("uid", "body").mapInPandas(_keys, "node long, doc_id long, n long, f1 long, f2 long"), "jaccard-keys")
+    keys = common.written(blocks.select("uid", "body").mapInPandas(_keys, "node long, doc_id long, tag long, n long, f1 long, f2 long"), "jaccard-keys")
     classes = common.written(keys.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("node").alias("rep"), F.min("doc_id").alias("class_id")), "jaccard-classes")
     n = win.shards(classes.agg(F.sum("n")).first()[0] or 0, docs)
     mask = (1 << ROWS) - 1
@@ -231,9 +235,9 @@ def classes_and_components(docs: DataFrame) -> DataFrame:
     own = classes.join(labels, classes.rep == labels.node, "left").select("n", "f1", "f2", "class_id", F.coalesce("label", "rep").alias("component"))
     own = common.written(own, "jaccard-components")
     least = own.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    own = own.join(least, "component").select("n", "f1", "f2", "class_id", "component_id")
+    own = own.join(least, "component")
     keyed = keys.join(own, ["n", "f1", "f2"], "left")
-    return keyed.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"), "node")
+    return keyed.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"), "component", "node", "tag")
 
 
 def _prefixes(uid: int, doc: np.ndarray, h: np.ndarray, answers: list[bytes], n: int) -> pd.DataFrame:
@@ -304,6 +308,21 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(l, rows.node == l["at"], "left").withColumn("label", F.coalesce("label", "node")).drop("at")
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns as they are, that have the smallest doc_id of their component (a null one only if
+    there is no other), one each; all rows without words."""
+    found = common.written(classes_and_components(docs).where("component IS NOT NULL"), "jaccard-found")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "node", "tag")).alias("x"))
+    first = common.written(first.select(F.col("x.doc_id").alias("its_id"), F.col("x.tag").alias("its_tag")), "jaccard-first")
+    first = F.broadcast(first) if first.count() <= SMALL_ROWS else first
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row")).withColumns({"tag": F.xxhash64(text), "id": F.col("row.doc_id").cast("long"), "some": text.rlike(r"[^\x20\x09-\x0D]")})
+    kept = rows.where("some").join(first, F.col("id").eqNullSafe(F.col("its_id")) & (F.col("tag") == F.col("its_tag")), "left_semi")
+    if not found.groupBy("doc_id", "tag").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["id", "tag"])
+    return kept.union(rows.where("NOT some")).select("row.*")
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of every document."""
     return classes_and_components(common.documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "class_id")

@@ -62,12 +62,36 @@ def uniform(doc_id: Column, seed: int = 0) -> Column:
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 0) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of every row."""
     sized = common.written(sizes(docs), "mix-sizes")
-    goal = _small(targets(sized, weights, share, most), "mix-targets")
-    goal = goal.withColumns({"copies": F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)), "mean": F.col("source_size") / F.col("n")})
-    goal = goal.withColumn("room", F.floor(F.col("target") - F.col("copies") * F.col("source_size") + 0.5))
+    goal, ends = plan(sized, weights, share, most, seed)
+    return taken(sized, goal, ends, seed).select("doc_id", "source", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
+
+
+def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 0) -> DataFrame:
+    """The rows of docs, all columns as they are, as often as the mix takes them."""
+    goal, ends = plan(common.written(sizes(docs), "mix-sizes"), weights, share, most, seed)
+    rows = docs.select(F.struct("*").alias("row"))
+    rows = rows.select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), F.size(common.words(F.col("row.text"))).cast("long").alias("size"))
+    return taken(rows, goal, ends, seed).where("times > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")
+
+
+def _ranked(sized: DataFrame, goal: DataFrame, seed: int) -> DataFrame:
+    """sized with its source's figures and the document's rank, bin and tie."""
     u = uniform(F.col("doc_id"), seed)
     odds = u / (1 - u) * F.sqrt(F.greatest(F.col("size"), F.lit(1)) / F.greatest(F.col("mean"), F.lit(1.0)))
-    ranked = sized.join(goal, sized.source.eqNullSafe(goal.source)).select(sized["*"], "source_size", "target", "copies", "room", odds.alias("rank"), F.coalesce("doc_id", F.lit(FLOOR)).alias("tie"), F.floor(odds / (1 + odds) * BINS).alias("bin"))
+    return sized.join(goal, sized.source.eqNullSafe(goal.source)).select(sized["*"], "source_size", "target", "copies", "room", odds.alias("rank"), F.coalesce("doc_id", F.lit(FLOOR)).alias("tie"), F.floor(odds / (1 + odds) * BINS).alias("bin"))
+
+
+def taken(sized: DataFrame, goal: DataFrame, ends: DataFrame, seed: int = 0) -> DataFrame:
+    """sized with source_size, target and times, how often a document is taken."""
+    return _with(_ranked(sized, goal, seed), ends).select(*sized.columns, "source_size", "target", (F.col("copies") + F.col("took").cast("long")).alias("times"))
+
+
+def plan(sized: DataFrame, weights: tuple[int, ...], share: float, most: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Two small tables by source: its goal, and the last document that each pass takes."""
+    goal = targets(sized, weights, share, most)
+    goal = goal.withColumns({"copies": F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)), "mean": F.col("source_size") / F.col("n")})
+    goal = _small(goal.withColumn("room", F.floor(F.col("target") - F.col("copies") * F.col("source_size") + 0.5)), "mix-targets")
+    ranked = _ranked(sized, goal, seed)
     # As the rows of a pass are those up to a last (rank, tie), what passes took is a small table of ends by source.
     ends: DataFrame | None = None
     for i in range(PASSES):
@@ -90,8 +114,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
             ends = old.join(new, old.source.eqNullSafe(new.source), "left").select(old["*"], f"end{i}", "now")
             ends = ends.withColumns({f"gap{i}": F.col("used"), "used": F.col("used") + F.coalesce("now", F.lit(0))}).drop("now")
         ends = _small(ends, f"mix-ends-{i}")
-    got = _with(ranked, ends)
-    return got.select("doc_id", "source", "size", "source_size", "target", ((F.col("copies") + F.col("took").cast("int")) * F.col("size")).cast("long").alias("taken"))
+    return goal, ends
 
 
 def _with(ranked: DataFrame, ends: DataFrame) -> DataFrame:
