@@ -1,10 +1,58 @@
-"""The corpus pipeline: the stages in order, each a DataFrame of documents to the next (the last: its packing)."""
+"""The corpus pipeline: toxicity filter, near-copy removal, secret redaction, source mixing, packing.
+
+STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame that is written as
+Parquet and reread as the next one's docs. All but the last return the columns of documents; the last returns packed
+pieces with their token ids.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from tidewatch.llm import common, jaccard, mixing, packing, secrets, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the class-conditional models do not reject, trained on the labelled ones among them."""
+    return toxicity.keep(docs, common.labels(spark, sf_dir))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that links of shingle similarity connect, the one of the smallest doc_id."""
+    return jaccard.representatives(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced by their kinds."""
+    return secrets.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.repeated(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 4096 tokens along the Hilbert curve."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_copies", drop_near_copies),
+    ("secrets", redact_secrets),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: Model scores and tokens have no SQL form; tests hold the stages against plain Python instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn, each written before the next reads it."""
+    docs = common.documents(spark, sf_dir)
+    for i, (name, stage) in enumerate(STAGES, 1):
+        docs = stage(spark, docs, sf_dir)
+        docs = common.written(docs, f"stage-{name}") if i < len(STAGES) else docs
+    return docs
