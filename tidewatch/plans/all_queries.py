@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from tidewatch.operators import indicators, spatial, statistics, surveillance  # noqa: F401
+from tidewatch.operators import indicators, sequences, spatial, statistics, surveillance  # noqa: F401
