@@ -16,7 +16,6 @@ the smaller id; other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +28,7 @@ from tidewatch.llm import common
 
 K, EVERY, SCALE = 20, 20, 64.0
 #: Vectors of a shard, pivots at most, entries of a page, queries of a block.
-SHARD, PIVOTS, PAGE, BLOCK = 4096, 1024, 48, 8192
+SHARD, PIVOTS, PAGE, BLOCK = 4096, 1024, 128, 8192
 
 
 def scaled(rows: DataFrame) -> DataFrame:
@@ -41,13 +40,12 @@ def scaled(rows: DataFrame) -> DataFrame:
     return out.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def matrix(column: pd.Series, dims: int) -> np.ndarray:
-    """Rows as float64 where all products are exact in it, else as 64-bit integers."""
+def matrix(column: pd.Series, dims: int, wide: bool) -> np.ndarray:
+    """Rows as float64 where all products of the table are exact in it, else (wide) as 64-bit integers."""
     out = np.zeros((len(column), dims), np.int64)
     for row, v in zip(out, column, strict=True):
         row[: len(v)] = v
-    top = float(np.abs(out).max(initial=0))
-    return out.astype(np.float64) if top * top * max(dims, 1) < 2**52 else out
+    return out if wide else out.astype(np.float64)
 
 
 def _norms(x: np.ndarray) -> np.ndarray:
@@ -99,58 +97,108 @@ class MTree:
             best = np.minimum(best, d)
         return near, np.array(picks)
 
-    def search(self, q: np.ndarray, own: int, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Scores and ids of the k best other vectors whose score is at least `floor`."""
-        length = float(_norms(q))
-        scores, found, bar = np.zeros(0, self.vectors.dtype), np.zeros(0, np.int64), floor
-        heap: list[tuple[float, int, float, Node]] = [(-np.inf, 0, float(q @ self.root_vector), self.root)]
-        count = 1
-        while heap:
-            bound, _, at_parent, node = heapq.heappop(heap)
-            if -bound < bar:
-                break
-            live = np.flatnonzero(at_parent + length * (node.to_parent + node.radii) >= bar)
-            if not len(live):
-                continue
-            products = node.entries[live] @ q
-            if node.children is not None:
-                bounds = products + length * node.radii[live]
-                for i, p, b in zip(live.tolist(), products.tolist(), bounds.tolist(), strict=True):
-                    if b >= bar:
-                        heapq.heappush(heap, (-b, count, float(p), node.children[i]))
-                        count += 1
+    def search(self, q: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray) -> pd.DataFrame:
+        """query_id, vec_id, score: for each row of q the k best other vectors whose score is at least its `floor`.
+
+        Every query takes leaf pages in its own order of bounds; queries that are at one page share its product. Bounds
+        from the stored distances leave out entries, and with them products, that no query of a page can use.
+        """
+        length, bar = _norms(q), np.nextafter(floor.astype(np.float64), -np.inf)
+        pages: list[Node] = []
+        bounds: list[np.ndarray] = []
+        above: list[np.ndarray] = []
+        stack = [(self.root, np.arange(len(q)), (q @ self.root_vector).astype(np.float64), np.full(len(q), np.inf))]
+        while stack:
+            node, rows, at_parent, bound = stack.pop()
+            if node.children is None:
+                pages.append(node)
+                for held, x, empty in ((bounds, bound, -np.inf), (above, at_parent, 0.0)):
+                    column = np.full(len(q), empty)
+                    column[rows] = x
+                    held.append(column)
                 continue
-            good = (products >= bar) & (node.ids[live] != own)
-            scores, found = np.concatenate([scores, products[good]]), np.concatenate([found, node.ids[live][good]])
-            if len(found) > k:
-                best = np.lexsort((found, -scores))[:k]
-                scores, found = scores[best], found[best]
-            if len(found) == k:
-                bar = max(bar, float(scores.min()))
-        return scores, found
-
+            reach = at_parent[:, None] + length[rows, None] * (node.to_parent + node.radii)
+            live = reach >= bar[rows, None]
+            need = np.flatnonzero(live.any(axis=0))
+            products = (q[rows] @ node.entries[need].T).astype(np.float64)
+            tight = products + length[rows, None] * node.radii[need]
+            for j, i in enumerate(need.tolist()):
+                go = np.flatnonzero(live[:, i] & (tight[:, j] >= bar[rows]))
+                if len(go):
+                    stack.append((node.children[i], rows[go], products[go, j], tight[go, j]))
+        best = _Best(len(q), k, self.vectors.dtype)
+        if not pages:
+            return best.rows(own)
+        bound, at_page = np.stack(bounds, axis=1), np.stack(above, axis=1)
+        order = np.argsort(-bound, axis=1, kind="stable")
+        for turn in range(len(pages)):
+            page = order[:, turn]
+            next_bound = bound[np.arange(len(q)), page]
+            active = np.flatnonzero((next_bound >= bar) & (next_bound > -np.inf))
+            if not len(active):
+                break
+            active = active[np.argsort(page[active], kind="stable")]
+            cuts = np.flatnonzero(np.diff(page[active])) + 1
+            new = [self._visit(pages[page[rows[0]]], rows, q, own, at_page[rows, page[rows[0]]], length, bar) for rows in np.split(active, cuts)]
+            best.add(*(np.concatenate(x) for x in zip(*new, strict=True)), bar)
+        return best.rows(own)
 
-def _found(tree: MTree, ids: np.ndarray, vectors: np.ndarray, bars: np.ndarray, k: int) -> pd.DataFrame:
-    out = []
-    for i, q, bar in zip(ids.tolist(), vectors, bars.tolist(), strict=True):
-        scores, found = tree.search(q, i, k, bar)
-        out.append(pd.DataFrame({"query_id": i, "vec_id": found, "score": scores.astype(np.int64)}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": pd.array([], "int64"), "vec_id": pd.array([], "int64"), "score": pd.array([], "int64")})
+    @staticmethod
+    def _visit(node: Node, rows: np.ndarray, q: np.ndarray, own: np.ndarray, at_parent: np.ndarray, length: np.ndarray, bar: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, score, id) of a page's vectors that reach the bars of the rows."""
+        # The least that any of the rows asks for rules out entries by their distance to the routing vector.
+        need = np.flatnonzero(node.to_parent >= float(np.min((bar[rows] - at_parent) / length[rows])))
+        products = q[rows] @ node.entries[need].T
+        r, e = np.nonzero((products >= bar[rows, None]) & (node.ids[need][None, :] != own[rows, None]))
+        return rows[r], products[r, e], node.ids[need][e]
+
+
+class _Best:
+    """The k best (score, id) of each query, as flat columns."""
+
+    def __init__(self, n: int, k: int, kind: np.dtype) -> None:
+        self.n, self.k = n, k
+        self.row, self.score, self.id = np.zeros(0, np.int64), np.zeros(0, kind), np.zeros(0, np.int64)
+
+    def add(self, row: np.ndarray, score: np.ndarray, ids: np.ndarray, bar: np.ndarray) -> None:
+        """Takes candidates in and raises the bars of queries that then have k."""
+        if not len(row):
+            return
+        hit = np.zeros(self.n, bool)
+        hit[row] = True
+        stay = ~hit[self.row]
+        r, s, i = (np.concatenate([a[~stay], b]) for a, b in ((self.row, row), (self.score, score), (self.id, ids)))
+        by = np.lexsort((i, -s, r))
+        r, s, i = r[by], s[by], i[by]
+        first = np.concatenate([[True], r[1:] != r[:-1]])
+        rank = np.arange(len(r)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+        last = rank == self.k - 1
+        bar[r[last]] = np.maximum(bar[r[last]], np.nextafter(s[last].astype(np.float64), -np.inf))
+        keep = rank < self.k
+        self.row, self.score, self.id = (np.concatenate([a[stay], b[keep]]) for a, b in ((self.row, r), (self.score, s), (self.id, i)))
+
+    def rows(self, own: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"query_id": own[self.row].astype(np.int64), "vec_id": self.id, "score": self.score.astype(np.int64)})
+
+
+def _none() -> pd.DataFrame:
+    return pd.DataFrame({"query_id": pd.array([], "int64"), "vec_id": pd.array([], "int64"), "score": pd.array([], "int64")})
 
 
 def top_k(rows: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """query_id, rank, vec_id, score for the queries, the rows whose id is divisible by `every`."""
     found = "query_id long, vec_id long, score long"
     all_rows = common.written(scaled(rows), "topk-vectors")
-    size = all_rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dims"), F.count_if(F.col("vec_id") % every == 0).alias("queries")).first()
+    size = all_rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dims"), F.count_if(F.col("vec_id") % every == 0).alias("queries"), F.max(F.array_max(F.transform("v", F.abs))).alias("top")).first()
     n, dims, parts = size.n, size.dims or 0, common.partitions(rows.sparkSession)
+    wide = float(size.top or 0) ** 2 * max(dims, 1) >= 2**52
     wanted = max(1, min(PIVOTS, max(-(-n // SHARD), min(parts, n // 512))))
     picked = all_rows.orderBy(F.xxhash64("vec_id")).limit(wanted).toPandas()
-    pivots = matrix(picked["v"], dims).astype(np.float64)
+    pivots = matrix(picked["v"], dims, wide).astype(np.float64)
 
     def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            v = matrix(pdf["v"], dims).astype(np.float64)
+            v = matrix(pdf["v"], dims, wide).astype(np.float64)
             d = (pivots**2).sum(1) - 2 * (v @ pivots.T)
             pivot = d.argmin(1)
             yield pdf.assign(pivot=pivot, distance=_norms(v - pivots[pivot]))
@@ -174,11 +222,11 @@ def top_k(rows: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
 
     def home(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id", ignore_index=True)
-        v, ids = matrix(pdf["v"], dims), pdf["vec_id"].to_numpy()
+        v, ids = matrix(pdf["v"], dims, wide), pdf["vec_id"].to_numpy()
         q = ids % every == 0
         if not q.any():
-            return _found(None, ids[:0], v[:0], np.zeros(0), k)
-        return _found(MTree(ids, v), ids[q], v[q], np.full(q.sum(), -np.inf), k)
+            return _none()
+        return MTree(ids, v).search(v[q], ids[q], k, np.full(q.sum(), -np.inf))
 
     first = common.written(placed.groupBy("shard").applyInPandas(home, found), "topk-home")
     bars = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("bar"))
@@ -188,7 +236,7 @@ def top_k(rows: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
 
     def routed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            v = matrix(pdf["v"], dims).astype(np.float64)
+            v = matrix(pdf["v"], dims, wide).astype(np.float64)
             bar = pdf["bar"].astype("float64").fillna(-np.inf).to_numpy()
             bound = v @ centres.T + _norms(v)[:, None] * (radii + 1e-6)
             q, s = np.nonzero((bound >= bar[:, None]) & (names[None, :] != pdf["shard"].to_numpy()[:, None]))
@@ -198,11 +246,10 @@ def top_k(rows: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
 
     def away(key: tuple, vectors: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(vectors) or not len(asked):
-            return _found(None, np.zeros(0, np.int64), np.zeros((0, dims)), np.zeros(0), k)
-        tree = MTree(vectors["vec_id"].to_numpy(), matrix(vectors["v"], dims))
+            return _none()
+        tree = MTree(vectors["vec_id"].to_numpy(), matrix(vectors["v"], dims, wide))
         asked = asked.sort_values("query_id", ignore_index=True)
-        q = matrix(asked["v"], dims)
-        return _found(tree, asked["query_id"].to_numpy(), q.astype(tree.vectors.dtype) if q.dtype != tree.vectors.dtype and tree.vectors.dtype == np.int64 else q, asked["bar"].to_numpy(), k)
+        return tree.search(matrix(asked["v"], dims, wide), asked["query_id"].to_numpy(), k, asked["bar"].to_numpy())
 
     # Each block of queries meets each shard that one of them may need.
     spread = placed.select("shard", "vec_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
