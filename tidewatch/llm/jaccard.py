@@ -202,7 +202,7 @@ def classes_and_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, class_id (the smallest doc_id of an equal set), component_id; also component (a number, null
     for empty sets), node (the row's number) and tag (xxhash64 of the text, null as empty)."""
     blocks = win.blocks(docs, "jaccard-blocks")
-    keys = common.written(blocks.select("uid", "body").mapInPandas(_keys, "node long, doc_id long, tag long, n long, f1 long, f2 long"), "jaccard-keys")
+    keys = common.written(blocks.select("uid", "body").mapInPandas(win.forgetting(_keys), "node long, doc_id long, tag long, n long, f1 long, f2 long"), "jaccard-keys")
     classes = common.written(keys.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("node").alias("rep"), F.min("doc_id").alias("class_id")), "jaccard-classes")
     n = win.shards(classes.agg(F.sum("n")).first()[0] or 0, docs)
     mask = (1 << ROWS) - 1
@@ -217,14 +217,14 @@ def classes_and_components(docs: DataFrame) -> DataFrame:
                 rows = [(s, uid, common.pack_sorted(cells[k] >> CELL), np.minimum(counts[k], 255).astype(np.uint8).tobytes()) for s, k in win.split_by(cells, n)]
                 yield pd.DataFrame(rows, columns=["shard", "uid", "cells", "counts"])
 
-    sized = common.written(win.exchange(some.mapInPandas(sketch, "shard long, uid long, cells binary, counts binary"), _magnitudes), "jaccard-magnitudes")
+    sized = common.written(win.exchange(some.mapInPandas(win.forgetting(sketch), "shard long, uid long, cells binary, counts binary"), _magnitudes), "jaccard-magnitudes")
 
     def prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for uid, body, take, answers in zip(pdf["uid"], pdf["body"], pdf["chosen"], pdf["answers"], strict=True):
                 yield _prefixes(uid, *_block_sets(body, take), win.answers_of(answers), n)
 
-    found = some.join(sized, "uid").mapInPandas(prefixes, "kind int, key long, a binary, b binary")
+    found = some.join(sized, "uid").mapInPandas(win.forgetting(prefixes), "kind int, key long, a binary, b binary")
     found = common.written(found, "jaccard-prefixes")
     pairs = found.where("kind = 2").select(F.col("key").alias("a"), F.col("b")).mapInPandas(_unpacked, "a long, b long")
     stars = found.where("kind = 0").groupBy("key").applyInPandas(_stars, "a long, b long")

@@ -120,11 +120,11 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, text: bool = True) -> DataF
                 yield pd.DataFrame(out | ({"kept": [k.decode() for k in kept]} if text else {}))
 
     small = "shard long, uid long, cells binary, "
-    counted = common.written(win.exchange(blocks.select("uid", "body").mapInPandas(sketch, small + "twice binary"), _merged_counts), "repeat-counted")
+    counted = common.written(win.exchange(blocks.select("uid", "body").mapInPandas(win.forgetting(sketch), small + "twice binary"), _merged_counts), "repeat-counted")
     both = blocks.join(counted.withColumnRenamed("answers", "counted"), "uid", "left").select("uid", "body", "counted")
-    grouped = common.written(win.exchange(both.mapInPandas(suspects, small + "rest binary"), _merged_windows), "repeat-grouped")
+    grouped = common.written(win.exchange(both.mapInPandas(win.forgetting(suspects), small + "rest binary"), _merged_windows), "repeat-grouped")
     last = both.join(grouped.withColumnRenamed("answers", "grouped"), "uid", "left")
-    return last.select("body", "counted", "grouped").mapInPandas(apply, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * text)
+    return last.select("body", "counted", "grouped").mapInPandas(win.forgetting(apply), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * text)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from tidewatch.llm import common
 BLOCK = 4 << 20
 #: Entries that a shard merges, about.
 SHARD_ENTRIES = 4_000_000
-CACHE = 1_000_000
+CACHE = 500_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 OFF = np.uint64(0xD1B54A32D192ED03)
 
@@ -79,6 +79,24 @@ class WordHashes(dict):
 _HASHES = WordHashes()
 
 
+def forget() -> None:
+    """Drops the words kept, so that idle workers hold no memory."""
+    _HASHES.clear()
+    pa.default_memory_pool().release_unused()
+
+
+def forgetting(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """run, with the words that a task kept dropped at its end."""
+
+    def ending(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            yield from run(frames)
+        finally:
+            forget()
+
+    return ending
+
+
 def words_of(text: str | None, lower: bool = False) -> list[bytes]:
     """Words between ASCII white space; lower folds A-Z alone."""
     data = (text or "").encode()
