@@ -242,7 +242,7 @@ def test_the_list_keeps_good_documents(spark):
 
 def test_lists_of_odd_labels(odd, none, odd_labels):
     for d in (odd, none):
-        assert quality_rules.learn(quality_rules.statistics(d), odd_labels) == []
+        assert quality_rules.learn(common.written(quality_rules.statistics(d), "test"), odd_labels) == []
 
 
 # Top k

@@ -96,7 +96,7 @@ def _holds(rule: Rule) -> Column:
 
 
 def learn(stats: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS) -> list[Rule]:
-    """The ordered rules that tell quality 0; labelled: doc_id, quality."""
+    """The ordered rules that tell quality 0; stats: statistics(), written, as plans over it unwritten grow huge; labelled: doc_id, quality."""
     one = labelled.groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality IS NOT NULL AND doc_id IS NOT NULL")
     share = min(1.0, fit_rows / max(1, one.count()))
     one = one.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
@@ -109,6 +109,8 @@ def learn(stats: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS) -> li
     found = rows.groupBy("bad").agg(*(F.percentile_approx(f, points, 10_000).alias(f) for f in names)).collect()
     cuts = {f: sorted({x for r in found for x in r[f]}) for f in names}
     rules: list[Rule] = []
+    if not any(cuts.values()):  # no labelled rows
+        return rules
     left = rows
     while len(rules) < RULES:
         rule = _grown(left.where("NOT prune"), cuts)
