@@ -113,6 +113,25 @@ def test_private_spans_of_generated_texts(spark):
         assert [(pii.KINDS[x.kind], x.s, x.e) for x in r.base] == brute.private(texts[r.doc_id])
 
 
+def test_what_wide_patterns_match_passes_their_gates(spark):
+    ips = [f"192{a}168{b}1{c}20" for a in (".", "[.]", "(.)") for b in (".", "[.]", "(.)") for c in (".", "[.]", "(.)")]
+    at = ["@", " @ ", "[at]", " [ at ] ", "(at)", " ( AT ) ", " at ", "  at  "]
+    mails = [f"joe{a}example{d}com" for a in at for d in (".", "[dot]", "(dot)", " [dot] ", " (dot) ", " [ dot ] ", " dot ", " DOT ")]
+    cards = [f"4111{s}1111{s}1111{s}{e}" for s in (" ", ".", "/", "_", "-", " -") for e in ("1", "1111111")]
+    phones = [f"{a}555{s}0199" for s in " .-" for a in ("(030)", "(030) ", "(0301)-", "030.", "030 ", "0049 030-")]
+    parts = ["joe", "at", "dot", "[", "(", ")", "]", "@", ".", " ", "-", "12", "4111", "555", "(.)", "[.]", " at ", " dot "]
+    rng = np.random.default_rng(7)
+    texts = ips + mails + cards + phones + ["".join(rng.choice(parts, rng.integers(3, 16))) for _ in range(3000)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").cache()
+    for k, listed in zip(pii.KINDS, (mails, ips, cards, phones), strict=True):
+        matched = d.where(d.text.rlike(pii.WIDE[k]))
+        assert {r.text for r in matched.collect()} >= set(listed), k
+        assert [r.text for r in matched.where(~d.text.rlike(pii.WIDE_NEEDS[k])).collect()] == [], k
+    found = pii.candidates(d).collect()
+    for k, listed in ((0, mails), (1, ips)):
+        assert {texts[r.doc_id] for r in found if any(c.kind == k and c.s == 0 and c.e == len(texts[r.doc_id]) for c in r.cand)} >= set(listed)
+
+
 # Repeated passages
 
 
