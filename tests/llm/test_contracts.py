@@ -154,6 +154,30 @@ def figures(spark, got, label, sf_dir):
     return {k: np.mean([r.predicted == k for r in rows if r[label] == k]) for k in (0, 1)}
 
 
+def test_the_toxicity_model_is_whole_at_any_size(spark):
+    words = np.random.default_rng(3).integers(97, 123, (400_000, 8), dtype=np.uint8)
+    junk = np.column_stack([words, np.full(len(words), 32, np.uint8)]).tobytes().decode()
+    rows = [(junk, 0)] * 5 + [("zqxjkv vkjxqz", 1)] * 5
+    assert len(np.unique(toxicity.grams_of(junk))) > 1_500_000
+    model = toxicity.train(spark.createDataFrame(rows, "text string, label int").repartition(4), 8)
+    assert model.ratios(["zqxjkv vkjxqz"])[0] > 0.3 > 0 > model.ratios([junk[:9000]])[0]
+
+
+def test_buckets_of_the_toxicity_model_are_those_of_one_table(spark):
+    texts = [(t or "", int(i % 5 == 0)) for i, t in texts_of(common.documents(spark, SMALL))]
+    sets = [(np.unique(toxicity.grams_of(t)), label) for t, label in texts]
+    grams, at = np.unique(np.concatenate([s for s, _ in sets]), return_inverse=True)
+    label = np.repeat([y for _, y in sets], [len(s) for s, _ in sets])
+    counts = [np.bincount(at[label == y], minlength=len(grams)).astype(float) for y in (0, 1)]
+    often = sum(counts) >= 2
+    grams, known, contexts, other = toxicity.fitted(grams[often], [c[often] for c in counts], tuple(int(c.sum()) for c in counts))
+    known, other = dict(zip(grams.tolist(), known, strict=True)), dict(zip(contexts.tolist(), other, strict=True))
+    model = toxicity.train(spark.createDataFrame(texts, "text string, label int"), 7)
+    for (t, _), got in zip(texts, model.ratios([t for t, _ in texts]), strict=True):
+        each = [known.get(g, other.get(g >> toxicity.BITS, 0.0)) for g in toxicity.grams_of(t).tolist()]
+        assert math.isclose(got, sum(each) / max(len(each), 1), abs_tol=1e-9)
+
+
 def test_toxicity_holds_on_held_out_rows(spark):
     got = toxicity.op4_toxicity(spark, LARGE).cache()
     share = figures(spark, got, "toxic", LARGE)

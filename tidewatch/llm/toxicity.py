@@ -8,8 +8,10 @@ two log-likelihoods per letter, fitted on labelled rows that no model has counte
 
 Counts (of documents that hold a letter in its context, so that one text's repetitions count once) cover all labelled
 rows outside the held-out fold. Tasks count their own rows first; what they shuffle is sorted lists of distinct grams,
-with one entry for even the commonest. Models keep grams from the least count on at which they have at most
-MODEL_ENTRIES; the mass of others goes to the fallback. That bounds what is sent to the driver and to tasks.
+with one entry for even the commonest. Grams of one document only leave their mass to the fallback, at every size; all
+others are in the model, which grows with the labelled rows. Buckets by the two letters before a gram's own hold all that
+longer contexts need; counts of shorter ones, at most 2**24 pairs of letters, are shared. Each bucket's part of the model
+is a file in the shared folder, which workers map into memory, so that neither driver nor task ever holds the whole.
 
 Defined cases: null or empty text has difference 0 and the score that the curve gives to it; a null doc_id and repeated
 rows are kept, a row each; a doc_id with several labels counts with the larger; other columns are ignored; without
@@ -18,12 +20,14 @@ labels of both classes every score is 0.5.
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +37,6 @@ from tidewatch.llm.compression import logistic
 FOLDS, FOLD, CUT = 5, 0, 0.5
 #: The fold of training rows that fits the curve.
 CURVE_FOLD = 1
-MODEL_ENTRIES = 1_500_000
 #: Labelled rows of a class in the curve at most, by a hash of doc_id.
 CURVE_DOCS = 4000
 #: Labelled rows up to which their ids are broadcast.
@@ -42,8 +45,10 @@ DISCOUNT = 2.0
 #: Counts that a context leaves to the shared fallback besides the discounted ones.
 SHARED = 10.0
 FLUSH = 4_000_000
+#: Letters that are looked up in the model at once, about.
+BATCH = 500_000
 ORDER, BITS = 5, 12
-LETTER = np.uint64((1 << BITS) - 1)
+PAIR, TRIPLE = np.uint64((1 << 2 * BITS) - 1), np.uint64((1 << 3 * BITS) - 1)
 
 
 def _codes() -> np.ndarray:
@@ -72,6 +77,11 @@ def grams_of(text: str) -> np.ndarray:
     return out
 
 
+def _buckets(grams: np.ndarray, n: int) -> np.ndarray:
+    """One for all grams with the same two letters before their own."""
+    return (common.mix((grams >> np.uint64(BITS)) & PAIR) % np.uint64(n)).astype(np.int64)
+
+
 def _blobs(keys: np.ndarray, counts: list[np.ndarray], bucket: np.ndarray, n: int) -> Iterator[pd.DataFrame]:
     """A row for each bucket that has keys (ascending within it) and their counts."""
     order = np.argsort(bucket, kind="stable")
@@ -89,7 +99,7 @@ def _merged(pdf: pd.DataFrame, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def _counted(rows: DataFrame, n: int) -> DataFrame:
-    """Distinct grams of each task's rows with the documents of either class that hold them, by a hash of the gram."""
+    """Distinct grams of each task's rows with the documents of either class that hold them, by bucket."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = ([], []), 0
@@ -99,7 +109,7 @@ def _counted(rows: DataFrame, n: int) -> DataFrame:
             uniq, at = np.unique(np.concatenate(parts), return_inverse=True)
             toxic = np.arange(len(at)) >= len(parts[0])
             counts = [np.bincount(at[~toxic], minlength=len(uniq)), np.bincount(at[toxic], minlength=len(uniq))]
-            yield from _blobs(uniq, counts, (common.mix(uniq) % np.uint64(n)).astype(np.int64), n)
+            yield from _blobs(uniq, counts, _buckets(uniq, n), n)
 
         for pdf in frames:
             for text, label in zip(pdf["text"], pdf["label"], strict=True):
@@ -114,93 +124,133 @@ def _counted(rows: DataFrame, n: int) -> DataFrame:
 
 
 def _gram_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's grams with their sums: those seen in two documents or more, and the totals of all."""
+    """A bucket's grams with their sums: those seen in two documents or more, and the totals of all; also pairs of letters
+    and how many kept letters come before each."""
     keys, (c0, c1) = _merged(pdf, 2)
     often = c0 + c1 >= 2
-    return pd.DataFrame({"keys": [common.pack_sorted(keys[often])], "c0": [c0[often].astype("<u4").tobytes()], "c1": [c1[often].astype("<u4").tobytes()], "t0": [int(c0.sum())], "t1": [int(c1.sum())]})
+    pairs, types = np.unique(np.unique(keys[often] & TRIPLE) & PAIR, return_counts=True)
+    return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "keys": [common.pack_sorted(keys[often])], "c0": [c0[often].astype("<u4").tobytes()], "c1": [c1[often].astype("<u4").tobytes()], "t0": [int(c0.sum())], "t1": [int(c1.sum())], "pairs": [common.pack_sorted(pairs)], "types": [types.astype("<u4").tobytes()]})
 
 
-@dataclass
 class Model:
-    """Log-ratios of the two models: of kept grams (ascending), and after kept contexts (ascending) of any other letter."""
-
-    grams: np.ndarray
-    known: np.ndarray
-    contexts: np.ndarray
-    other: np.ndarray
-
-    def ratio(self, text: str) -> float:
-        """The toxic less the ordinary log-likelihood of a text, per letter and word end."""
-        keys, at = np.unique(grams_of(text), return_counts=True)
-        if not len(keys) or not len(self.grams):
-            return 0.0
-        g = np.minimum(np.searchsorted(self.grams, keys), len(self.grams) - 1)
+    """Log-ratios of the two models, a file a bucket: of grams (ascending), and after contexts (ascending) of any other letter."""
+
+    def __init__(self, folder: str, names: dict[int, str], n: int) -> None:
+        self.folder, self.names, self.n, self.maps = folder, names, n, {}
+
+    def _part(self, bucket: int) -> list[np.ndarray]:
+        """grams, known, contexts, other; mapped once where the folder is a local path, else read each time."""
+        part = self.maps.get(bucket)
+        if part is None:
+            files, path = fs.FileSystem.from_uri(f"{self.folder}/{self.names[bucket]}")
+            local = isinstance(files, fs.LocalFileSystem)
+            data = np.memmap(path, np.uint64, "r") if local else np.frombuffer(files.open_input_file(path).read(), np.uint64)
+            a, b = int(data[0]), int(data[1])
+            g, k, c, o = np.split(data[2:], np.cumsum([a, a, b]))
+            part = [g, k.view(np.float64), c, o.view(np.float64)]
+            if local:
+                self.maps[bucket] = part
+        return part
+
+    def _values(self, bucket: int, keys: np.ndarray) -> np.ndarray:
+        grams, known, contexts, other = self._part(bucket)
+        if not len(grams):
+            return np.zeros(len(keys))
+        g = np.minimum(np.searchsorted(grams, keys), len(grams) - 1)
         context = keys >> np.uint64(BITS)
-        c = np.minimum(np.searchsorted(self.contexts, context), len(self.contexts) - 1)
-        after = np.where(self.contexts[c] == context, self.other[c], 0.0)
-        return float((np.where(self.grams[g] == keys, self.known[g], after) * at).sum() / at.sum())
-
-
-def fallback(grams: np.ndarray, order: int) -> np.ndarray:
-    """The shared probability of each gram's letter after the upper order - 2 letters of its context: continuation counts."""
-    if order <= 1:
-        return np.full(len(grams), 1 / 256)
-    short = grams & np.uint64((1 << BITS * (order - 1)) - 1)
-    uniq, at, types = np.unique(short, return_inverse=True, return_counts=True)
-    context, where = np.unique(uniq >> np.uint64(BITS), return_inverse=True)
+        c = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
+        return np.where(grams[g] == keys, known[g], np.where(contexts[c] == context, other[c], 0.0))
+
+    def _batch(self, held: list[np.ndarray]) -> np.ndarray:
+        sizes = np.array([len(x) for x in held])
+        keys, at = np.unique(np.concatenate(held), return_inverse=True)
+        bucket, value = _buckets(keys, self.n), np.zeros(len(keys))
+        order = np.argsort(bucket, kind="stable")
+        ends = np.searchsorted(bucket[order], np.arange(self.n + 1))
+        for b in np.unique(bucket):
+            if b in self.names:
+                own = np.sort(order[ends[b] : ends[b + 1]])
+                value[own] = self._values(int(b), keys[own])
+        return np.bincount(np.repeat(np.arange(len(held)), sizes), value[at], len(held)) / np.maximum(sizes, 1)
+
+    def ratios(self, texts: list[str | None]) -> np.ndarray:
+        """The toxic less the ordinary log-likelihood of each text, per letter and word end."""
+        out, held, size = [np.zeros(0)], [], 0
+        for t in texts:
+            held.append(grams_of(t or ""))
+            size += len(held[-1])
+            if size >= BATCH:
+                out.append(self._batch(held))
+                held, size = [], 0
+        return np.concatenate([*out, self._batch(held)] if held else out)
+
+
+def _discounted(keys: np.ndarray, types: np.ndarray, order: int, shared: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """The shared probability of each key's letter after its context, from the types of letters before the keys."""
+    context, where = np.unique(keys >> np.uint64(BITS), return_inverse=True)
     own = np.maximum(types - DISCOUNT, 0)
     every = np.bincount(where, types, len(context))
     rest = 1 - np.bincount(where, own, len(context)) / every
-    return (own / every[where] + rest[where] * fallback(uniq, order - 1))[at]
-
+    return own / every[where] + rest[where] * fallback(keys, order, shared)
 
-def _cutoff(table: DataFrame, most: int) -> int:
-    """The least sum of c0 and c1, 2 at least, that at most `most` entries of a table of kept entries reach."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for a, b in zip(pdf["c0"], pdf["c1"], strict=True):
-                v, n = np.unique(np.minimum(np.frombuffer(a, "<u4").astype(np.int64) + np.frombuffer(b, "<u4"), 100_000), return_counts=True)
-                yield pd.DataFrame({"v": v, "n": n})
+def fallback(grams: np.ndarray, order: int, shared: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """The shared probability of each gram's letter after the upper order - 2 letters of its context: continuation counts.
 
-    total, least = 0, 2
-    for r in sorted(table.select("c0", "c1").mapInPandas(run, "v long, n long").groupBy("v").agg(F.sum("n").alias("n")).collect(), reverse=True):
-        total += r.n
-        if total > most:
-            least = r.v + 1
-            break
-    return least
+    shared: pairs of letters (ascending) and their probabilities, from all buckets; without it, grams are all there are.
+    """
+    if order <= 1:
+        return np.full(len(grams), 1 / 256)
+    if order == 3 and shared is not None:
+        return shared[1][np.searchsorted(shared[0], grams & PAIR)]
+    uniq, at, types = np.unique(grams & np.uint64((1 << BITS * (order - 1)) - 1), return_inverse=True, return_counts=True)
+    return _discounted(uniq, types, order - 1, shared)[at]
 
 
-def _kept(table: DataFrame, least: int, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Keys of the table's entries that reach `least`, ascending, and their counts; filtered before they come to the driver."""
+def _shared(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of letters, ascending, and the shared probability of the second after the first."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for row in pdf.itertuples(index=False):
-                counts = [np.frombuffer(getattr(row, f"c{i}"), "<u4") for i in range(n)]
-                k = counts[0].astype(np.int64) + counts[1] >= least
-                yield pd.DataFrame({"keys": [common.unpack_sorted(row.keys)[k].tobytes()], **{f"c{i}": [c[k].tobytes()] for i, c in enumerate(counts)}})
+            for a, b in zip(pdf["pairs"], pdf["types"], strict=True):
+                yield pd.DataFrame({"pair": common.unpack_sorted(a).astype(np.int64), "types": np.frombuffer(b, "<u4").astype(np.int64)})
 
-    cols = [f"c{i}" for i in range(n)]
-    rows = table.select("keys", *cols).mapInPandas(run, "keys binary, " + ", ".join(f"{c} binary" for c in cols)).collect()
-    keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows] or [np.zeros(0, np.uint64)])
-    order = np.argsort(keys)
-    return keys[order], [np.concatenate([np.frombuffer(r[c], "<u4") for r in rows] or [np.zeros(0, np.uint32)])[order].astype(float) for c in cols]
+    rows = table.select("pairs", "types").mapInPandas(run, "pair long, types long").groupBy("pair").agg(F.sum("types").alias("types")).toArrow()
+    pairs, types = (rows[c].to_numpy() for c in ("pair", "types"))
+    order = np.argsort(pairs)
+    pairs = pairs[order].astype(np.uint64)
+    return pairs, _discounted(pairs, types[order], 2)
 
 
-def train(rows: DataFrame, n: int, entries: int = MODEL_ENTRIES) -> Model | None:
+def train(rows: DataFrame, n: int) -> Model | None:
     """rows: text, label 0 or 1; n: buckets. None without text of both classes."""
-    kinds = "keys binary, c0 binary, c1 binary, t0 long, t1 long"
+    kinds = "bucket long, keys binary, c0 binary, c1 binary, t0 long, t1 long, pairs binary, types binary"
     table = common.written(_counted(rows, n).groupBy("bucket").applyInPandas(_gram_bucket, kinds), "toxicity-grams")
     total = table.agg(F.sum("t0").alias("t0"), F.sum("t1").alias("t1")).first()
     if not total.t0 or not total.t1:
         return None
-    return fitted(*_kept(table, _cutoff(table, entries), 2), (total.t0, total.t1))
+    spark, totals = rows.sparkSession, (total.t0, total.t1)
+    sent, folder = spark.sparkContext.broadcast(_shared(table)), f"{common.shared_folder(spark)}/toxicity-model-{uuid.uuid4().hex}"
+    atexit.register(common._drop, spark, folder)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, path = fs.FileSystem.from_uri(folder)
+        files.create_dir(path, recursive=True)
+        for pdf in frames:
+            for row in pdf.itertuples(index=False):
+                name = uuid.uuid4().hex  # a task that runs again writes other files
+                grams, known, contexts, other = fitted(common.unpack_sorted(row.keys), [np.frombuffer(c, "<u4").astype(float) for c in (row.c0, row.c1)], totals, sent.value)
+                with files.open_output_stream(f"{path}/{name}") as out:
+                    for x in (np.array([len(grams), len(contexts)], np.uint64), grams, known, contexts, other):
+                        out.write(x.tobytes())
+                yield pd.DataFrame({"bucket": [row.bucket], "name": [name]})
+
+    names = table.select("bucket", "keys", "c0", "c1").mapInPandas(run, "bucket long, name string").collect()
+    return Model(folder, {r["bucket"]: r["name"] for r in names}, n)
 
 
-def fitted(grams: np.ndarray, counts: list[np.ndarray], totals: tuple[int, int]) -> Model:
-    """The model of ascending grams with their counts in either class, out of the classes' totals."""
+def fitted(grams: np.ndarray, counts: list[np.ndarray], totals: tuple[int, int], shared: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
+    """A bucket's part of the model, of ascending grams with their counts in either class, out of the classes' totals."""
     # Counts of the larger class shrink to the smaller one's total, so that a rare gram is discounted away in both alike.
     least = min(totals)
     c = np.stack(counts) * np.array([[least / totals[0]], [least / totals[1]]])
@@ -208,8 +258,8 @@ def fitted(grams: np.ndarray, counts: list[np.ndarray], totals: tuple[int, int])
     every = np.stack([np.bincount(at, x, len(contexts)) for x in c])
     own = np.maximum(c - DISCOUNT, 0) / (every[:, at] + SHARED)
     rest = 1 - np.stack([np.bincount(at, x, len(contexts)) for x in own])
-    p = own + rest[:, at] * fallback(grams, ORDER)
-    return Model(grams, np.log(p[1] / p[0]), contexts, np.log(rest[1] / rest[0]))
+    p = own + rest[:, at] * fallback(grams, ORDER, shared)
+    return grams, np.log(p[1] / p[0]), contexts, np.log(rest[1] / rest[0])
 
 
 def ratios(docs: DataFrame, model: Model, more: list[str]) -> DataFrame:
@@ -218,7 +268,7 @@ def ratios(docs: DataFrame, model: Model, more: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [sent.value.ratio(t or "") for t in b.column(1).to_pylist()]
+            out = sent.value.ratios(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(out, pa.float64())], ["doc_id", *more, "difference"])
 
     cast = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more)
@@ -275,7 +325,7 @@ def keep(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            z = np.array([sent.value.ratio(t or "") for t in b.column(at).to_pylist()]) / scale * slope + intercept
+            z = sent.value.ratios(b.column(at).to_pylist()) / scale * slope + intercept
             yield b.filter(pa.array(1 / (1 + np.exp(-z)) < cut))
 
     return docs.mapInArrow(run, docs.schema)
