@@ -113,6 +113,23 @@ def test_private_spans_of_generated_texts(spark):
         assert [(pii.KINDS[x.kind], x.s, x.e) for x in r.base] == brute.private(texts[r.doc_id])
 
 
+@pytest.mark.parametrize("unit", [jaccard.UNIT, 16])
+def test_every_link_between_different_texts_is_found(spark, monkeypatch, unit):
+    monkeypatch.setattr(jaccard, "UNIT", unit)
+    rng = np.random.default_rng(11)
+    texts = [" ".join(w if k != cut else f"new{cut}" for k, w in enumerate(base)) for base in ([f"{b}{k}" for k in range(80)] for b in "abc") for cut in rng.integers(0, 80, 20)]
+    docs = spark.createDataFrame([*enumerate([*texts, *texts[:3], "alone", ""])], "doc_id long, text string")
+    rows = [r.text.split() for r in docs.orderBy("doc_id").collect()]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(len(w) - 4, min(len(w), 1)))} for w in rows]
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if sets[i] and 4 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j])}
+    least = [min(j for j in range(i + 1) if sets[j] == sets[i]) for i in range(len(sets))]
+    found = jaccard.links(docs).collect()
+    got = [tuple(sorted((r.class_a, r.class_b))) for r in found]
+    assert len(got) == len(set(got)) and set(got) == {(*sorted((least[i], least[j])),) for i, j in want if least[i] != least[j]}
+    own = Counter(x for pair in want for x in pair)
+    assert {r.doc_id: r.n_links for r in jaccard.classes_and_components(docs).collect()} == {i: own[i] for i in range(len(sets))}
+
+
 def test_what_wide_patterns_match_passes_their_gates(spark):
     ips = [f"192{a}168{b}1{c}20" for a in (".", "[.]", "(.)") for b in (".", "[.]", "(.)") for c in (".", "[.]", "(.)")]
     at = ["@", " @ ", "[at]", " [ at ] ", "(at)", " ( AT ) ", " at ", "  at  "]

@@ -8,11 +8,11 @@ Documents are sets of hashed word shingles; two link when their sets' Jaccard si
    prefix filter. Shingles of one set only need no entry, so documents without near copies drop out here.
 3. Sets that share such a shingle form candidate clusters: connected components of stars, one centre a shingle.
 4. Each cluster is joined by signature trees. Leaves hold sets, nodes the OR of their bitmaps and the range of their
-   sizes; two nodes are compared only while the overlap that their bitmaps allow and their sizes could link a pair, and
-   only while they are not in one component already. Remaining pairs are verified exactly. Clusters above UNIT sets are
-   joined in parts, then across parts; there, sets of the cluster's largest component need no comparison with one
-   another, and the others meet all parts.
-5. Components of the links give each document the smallest doc_id that it reaches.
+   sizes; two nodes are compared only while the overlap that their bitmaps allow and their sizes could link a pair.
+   Remaining pairs are verified exactly, and every one that links is a row. Clusters above UNIT sets are cut into parts
+   of half of it, and each part meets itself and each other one.
+5. Components of the links give each document the smallest doc_id that it reaches. links() gives the links themselves,
+   between members of classes; n_links counts each document's, those to its own class included.
 
 Every step sends a block's distinct entries once, so no hot shingle or group of copies is gathered in one task.
 
@@ -146,15 +146,17 @@ class Tree:
         return 7 * most >= 3 * (small_a + small_b)
 
 
-def join_sets(sets: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Labels (numbers from 0 on) after joining the labels of all pairs of sets that link."""
+def join_sets(sets: list[np.ndarray], side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers i < j of all pairs of sets that link; with `side`, of those whose sides differ."""
     order = np.argsort([len(s) for s in sets], kind="stable")
-    tree, label = Tree([sets[i] for i in order]), labels[order].copy()
-    stack = [((0, len(sets)), (0, len(sets)))]
+    tree = Tree([sets[i] for i in order])
+    side = np.arange(len(sets)) if side is None else side[order]
+    ids = np.unique(np.concatenate(tree.sets), return_inverse=True)[1]
+    starts, mark = np.concatenate([[0], np.cumsum(tree.sizes)]), np.zeros(ids.max() + 1, np.uint8)
+    found, stack = [np.zeros((0, 2), np.int64)], [((0, len(sets)), (0, len(sets)))]
     while stack:
         p, q = stack.pop()
-        own = label[p[0] : p[1]]
-        if (own == own[0]).all() and (label[q[0] : q[1]] == own[0]).all() or not tree.may_link(p, q):
+        if not tree.may_link(p, q):
             continue
         halves = [[x] if x[1] - x[0] <= LEAF else [(x[0], (x[0] + x[1]) // 2), ((x[0] + x[1]) // 2, x[1])] for x in (p, q)]
         if len(halves[0]) + len(halves[1]) > 2:
@@ -162,16 +164,24 @@ def join_sets(sets: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
             continue
         for i in range(*p):
             js = np.arange(max(q[0], i + 1), q[1])
-            js = js[label[js] != label[i]]
-            if len(js):
-                most = np.bitwise_count(tree.bitmaps[i] & tree.bitmaps[js]).sum(1) + np.minimum(tree.doubled[i], tree.doubled[js])
-                need = 3 * (tree.sizes[i] + tree.sizes[js])
-                for j in js[7 * np.minimum(most, np.minimum(tree.sizes[i], tree.sizes[js])) >= need]:
-                    if label[i] != label[j] and 7 * _overlap(tree.sets[i], tree.sets[j]) >= 3 * (tree.sizes[i] + tree.sizes[j]):
-                        label[label == max(label[i], label[j])] = min(label[i], label[j])
-    out = np.empty_like(label)
-    out[order] = label
-    return out
+            js = js[side[js] != side[i]]
+            if not len(js):
+                continue
+            most = np.bitwise_count(tree.bitmaps[i] & tree.bitmaps[js]).sum(1) + np.minimum(tree.doubled[i], tree.doubled[js])
+            need = 3 * (tree.sizes[i] + tree.sizes[js])
+            may = 7 * np.minimum(most, np.minimum(tree.sizes[i], tree.sizes[js])) >= need
+            js, need = js[may], need[may]
+            if len(js) > 4:
+                own, lo, hi = ids[starts[i] : starts[i + 1]], js[0], js[-1] + 1
+                mark[own] = 1
+                both = np.add.reduceat(mark[ids[starts[lo] : starts[hi]]], starts[lo:hi] - starts[lo], dtype=np.int64)[js - lo]
+                mark[own] = 0
+            else:
+                both = np.array([_overlap(tree.sets[i], tree.sets[j]) for j in js], np.int64)
+            js = js[7 * both >= need]
+            found.append(np.column_stack([np.full(len(js), order[i]), order[js]]))
+    pairs = np.concatenate(found)
+    return pairs.min(1), pairs.max(1)
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -180,30 +190,40 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
 
 
-def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links (labels a, b) that the units of a bin add; sets of one unit come once each."""
-    out = []
-    for _, unit in pdf.groupby(["cluster", "part"], sort=True):
-        unit = unit.drop_duplicates("node").sort_values("node")
-        names, at = np.unique(unit["label"].to_numpy(), return_inverse=True)
-        if len(names) > 1:
-            new = names[join_sets([np.frombuffer(x, np.uint64) for x in unit["body"]], at)]
-            out.append(pd.DataFrame({"a": new, "b": unit["label"].to_numpy()})[new != unit["label"].to_numpy()])
-    return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"a": pd.array([], "int64"), "b": pd.array([], "int64")})
-
+def _stars_of(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least number that each of n nodes reaches by the links i, j."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, i, label[j])
+        np.minimum.at(new, j, label[i])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
-def _links(items: DataFrame, bins: int) -> DataFrame:
-    """items: cluster, part, node, label, body."""
-    binned = items.withColumn("bin", F.pmod(F.xxhash64("cluster", "part"), F.lit(bins)))
-    return common.written(binned.groupBy("bin").applyInPandas(_joined, "a long, b long"), "jaccard-links")
 
-
-def classes_and_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class_id (the smallest doc_id of an equal set), component_id; also component (a number, null
-    for empty sets), node (the row's number) and tag (xxhash64 of the text, null as empty)."""
+def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rows of three kinds for the units of a bin: 0, a link (a < b); 1, a node and the least one that the unit's links
+    reach from it; 2, a node and the documents that the unit links it with."""
+    out = [pd.DataFrame({"kind": pd.array([], "int32"), "a": pd.array([], "int64"), "b": pd.array([], "int64")})]
+    for _, unit in pdf.groupby(["cluster", "part"], sort=True):
+        unit = unit.sort_values("node")
+        node, side, copies = (unit[c].to_numpy() for c in ("node", "side", "copies"))
+        i, j = join_sets([np.frombuffer(x, np.uint64) for x in unit["body"]], side if unit["cross"].iloc[0] else None)
+        least = _stars_of(len(node), i, j)
+        to = np.bincount(i, copies[j], len(node)) + np.bincount(j, copies[i], len(node))
+        for kind, a, b in ((0, node[i], node[j]), (1, node, node[least]), (2, node, to.astype(np.int64))):
+            rows = slice(None) if kind == 0 else to > 0
+            out.append(pd.DataFrame({"kind": np.full(len(a[rows]), kind, np.int32), "a": a[rows], "b": b[rows]}))
+    return pd.concat(out)
+
+
+def _found(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """keys of all documents, rows of _joined, classes."""
     blocks = win.blocks(docs, "jaccard-blocks")
     keys = common.written(blocks.select("uid", "body").mapInPandas(win.forgetting(_keys), "node long, doc_id long, tag long, n long, f1 long, f2 long"), "jaccard-keys")
-    classes = common.written(keys.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("node").alias("rep"), F.min("doc_id").alias("class_id")), "jaccard-classes")
+    classes = common.written(keys.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("node").alias("rep"), F.min("doc_id").alias("class_id"), F.count("*").alias("copies")), "jaccard-classes")
     n = win.shards(classes.agg(F.sum("n")).first()[0] or 0, docs)
     mask = (1 << ROWS) - 1
     chosen = classes.select(F.shiftright("rep", ROWS).alias("uid"), F.col("rep").bitwiseAND(F.lit(mask)).alias("place"))
@@ -230,14 +250,23 @@ def classes_and_components(docs: DataFrame) -> DataFrame:
     stars = found.where("kind = 0").groupBy("key").applyInPandas(_stars, "a long, b long")
     clusters = components(pairs.union(stars))
     items = found.where("kind = 1").select(F.col("key").alias("node"), F.col("a").alias("body"))
-    links = _cluster_links(items, clusters)
-    labels = components(links)
-    own = classes.join(labels, classes.rep == labels.node, "left").select("n", "f1", "f2", "class_id", F.coalesce("label", "rep").alias("component"))
+    return keys, _cluster_links(items, clusters, classes), classes
+
+
+def classes_and_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, class_id (the smallest doc_id of an equal set), component_id, n_links (the documents that it
+    links with); also component (a number, null for empty sets), node (the row's number) and tag (xxhash64 of the text,
+    null as empty)."""
+    keys, found, classes = _found(docs)
+    labels = components(found.where("kind = 1").select("a", "b"))
+    to = found.where("kind = 2").groupBy(F.col("a").alias("at")).agg(F.sum("b").alias("to"))
+    own = classes.join(labels, classes.rep == labels.node, "left").join(to, F.col("rep") == F.col("at"), "left")
+    own = own.select("n", "f1", "f2", "class_id", F.coalesce("label", "rep").alias("component"), (F.coalesce("to", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     own = common.written(own, "jaccard-components")
     least = own.groupBy("component").agg(F.min("class_id").alias("component_id"))
     own = own.join(least, "component")
     keyed = keys.join(own, ["n", "f1", "f2"], "left")
-    return keyed.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"), "component", "node", "tag")
+    return keyed.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "component", "node", "tag")
 
 
 def _prefixes(uid: int, doc: np.ndarray, h: np.ndarray, answers: list[bytes], n: int) -> pd.DataFrame:
@@ -269,43 +298,31 @@ def _unpacked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"a": np.full(len(x), a), "b": x})
 
 
-def _cluster_links(items: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Links enough to connect all sets of a component; clusters above UNIT go by parts, then across them."""
+def _cluster_links(items: DataFrame, clusters: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows of _joined for all links; clusters above UNIT go by pairs of parts, a pair a unit."""
     members = clusters.select("node", F.col("label").alias("cluster"))
     sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
-    members = common.written(members.join(sizes, "cluster"), "jaccard-members")
-    parts = F.ceil(F.col("size") / UNIT).cast("long")
-    placed = items.join(members, "node").withColumns({"parts": parts, "part": F.pmod(F.xxhash64("node"), parts), "label": F.col("node")})
-    bins = max(common.partitions(items.sparkSession), members.count() // UNIT + 1)
-    links = _links(placed.select("cluster", "part", "node", "label", "body"), bins)
-    large = members.where(F.col("size") > UNIT)
-    if large.isEmpty():
-        return links
-    # One set of each part's components speaks for it first; that joins most of them.
-    big = common.written(placed.where(F.col("size") > UNIT), "jaccard-large")
-    heads = _labelled(big.drop("label"), components(links)).where("node = label")
-    heads = heads.join(heads.groupBy("cluster").agg(F.count("*").alias("heads")), "cluster").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("heads") / UNIT).cast("long")))
-    links = links.union(_links(heads.select("cluster", "part", "node", "label", "body"), bins))
-    now = common.written(_labelled(big.select("node", "cluster", "part", "parts"), components(links)), "jaccard-large-labels")
-    by = now.groupBy("cluster", "label").count()
-    main = by.groupBy("cluster").agg(F.max(F.struct("count", "label")).alias("m")).select("cluster", F.col("m.label").alias("main"))
-    rest = now.join(main, "cluster").where("label <> main").drop("main")
-    left = rest.groupBy("cluster").agg(F.ceil(F.count("*") / UNIT).cast("long").alias("groups"))
-    left = common.written(left, "jaccard-left")
-    if left.isEmpty():
-        return links
-    # Each group of the sets outside the largest component meets each part; a unit's number is group * parts + part.
-    group = F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))
-    here = now.join(left, "cluster").select("node", "cluster", "label", "part", "parts", group.alias("group"))
-    there = rest.join(left, "cluster").withColumn("group", F.pmod(F.xxhash64("node", F.lit(1)), F.col("groups"))).select("node", "cluster", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "parts", "group")
-    met = here.union(there).select("node", "cluster", "label", (F.col("group") * F.col("parts") + F.col("part")).alias("part")).distinct()
-    return links.union(_links(met.join(big.select("node", "body"), "node").select("cluster", "part", "node", "label", "body"), bins))
-
-
-def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """rows with label, that of components, a node without links being its own."""
-    l = labels.select(F.col("node").alias("at"), "label")
-    return rows.join(l, rows.node == l["at"], "left").withColumn("label", F.coalesce("label", "node")).drop("at")
+    members = members.join(sizes, "cluster").join(classes.select(F.col("rep").alias("node"), "copies"), "node")
+    parts = F.when(F.col("size") > UNIT, F.ceil(F.col("size") / (UNIT // 2))).otherwise(1).cast("long")
+    members = common.written(members.withColumn("parts", parts).withColumn("side", F.pmod(F.xxhash64("node"), F.col("parts"))), "jaccard-members")
+    # A part meets each, itself included: the unit of two parts is numbered by the smaller, then the larger.
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
+    met = members.select("node", "cluster", "copies", "parts", "side", other)
+    met = met.withColumn("cross", F.col("side") != F.col("other")).withColumn("part", F.least("side", "other") * F.col("parts") + F.greatest("side", "other"))
+    units = members.groupBy("cluster").agg(F.first("parts").alias("p"), F.count("*").alias("n")).agg(F.sum(F.col("n") * F.col("p"))).first()[0] or 0
+    bins = max(common.partitions(items.sparkSession), units // UNIT + 1)
+    met = met.withColumn("bin", F.pmod(F.xxhash64("cluster", "part"), F.lit(bins)))
+    placed = met.join(items, "node").select("bin", "cluster", "part", "side", "cross", "node", "copies", "body")
+    return common.written(placed.groupBy("bin").applyInPandas(_joined, "kind int, a long, b long"), "jaccard-links")
+
+
+def links(docs: DataFrame) -> DataFrame:
+    """a, b, class_a, class_b: every link between different sets, by the numbers and the smallest doc_ids of their classes.
+
+    With class_id of classes_and_components, it gives all links of documents: those of a class link with one another."""
+    _, found, classes = _found(docs)
+    own = [classes.select(F.col("rep").alias(x), F.col("class_id").alias(f"class_{x}")) for x in "ab"]
+    return found.where("kind = 0").select("a", "b").join(own[0], "a").join(own[1], "b").select("a", "b", "class_a", "class_b")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
