@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import re
 import tempfile
 import uuid
-import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,26 +27,51 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where spark.checkpoint.dir is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, spark.checkpoint.dir. A session in one process may leave it unset and gets
+    a temporary folder of its own; on a cluster that is an error, as executors would not see such a folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(spark.sparkContext.applicationId)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
     return folder.rstrip("/")
 
 
+_OWN: dict[str, str] = {}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: it cuts the lineage and outlives any executor.
 
-    The table goes when the driver's Python ends, as results that read it are lazy.
+    The table goes by drop_written(), or else when the driver's Python ends, as results that read it are lazy.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_drop, spark, path)
+    dropped_later(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_LATER: list[tuple[SparkSession, str]] = []
+
+
+def dropped_later(spark: SparkSession, path: str) -> None:
+    _LATER.append((spark, path))
+
+
+def drop_written(keep: int = 0) -> None:
+    """Drops what written() has made since there were `keep` tables; for use when all results that read them are written."""
+    while len(_LATER) > keep:
+        _drop(*_LATER.pop())
+
+
+def n_written() -> int:
+    return len(_LATER)
+
+
+atexit.register(drop_written)
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -53,6 +81,36 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def give_back() -> None:
+    """Returns memory that Arrow and the C library hold but do not use, so that idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def forgetting(run: Callable[[Iterator], Iterator], *forget: Callable[[], None]) -> Callable[[Iterator], Iterator]:
+    """run, for mapInArrow or mapInPandas, that calls `forget` and gives memory back when a task ends."""
+
+    def ending(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            for f in forget:
+                f()
+            give_back()
+
+    return ending
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of at most so many rows, as texts may be long."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def words(text: Column) -> Column:
     """The words of a text (null: none), as a native array."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), "")
@@ -63,10 +121,6 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def fold_of(doc_id: int | None, folds: int) -> int:
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

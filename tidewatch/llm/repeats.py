@@ -1,12 +1,14 @@
 """Removal of word windows that occur more than once, by a count-min prefilter.
 
-First pass: every block of documents sketches its windows. A sketch is one row of 2**CELL_BITS counters, kept sparse, as
-the sorted list of the cells that are not zero; one wide sparse row costs two or three bytes a window at any size of
-corpus, where dense rows would either saturate or outgrow the tasks that need them. Shards merge the blocks' sketches
-for their range of cells and answer each block with a bit a cell: counted once, or more. A merged count is never below
-the true one, so a window of a cell counted once is certainly unique. Second pass: blocks send 128-bit hashes of the
-windows whose cells were counted repeatedly, with the cell as a part; shards group them exactly, up to that hash, and
-answer with bits again. Last pass: blocks remove the words that repeated windows cover.
+First pass: every block of documents counts its windows and sends its sketch, as the CELL_BITS-bit keys of the windows
+it holds and whether each occurs once or more; a key gives the window's cell in each of the SKETCH_ROWS rows. A shard of
+the key space owns one count-min sketch of fixed width, SKETCH_ROWS x SKETCH_CELLS counters, into which it adds all
+blocks' sketches; the least of a window's counters is its estimate, never below the true count, and goes back to the
+blocks as a bit: once, or more. So a window estimated once is certainly unique. Sketches travel sparse, two or three
+bytes a window, as dense ones of a width that fits the corpus would not fit the blocks. Second pass: blocks send
+128-bit hashes of the windows estimated as repeated; shards group them exactly, up to that hash, whose halves come from
+independent hashes of the words, and answer with bits again. Last pass: blocks remove the words that repeated windows
+cover.
 
 No step gathers a window's occurrences: a block sends each distinct window once, and counts its own repetitions itself.
 Blocks are written once, so a lost executor costs the recomputation of single tasks.
@@ -29,16 +31,27 @@ from tidewatch.llm import common
 from tidewatch.llm import windows as win
 
 WIDTH, CELL_BITS = 35, 40
+SKETCH_ROWS, SKETCH_CELLS = 4, 1 << 23
 CELL = np.uint64(64 - CELL_BITS)
 
 
+def estimates(keys: np.ndarray, counts: np.ndarray, rows: int = SKETCH_ROWS, cells: int = SKETCH_CELLS) -> np.ndarray:
+    """For each key the least of its counters, once all counts are added to a sketch of `rows` rows of `cells` counters."""
+    least = np.full(len(keys), np.iinfo(np.uint32).max, np.uint32)
+    for r in range(rows):
+        at = (common.mix(keys + np.uint64(r + 1) * win.ODD) % np.uint64(cells)).astype(np.int64)
+        row = np.zeros(cells, np.uint32)
+        np.add.at(row, at, counts)
+        least = np.minimum(least, row[at])
+    return least
+
+
 def _merged_counts(pdf: pd.DataFrame) -> list[bytes]:
-    """A bit for each cell that a block sent: whether the merged count is two or more."""
+    """A bit for each key that a block sent: whether the merged sketch estimates two or more."""
     lists = [common.unpack_sorted(x) for x in pdf["cells"]]
-    twice = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(c)).astype(bool) for x, c in zip(pdf["twice"], lists, strict=True)]
-    cells, at, n = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-    n = n + np.bincount(at, np.concatenate(twice), len(cells))
-    found, ends = (n >= 2)[at], np.cumsum([0, *map(len, lists)])
+    twice = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(c)) for x, c in zip(pdf["twice"], lists, strict=True)]
+    found = estimates(np.concatenate(lists), np.concatenate(twice).astype(np.uint32) + np.uint32(1)) >= 2
+    ends = np.cumsum([0, *map(len, lists)])
     return [win.bits(found[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
 
 
@@ -66,7 +79,7 @@ def _suspects(w: win.Windows, counted: list[bytes]) -> tuple[np.ndarray, np.ndar
     _, at, _ = _cells(w)
     flags = win.flags_of(counted)
     place = np.flatnonzero(flags[at]) if len(at) else np.zeros(0, np.int64)
-    first, second = w.hashes()[place], w.hashes(win.OFF)[place]
+    first, second = w.hashes()[place], w.hashes(1)[place]
     order = np.lexsort((second, first))
     f, s = first[order], second[order]
     new = np.concatenate([[True], (f[1:] != f[:-1]) | (s[1:] != s[:-1])]) if len(f) else np.zeros(0, bool)
@@ -120,11 +133,11 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, text: bool = True) -> DataF
                 yield pd.DataFrame(out | ({"kept": [k.decode() for k in kept]} if text else {}))
 
     small = "shard long, uid long, cells binary, "
-    counted = common.written(win.exchange(blocks.select("uid", "body").mapInPandas(win.forgetting(sketch), small + "twice binary"), _merged_counts), "repeat-counted")
+    counted = common.written(win.exchange(blocks.select("uid", "body").mapInPandas(common.forgetting(sketch), small + "twice binary"), _merged_counts), "repeat-counted")
     both = blocks.join(counted.withColumnRenamed("answers", "counted"), "uid", "left").select("uid", "body", "counted")
-    grouped = common.written(win.exchange(both.mapInPandas(win.forgetting(suspects), small + "rest binary"), _merged_windows), "repeat-grouped")
+    grouped = common.written(win.exchange(both.mapInPandas(common.forgetting(suspects), small + "rest binary"), _merged_windows), "repeat-grouped")
     last = both.join(grouped.withColumnRenamed("answers", "grouped"), "uid", "left")
-    return last.select("body", "counted", "grouped").mapInPandas(win.forgetting(apply), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * text)
+    return last.select("body", "counted", "grouped").mapInPandas(common.forgetting(apply), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * text)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

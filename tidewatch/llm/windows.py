@@ -24,7 +24,6 @@ from tidewatch.llm import common
 BLOCK = 4 << 20
 #: Entries that a shard merges, about.
 SHARD_ENTRIES = 4_000_000
-CACHE = 500_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 OFF = np.uint64(0xD1B54A32D192ED03)
 
@@ -58,7 +57,7 @@ def blocks(docs: DataFrame, name: str) -> DataFrame:
             yield made()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return common.written(rows.mapInArrow(run, "uid long, n long, body binary"), name)
+    return common.written(rows.mapInArrow(common.forgetting(run), "uid long, n long, body binary"), name)
 
 
 def opened(body: bytes) -> tuple[list[int | None], list[str | None]]:
@@ -66,37 +65,6 @@ def opened(body: bytes) -> tuple[list[int | None], list[str | None]]:
     return data.column(0).to_pylist(), data.column(1).to_pylist()
 
 
-class WordHashes(dict):
-    """64-bit hashes of words as bytes, kept for the words seen of late."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        made = self[word] = xxhash.xxh3_64_intdigest(word)
-        return made
-
-
-_HASHES = WordHashes()
-
-
-def forget() -> None:
-    """Drops the words kept, so that idle workers hold no memory."""
-    _HASHES.clear()
-    pa.default_memory_pool().release_unused()
-
-
-def forgetting(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """run, with the words that a task kept dropped at its end."""
-
-    def ending(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        try:
-            yield from run(frames)
-        finally:
-            forget()
-
-    return ending
-
-
 def words_of(text: str | None, lower: bool = False) -> list[bytes]:
     """Words between ASCII white space; lower folds A-Z alone."""
     data = (text or "").encode()
@@ -110,19 +78,21 @@ class Windows:
         split = [words_of(t, lower) for t in texts]
         self.width, self.counts = width, np.array([len(w) for w in split], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.counts)])
-        self.words = np.fromiter((h for w in split for h in map(_HASHES.__getitem__, w)), np.uint64, self.starts[-1])
+        #: Two independent 64-bit hashes of each word, the halves of a 128-bit one.
+        self.halves = np.frombuffer(b"".join([h for w in split for h in map(xxhash.xxh3_128_digest, w)]), "<u8").reshape(-1, 2)
+        self.words = self.halves[:, 0]
         own = np.maximum(self.counts - width + 1, 0)
         #: Positions in `words` at which a window starts, ascending, and the documents that these belong to.
         self.doc = np.repeat(np.arange(len(split)), own)
         self.at = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own) + np.repeat(self.starts[:-1], own)
 
-    def hashes(self, odd: np.uint64 = ODD) -> np.ndarray:
-        """One for each window; equal windows have equal ones. Different `odd` numbers give independent hashes."""
-        n = len(self.words)
+    def hashes(self, half: int = 0) -> np.ndarray:
+        """One for each window; equal windows have equal ones. Either half of the words' hashes gives independent ones."""
+        n, odd = len(self.words), (ODD, OFF)[half]
         if not len(self.at):
             return np.zeros(0, np.uint64)
         back = np.multiply.accumulate(np.full(n + 1, np.uint64(pow(int(odd), -1, 1 << 64)), np.uint64))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(common.mix(self.words ^ odd) * back[:n], dtype=np.uint64)])
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(common.mix(self.halves[:, half] ^ odd) * back[:n], dtype=np.uint64)])
         forth = np.multiply.accumulate(np.full(n + 1, odd, np.uint64))
         return common.mix((sums[self.at + self.width] - sums[self.at]) * forth[self.at])
 
@@ -131,15 +101,13 @@ def shards(entries: int, df: DataFrame) -> int:
     return max(common.partitions(df.sparkSession), -(-entries // SHARD_ENTRIES))
 
 
-def bounds(n: int) -> np.ndarray:
-    """Where n even ranges of 64-bit hashes start."""
-    return np.array([(i << 64) // n for i in range(n)], np.uint64)
-
-
 def split_by(hashes: np.ndarray, n: int) -> list[tuple[int, slice]]:
-    """The non-empty ranges of ascending hashes."""
-    at = np.append(np.searchsorted(hashes, bounds(n)), len(hashes))
-    return [(i, slice(at[i], at[i + 1])) for i in range(n) if at[i] < at[i + 1]]
+    """The non-empty ones of n even ranges of ascending hashes (n below 2**32), found without a walk over all ranges."""
+    if not len(hashes):
+        return []
+    shard = ((hashes >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+    at = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]])
+    return [(int(shard[a]), slice(a, b)) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 def exchange(sent: DataFrame, merge: Callable[[pd.DataFrame], list[bytes]]) -> DataFrame:
