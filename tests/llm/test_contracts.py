@@ -113,9 +113,9 @@ def test_private_spans_of_generated_texts(spark):
         assert [(pii.KINDS[x.kind], x.s, x.e) for x in r.base] == brute.private(texts[r.doc_id])
 
 
-@pytest.mark.parametrize("unit", [jaccard.UNIT, 16])
+@pytest.mark.parametrize("unit", [jaccard.UNIT_BYTES, 60_000])
 def test_every_link_between_different_texts_is_found(spark, monkeypatch, unit):
-    monkeypatch.setattr(jaccard, "UNIT", unit)
+    monkeypatch.setattr(jaccard, "UNIT_BYTES", unit)
     rng = np.random.default_rng(11)
     texts = [" ".join(w if k != cut else f"new{cut}" for k, w in enumerate(base)) for base in ([f"{b}{k}" for k in range(80)] for b in "abc") for cut in rng.integers(0, 80, 20)]
     docs = spark.createDataFrame([*enumerate([*texts, *texts[:3], "alone", ""])], "doc_id long, text string")
@@ -346,9 +346,10 @@ def test_components_are_those_of_all_pairs(docs):
     check_components(docs)
 
 
-def test_clusters_above_a_unit(spark, monkeypatch):
-    """Chains of near copies in a cluster that is joined in parts."""
-    monkeypatch.setattr(jaccard, "UNIT", 16)
+@pytest.mark.parametrize("unit", [5_000, 100_000])
+def test_clusters_above_a_unit(spark, monkeypatch, unit):
+    """Chains of near copies in a cluster that is joined in parts, cells of minimum hashes dealt over several ones."""
+    monkeypatch.setattr(jaccard, "UNIT_BYTES", unit)
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in range(80)]
     rows = []

@@ -7,12 +7,15 @@ Documents are sets of hashed word shingles; two link when their sets' Jaccard si
    order of (magnitude, hash), two sets that link share a shingle among the first n - ceil(3n/4) + 1 of each: the usual
    prefix filter. Shingles of one set only need no entry, so documents without near copies drop out here.
 3. Sets that share such a shingle form candidate clusters: connected components of stars, one centre a shingle.
-4. Each cluster is joined by signature trees. Leaves hold sets, nodes the OR of their bitmaps and the range of their
-   sizes; two nodes are compared only while the overlap that their bitmaps allow and their sizes could link a pair.
-   Remaining pairs are verified exactly, and every one that links is a row. Clusters above UNIT sets are cut into parts
-   of half of it, and each part meets itself and each other one.
-5. Components of the links give each document the smallest doc_id that it reaches. links() gives the links themselves,
-   between members of classes; n_links counts each document's, those to its own class included.
+4. Each cluster is joined by signature trees: nodes hold the OR of their sets' bitmaps and the range of their sizes, and
+   two nodes are opened only while the overlap that their bitmaps allow and their sizes could link a pair. The upper
+   nodes of a cluster above UNIT_BYTES are the parts table: parts of at most about that size, of like sizes and like
+   minimum hashes. Pairs of parts that could link are units, and only these meet the sets' bodies. Within a unit, trees
+   are loaded in order of size class, then minimum hash, and traversed together; leaf pairs are verified exactly.
+5. A unit gives, for each of its sets, the least set that its links reach and the number of documents it links with,
+   so its output grows with its sets and not with its links; links() gives the links themselves. Components of these
+   give each document the smallest doc_id that it reaches; n_links counts each document's links, those to its own
+   class included.
 
 Every step sends a block's distinct entries once, so no hot shingle or group of copies is gathered in one task.
 
@@ -24,12 +27,12 @@ repeated rows are equal sets; other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm import common
@@ -37,8 +40,10 @@ from tidewatch.llm import windows as win
 from tidewatch.llm.components import components
 
 WIDTH, CELL = 5, np.uint64(24)
-#: Sets of a part of a cluster that one call joins; leaves of a tree.
-UNIT, LEAF = 2048, 32
+#: Bytes of sets that a part of a cluster holds, about; what a set takes besides its own; sets of a leaf.
+UNIT_BYTES, SET_BYTES, LEAF = 8 << 20, 4096, 32
+#: Values of a minimum hash by which parts are formed; bits of a part's bitmap; ratio of size classes, above 4/3.
+CELLS, PART_BITS, RATIO = 4096, 16384, 1.34
 #: Rows up to which the ids of documents to keep are broadcast.
 SMALL_ROWS = 2_000_000
 ROWS = 20  # bits of a node's number for its place in its block
@@ -112,18 +117,32 @@ def _stars(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
+def _bitmaps(sets: list[np.ndarray], width: int) -> np.ndarray:
+    sizes = np.array([len(s) for s in sets])
+    out = np.zeros((len(sets), width // 64), np.uint64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    bit = np.concatenate(sets) % np.uint64(width)
+    np.bitwise_or.at(out, (owner, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+    return out
+
+
+def may_link(a: tuple[np.ndarray, int, int, int], b: tuple[np.ndarray, int, int, int]) -> bool:
+    """Whether sets below two nodes could link; a node: OR of bitmaps, least and largest size, most shingles of a set beyond the first of their bit."""
+    if 4 * a[2] < 3 * b[1] or 4 * b[2] < 3 * a[1]:
+        return False
+    most = min(int(np.bitwise_count(a[0] & b[0]).sum()) + min(a[3], b[3]), a[2], b[2])
+    return 7 * most >= 3 * (a[1] + b[1])
+
+
 class Tree:
-    """Sets in order of size, their bitmaps, and nodes over halves of the order."""
+    """Sets in their order, their bitmaps, and nodes over halves of the order."""
 
     def __init__(self, sets: list[np.ndarray]) -> None:
         self.sets, self.sizes = sets, np.array([len(s) for s in sets])
         width = 512
         while width < 8 * np.median(self.sizes) and width < 16384:
             width *= 2
-        self.bitmaps = np.zeros((len(sets), width // 64), np.uint64)
-        owner = np.repeat(np.arange(len(sets)), self.sizes)
-        bit = np.concatenate(sets) % np.uint64(width)
-        np.bitwise_or.at(self.bitmaps, (owner, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+        self.bitmaps = _bitmaps(sets, width)
         self.doubled = self.sizes - np.bitwise_count(self.bitmaps).sum(1)  # shingles beyond the first of their bit
         self.nodes: dict[tuple[int, int], tuple[np.ndarray, int, int, int]] = {}
         self._node(0, len(sets))
@@ -134,21 +153,21 @@ class Tree:
         else:
             mid = (lo + hi) // 2
             bits = self._node(lo, mid) | self._node(mid, hi)
-        self.nodes[lo, hi] = bits, int(self.sizes[lo]), int(self.sizes[hi - 1]), int(self.doubled[lo:hi].max())
+        self.nodes[lo, hi] = bits, int(self.sizes[lo:hi].min()), int(self.sizes[lo:hi].max()), int(self.doubled[lo:hi].max())
         return bits
 
     def may_link(self, p: tuple[int, int], q: tuple[int, int]) -> bool:
-        a, small_a, large_a, twice_a = self.nodes[p]
-        b, small_b, large_b, twice_b = self.nodes[q]
-        if 4 * large_a < 3 * small_b or 4 * large_b < 3 * small_a:
-            return False
-        most = min(int(np.bitwise_count(a & b).sum()) + min(twice_a, twice_b), large_a, large_b)
-        return 7 * most >= 3 * (small_a + small_b)
+        return may_link(self.nodes[p], self.nodes[q])
+
+
+def size_class(n: np.ndarray) -> np.ndarray:
+    """Two sets that link are of one class or of neighbouring ones."""
+    return np.floor(np.log(n) / np.log(RATIO)).astype(np.int64)
 
 
 def join_sets(sets: list[np.ndarray], side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers i < j of all pairs of sets that link; with `side`, of those whose sides differ."""
-    order = np.argsort([len(s) for s in sets], kind="stable")
+    """Numbers i < j of all pairs of sets (ascending hashes) that link; with `side`, of those whose sides differ."""
+    order = np.lexsort((np.array([s[0] for s in sets]), size_class(np.array([len(s) for s in sets]))))
     tree = Tree([sets[i] for i in order])
     side = np.arange(len(sets)) if side is None else side[order]
     ids = np.unique(np.concatenate(tree.sets), return_inverse=True)[1]
@@ -203,26 +222,47 @@ def _stars_of(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Rows of three kinds for the units of a bin: 0, a link (a < b); 1, a node and the least one that the unit's links
-    reach from it; 2, a node and the documents that the unit links it with."""
-    out = [pd.DataFrame({"kind": pd.array([], "int32"), "a": pd.array([], "int64"), "b": pd.array([], "int64")})]
-    for _, unit in pdf.groupby(["cluster", "part"], sort=True):
-        unit = unit.sort_values("node")
-        node, side, copies = (unit[c].to_numpy() for c in ("node", "side", "copies"))
-        i, j = join_sets([np.frombuffer(x, np.uint64) for x in unit["body"]], side if unit["cross"].iloc[0] else None)
-        least = _stars_of(len(node), i, j)
-        to = np.bincount(i, copies[j], len(node)) + np.bincount(j, copies[i], len(node))
-        for kind, a, b in ((0, node[i], node[j]), (1, node, node[least]), (2, node, to.astype(np.int64))):
-            rows = slice(None) if kind == 0 else to > 0
-            out.append(pd.DataFrame({"kind": np.full(len(a[rows]), kind, np.int32), "a": a[rows], "b": b[rows]}))
-    return pd.concat(out)
+def _joined(pairs: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Rows of three kinds for the units of a bin: 0, a link (a < b), if pairs are wanted; 1, a node and the least one that
+    the unit's links reach from it; 2, a node and the number of documents that the unit links it with."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"kind": pd.array([], "int32"), "a": pd.array([], "int64"), "b": pd.array([], "int64")})]
+        for _, unit in pdf.groupby(["cluster", "p", "q"], sort=True):
+            unit = unit.sort_values("node")
+            node, part, copies = (unit[c].to_numpy() for c in ("node", "part", "copies"))
+            i, j = join_sets([np.frombuffer(x, np.uint64) for x in unit["body"]], part if unit["p"].iloc[0] != unit["q"].iloc[0] else None)
+            least = _stars_of(len(node), i, j)
+            to = np.bincount(i, copies[j], len(node)) + np.bincount(j, copies[i], len(node))
+            for kind, a, b in [(0, node[i], node[j])] * pairs + [(1, node, node[least]), (2, node, to.astype(np.int64))]:
+                rows = slice(None) if kind == 0 else to > 0
+                out.append(pd.DataFrame({"kind": np.full(len(a[rows]), kind, np.int32), "a": a[rows], "b": b[rows]}))
+        common.give_back()
+        return pd.concat(out)
+
+    return run
+
+
+def _part_node(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The node of one part."""
+    sets = [np.frombuffer(x, np.uint64) for x in pdf["body"]]
+    maps, sizes = _bitmaps(sets, PART_BITS), np.array([len(x) for x in sets])
+    twice = sizes - np.bitwise_count(maps).sum(1)
+    return pd.DataFrame({"cluster": pdf["cluster"].iloc[:1], "g": pdf["g"].iloc[:1], "part": pdf["part"].iloc[:1], "bits": [np.bitwise_or.reduce(maps, axis=0).tobytes()], "least": [int(sizes.min())], "most": [int(sizes.max())], "twice": [int(twice.max())]})
+
+
+def _live(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of parts (cluster, p, q) that could link."""
+    for pdf in frames:
+        nodes = [[(np.frombuffer(r[0], np.uint64), *r[1:]) for r in zip(*(pdf[f"{c}_{x}"] for c in ("bits", "least", "most", "twice")), strict=True)] for x in "pq"]
+        keep = np.array([p == q or may_link(a, b) for p, q, a, b in zip(pdf["p"], pdf["q"], *nodes, strict=True)], bool)
+        yield pdf.loc[keep, ["cluster", "p", "q"]]
 
 
-def _found(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _found(docs: DataFrame, pairs: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """keys of all documents, rows of _joined, classes."""
     blocks = win.blocks(docs, "jaccard-blocks")
-    keys = common.written(blocks.select("uid", "body").mapInPandas(win.forgetting(_keys), "node long, doc_id long, tag long, n long, f1 long, f2 long"), "jaccard-keys")
+    keys = common.written(blocks.select("uid", "body").mapInPandas(common.forgetting(_keys), "node long, doc_id long, tag long, n long, f1 long, f2 long"), "jaccard-keys")
     classes = common.written(keys.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("node").alias("rep"), F.min("doc_id").alias("class_id"), F.count("*").alias("copies")), "jaccard-classes")
     n = win.shards(classes.agg(F.sum("n")).first()[0] or 0, docs)
     mask = (1 << ROWS) - 1
@@ -237,20 +277,20 @@ def _found(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
                 rows = [(s, uid, common.pack_sorted(cells[k] >> CELL), np.minimum(counts[k], 255).astype(np.uint8).tobytes()) for s, k in win.split_by(cells, n)]
                 yield pd.DataFrame(rows, columns=["shard", "uid", "cells", "counts"])
 
-    sized = common.written(win.exchange(some.mapInPandas(win.forgetting(sketch), "shard long, uid long, cells binary, counts binary"), _magnitudes), "jaccard-magnitudes")
+    sized = common.written(win.exchange(some.mapInPandas(common.forgetting(sketch), "shard long, uid long, cells binary, counts binary"), _magnitudes), "jaccard-magnitudes")
 
     def prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for uid, body, take, answers in zip(pdf["uid"], pdf["body"], pdf["chosen"], pdf["answers"], strict=True):
                 yield _prefixes(uid, *_block_sets(body, take), win.answers_of(answers), n)
 
-    found = some.join(sized, "uid").mapInPandas(win.forgetting(prefixes), "kind int, key long, a binary, b binary")
+    found = some.join(sized, "uid").mapInPandas(common.forgetting(prefixes), "kind int, key long, a binary, b binary")
     found = common.written(found, "jaccard-prefixes")
-    pairs = found.where("kind = 2").select(F.col("key").alias("a"), F.col("b")).mapInPandas(_unpacked, "a long, b long")
+    near = found.where("kind = 2").select(F.col("key").alias("a"), F.col("b")).mapInPandas(_unpacked, "a long, b long")
     stars = found.where("kind = 0").groupBy("key").applyInPandas(_stars, "a long, b long")
-    clusters = components(pairs.union(stars))
-    items = found.where("kind = 1").select(F.col("key").alias("node"), F.col("a").alias("body"))
-    return keys, _cluster_links(items, clusters, classes), classes
+    clusters = components(near.union(stars))
+    items = found.where("kind = 1").select(F.col("key").alias("node"), F.col("a").alias("body"), F.conv(F.hex("b"), 16, 10).cast("int").alias("cell"))
+    return keys, _cluster_links(items, clusters, classes, pairs), classes
 
 
 def classes_and_components(docs: DataFrame) -> DataFrame:
@@ -285,7 +325,7 @@ def _prefixes(uid: int, doc: np.ndarray, h: np.ndarray, answers: list[bytes], n:
     head = d[first][np.cumsum(first) - 1] if len(t) else d
     base = uid << ROWS
     rows: list[tuple] = [(0, s, common.pack_sorted(t[first][k]), (base + d[first][k]).astype(np.int64).tobytes()) for s, k in win.split_by(t[first], n)]
-    rows += [(1, base + int(docs[i]), h[starts[i] : starts[i] + counts[i]].tobytes(), b"") for i in np.flatnonzero(np.isin(docs, d))]
+    rows += [(1, base + int(docs[i]), h[starts[i] : starts[i] + counts[i]].tobytes(), int(h[starts[i]] % np.uint64(CELLS)).to_bytes(2, "big")) for i in np.flatnonzero(np.isin(docs, d))]
     pairs = np.unique(np.column_stack([head, d])[head != d], axis=0)
     rows += [(2, base + int(a), b"", (base + pairs[pairs[:, 0] == a, 1]).astype(np.int64).tobytes()) for a in np.unique(pairs[:, 0])]
     return pd.DataFrame(rows, columns=["kind", "key", "a", "b"])
@@ -298,29 +338,44 @@ def _unpacked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"a": np.full(len(x), a), "b": x})
 
 
-def _cluster_links(items: DataFrame, clusters: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows of _joined for all links; clusters above UNIT go by pairs of parts, a pair a unit."""
-    members = clusters.select("node", F.col("label").alias("cluster"))
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
-    members = members.join(sizes, "cluster").join(classes.select(F.col("rep").alias("node"), "copies"), "node")
-    parts = F.when(F.col("size") > UNIT, F.ceil(F.col("size") / (UNIT // 2))).otherwise(1).cast("long")
-    members = common.written(members.withColumn("parts", parts).withColumn("side", F.pmod(F.xxhash64("node"), F.col("parts"))), "jaccard-members")
-    # A part meets each, itself included: the unit of two parts is numbered by the smaller, then the larger.
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
-    met = members.select("node", "cluster", "copies", "parts", "side", other)
-    met = met.withColumn("cross", F.col("side") != F.col("other")).withColumn("part", F.least("side", "other") * F.col("parts") + F.greatest("side", "other"))
-    units = members.groupBy("cluster").agg(F.first("parts").alias("p"), F.count("*").alias("n")).agg(F.sum(F.col("n") * F.col("p"))).first()[0] or 0
-    bins = max(common.partitions(items.sparkSession), units // UNIT + 1)
-    met = met.withColumn("bin", F.pmod(F.xxhash64("cluster", "part"), F.lit(bins)))
-    placed = met.join(items, "node").select("bin", "cluster", "part", "side", "cross", "node", "copies", "body")
-    return common.written(placed.groupBy("bin").applyInPandas(_joined, "kind int, a long, b long"), "jaccard-links")
+def _cluster_links(items: DataFrame, clusters: DataFrame, classes: DataFrame, pairs: bool) -> DataFrame:
+    """Rows of _joined for all links."""
+    members = clusters.select("node", F.col("label").alias("cluster")).join(classes.select(F.col("rep").alias("node"), "copies", "n"), "node")
+    weight = (F.col("n") * 8 + SET_BYTES).alias("weight")
+    members = members.join(items, "node").select("node", "cluster", "copies", "body", "cell", weight, F.floor(F.log(F.col("n").cast("double")) / float(np.log(RATIO))).alias("g"))
+    members = common.written(members, "jaccard-members")
+    total = members.groupBy("cluster").agg(F.sum("weight").alias("total"))
+    bins = max(common.partitions(items.sparkSession), (total.agg(F.sum("total")).first()[0] or 0) // UNIT_BYTES + 1)
+    held = "bin", "cluster", "p", "q", "part", "node", "copies", "body"
+    none = [F.lit(0).cast("long").alias(x) for x in ("p", "q", "part")]
+    small = members.join(total.where(F.col("total") <= UNIT_BYTES), "cluster").select(F.pmod(F.xxhash64("cluster"), F.lit(bins)).alias("bin"), "cluster", *none, "node", "copies", "body")
+    done = common.written(small.select(*held).groupBy("bin").applyInPandas(_joined(pairs), "kind int, a long, b long"), "jaccard-links")
+    large = members.join(total.where(F.col("total") > UNIT_BYTES).select("cluster"), "cluster")
+    if large.isEmpty():
+        return done
+    # Cells of minimum hashes are laid together up to a part's size; a cell above it is dealt over several parts.
+    cells = large.groupBy("cluster", "g", "cell").agg(F.sum("weight").alias("w"))
+    before = F.coalesce(F.sum(F.when(F.col("w") <= UNIT_BYTES, F.col("w"))).over(Window.partitionBy("cluster", "g").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.withColumn("slot", F.when(F.col("w") <= UNIT_BYTES, F.floor(before / UNIT_BYTES)).otherwise(-1 - F.col("cell"))).withColumn("deal", F.ceil(F.col("w") / UNIT_BYTES))
+    part = F.xxhash64("g", "slot", F.when(F.col("slot") < 0, F.pmod(F.xxhash64("node"), F.col("deal"))))
+    parted = common.written(large.join(cells, ["cluster", "g", "cell"]).select("cluster", "g", part.alias("part"), "node", "copies", "body"), "jaccard-parted")
+    nodes = common.written(parted.groupBy("cluster", "g", "part").applyInPandas(_part_node, "cluster long, g long, part long, bits binary, least long, most long, twice long"), "jaccard-nodes")
+    figures = ("part", "bits", "least", "most", "twice")
+    one = nodes.select("cluster", F.col("g").alias("own"), F.explode(F.array(F.col("g"), F.col("g") + 1)).alias("g"), *(F.col(c).alias(f"{c}_p") for c in figures))
+    other = nodes.select("cluster", "g", *(F.col(c).alias(f"{c}_q") for c in figures))
+    # Parts of one class meet once, those of neighbouring classes in the order of these.
+    met = one.join(other, ["cluster", "g"]).withColumnsRenamed({"part_p": "p", "part_q": "q"}).where((F.col("own") != F.col("g")) | (F.col("p") <= F.col("q")))
+    live = common.written(met.mapInPandas(_live, "cluster long, p long, q long"), "jaccard-pairs")
+    units = live.withColumn("part", F.explode(F.array_distinct(F.array("p", "q"))))
+    placed = units.join(parted, ["cluster", "part"]).withColumn("bin", F.xxhash64("cluster", "p", "q")).select(*held)
+    return done.union(common.written(placed.groupBy("bin").applyInPandas(_joined(pairs), "kind int, a long, b long"), "jaccard-links"))
 
 
 def links(docs: DataFrame) -> DataFrame:
     """a, b, class_a, class_b: every link between different sets, by the numbers and the smallest doc_ids of their classes.
 
     With class_id of classes_and_components, it gives all links of documents: those of a class link with one another."""
-    _, found, classes = _found(docs)
+    _, found, classes = _found(docs, pairs=True)
     own = [classes.select(F.col("rep").alias(x), F.col("class_id").alias(f"class_{x}")) for x in "ab"]
     return found.where("kind = 0").select("a", "b").join(own[0], "a").join(own[1], "b").select("a", "b", "class_a", "class_b")
 
@@ -341,8 +396,8 @@ def representatives(docs: DataFrame) -> DataFrame:
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The component of every document."""
-    return classes_and_components(common.documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "class_id")
+    """The component of every document, its class of equal sets and the number of its links."""
+    return classes_and_components(common.documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
 ORACLE = r"""
@@ -356,6 +411,6 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, e.b FROM r JOIN e
 c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
 k AS (SELECT doc_id, md5(string_agg(h, chr(10) ORDER BY h)) AS k FROM s GROUP BY doc_id),
 m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS class_id FROM k)
-SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, coalesce(class_id, w.doc_id) AS class_id
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, coalesce(class_id, w.doc_id) AS class_id, (SELECT count(*) FROM e WHERE e.a = w.doc_id) AS n_links
 FROM w JOIN c ON c.a = w.doc_id LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 """
