@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -187,7 +188,7 @@ def test_buckets_of_the_toxicity_model_are_those_of_one_table(spark):
     label = np.repeat([y for _, y in sets], [len(s) for s, _ in sets])
     counts = [np.bincount(at[label == y], minlength=len(grams)).astype(float) for y in (0, 1)]
     often = sum(counts) >= 2
-    grams, known, contexts, other = toxicity.fitted(grams[often], [c[often] for c in counts], tuple(int(c.sum()) for c in counts))
+    grams, known, contexts, other = toxicity.fitted(grams[often], [c[often] for c in counts], tuple(int(c.sum()) for c in counts), tuple(toxicity.discount((c == 1).sum(), (c == 2).sum()) for c in counts))
     known, other = dict(zip(grams.tolist(), known, strict=True)), dict(zip(contexts.tolist(), other, strict=True))
     model = toxicity.train(spark.createDataFrame(texts, "text string, label int"), 7)
     for (t, _), got in zip(texts, model.ratios([t for t, _ in texts]), strict=True):
@@ -195,6 +196,26 @@ def test_buckets_of_the_toxicity_model_are_those_of_one_table(spark):
         assert math.isclose(got, sum(each) / max(len(each), 1), abs_tol=1e-9)
 
 
+def test_toxicity_without_labels_of_both_classes_in_the_first_fold(spark):
+    """The curve takes another fold; without any such fold nothing is told toxic and nothing is dropped."""
+    texts = [(i, "vile zqxjkv slur vkjxqz" if i % 3 == 0 else "calm water and green hills") for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    every = [(i, 0, int(i % 3 == 0)) for i, _ in texts]
+    some = [r for r in every if brute.fold(r[0], 5) != 1 or not r[2]]
+    kinds = "doc_id long, quality int, toxic int"
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, spark.createDataFrame(some, kinds)).collect()}
+    assert min(scores[i] for i in range(0, 60, 3)) > max(scores[i] for i in range(60) if i % 3)
+    one = spark.createDataFrame([r for r in every if not r[2]], kinds)
+    assert {r.score for r in toxicity.score(docs, one).collect()} == {0.0}
+    assert toxicity.keep(docs, one).count() == 60
+
+
+def test_letters_beyond_the_basic_plane_stay_in_their_words():
+    assert len(toxicity.grams_of("a\U00010400b c")) == 6 and len(toxicity.grams_of("a\U0001F600b c")) == 6
+    assert len(set(toxicity.grams_of("\U00010428\U00010429").tolist())) == 3
+    assert len(toxicity.grams_of("word " * 200_000)) == 1_000_000
+
+
 def test_toxicity_holds_on_held_out_rows(spark):
     got = toxicity.op4_toxicity(spark, LARGE).cache()
     share = figures(spark, got, "toxic", LARGE)
@@ -218,7 +239,7 @@ def test_scores_of_odd_tables(odd, none, odd_labels, module):
     assert Counter(r.doc_id for r in got) == Counter(i for i, _ in texts_of(odd))
     assert all(0 <= r.score <= 1 for r in got)
     assert module.score(none, odd_labels).count() == 0
-    assert {r.score for r in module.score(odd, odd_labels.where("1 = 0")).collect()} == {0.5}
+    assert {r.score for r in module.score(odd, odd_labels.where("1 = 0")).collect()} == {0.0 if module is toxicity else 0.5}
 
 
 def test_the_filter_keeps_whole_rows(odd, none, odd_labels):
@@ -249,15 +270,56 @@ def test_mixing_of_odd_tables(odd, none):
     assert mixing.repeated(odd).schema == odd.schema and mixing.repeated(none).count() == 0
 
 
-def test_words_taken_come_near_the_targets(spark):
+@pytest.mark.parametrize("sf_dir", [MEDIUM, LARGE])
+def test_words_taken_come_near_the_targets(spark, sf_dir):
     taken, target = defaultdict(int), {}
-    for r in mixing.op5_mixing_sources(spark, MEDIUM).collect():
+    for r in mixing.op5_mixing_sources(spark, sf_dir).collect():
         taken[r.source] += r.taken
         target[r.source] = r.target
     for s in target:
         assert math.isclose(taken[s], target[s], rel_tol=0.03, abs_tol=5), s
 
 
+def test_inclusion_chances_sum_to_the_words_of_the_sample(spark):
+    words, room, sizes = defaultdict(float), {}, defaultdict(dict)
+    for r in mixing.inclusion(common.documents(spark, MEDIUM)).collect():
+        words[r.source] += r.p * r.size
+        room[r.source] = r.room
+        sizes[r.source][r.size] = r.p
+        assert 0 <= r.p < 1
+    for s in room:
+        assert math.isclose(words[s], room[s], rel_tol=0.01, abs_tol=1), s
+        chances = [p for n, p in sorted(sizes[s].items()) if n]
+        assert all(a >= b for a, b in zip(chances, chances[1:], strict=False))
+
+
+@pytest.mark.parametrize("fill", [mixing.FILL, 3])
+def test_mixing_takes_what_a_plain_walk_in_order_takes(spark, monkeypatch, fill):
+    """Ranked documents are taken while they fit, then the nearest one; few free words are reached by passes alone or not."""
+    monkeypatch.setattr(mixing, "FILL", fill)
+    monkeypatch.setattr(mixing, "BINS", 8)
+    rng = np.random.default_rng(6)
+    docs = [(i, f"s{i % 3}", " ".join(["w"] * int(rng.choice([3, 7, 40, 90, 400])))) for i in range(300)]
+    df = spark.createDataFrame([(i, s, t) for i, s, t in docs], "doc_id long, source string, text string").repartition(3)
+    goal = {r.source: r for r in mixing.goals(common.written(mixing.sizes(df), "test"), mixing.WEIGHTS, mixing.SHARE, mixing.MOST).collect()}
+    want = {}
+    for s, g in goal.items():
+        own = []
+        for i, _, t in (d for d in docs if d[1] == s):
+            size, u = len(t.split()), (int(hashlib.md5(f"{i}:0".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            own.append((u / (1 - u) * math.sqrt(size), i, size))
+        free, left = g.room, []
+        for rank, i, size in sorted(own):
+            want[i] = int(g.copies) * size
+            if size <= free:
+                free, want[i] = free - size, want[i] + size
+            else:
+                left.append((size, rank, i))
+        if left and min(left)[0] < 2 * free:
+            want[min(left)[2]] += min(left)[0]
+    assert {r.doc_id: r.taken for r in mixing.mix(df).collect()} == want
+
+
 # Secrets
 
 
