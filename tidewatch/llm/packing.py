@@ -17,6 +17,7 @@ columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -31,8 +32,8 @@ LENGTH, END_ID = 4096, 2
 DIMS, HILBERT_BITS, HASHED, TIE_BITS = 4, 12, 1024, 14
 #: Tokens of a range, unless that made more than MOST_RANGES; ranges are sorted and cut in a stream, so memory does not grow with them.
 RANGE_TOKENS, MOST_RANGES = 4 << 20, 1 << 16
-#: Words whose ids a task keeps.
-CACHE = 600_000
+#: Bytes that a task keeps words and their ids in, about, in either of two generations, and what an entry takes besides its own bytes.
+CACHE_BYTES, ENTRY_BYTES = 32 << 20, 200
 
 
 def tokenizer_path() -> str:
@@ -51,23 +52,29 @@ def _byte_letters() -> dict[int, str]:
 class WordTokens(dict):
     """The ids (little-endian, of one width) of a word, the bytes between ASCII white space, kept for the words seen of late.
 
+    When the kept words reach CACHE_BYTES they become the older generation, from which words that come again return, so
+    the common ones stay and the rare ones go.
+
     The tokenizer's words never cross white space, so ids of a text are those of its words. Words of plain Latin letters
     go straight to its model, which spares them the tokenizer's general normalisation; others take the whole way.
     """
 
     plain = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
-    ended = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?|;:]+)").fullmatch
+    ended = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.older: dict[bytes, bytes] = {}
+        self.held = 0
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.packed = struct.Struct("<H" if self.kind == "<u2" else "<I").pack
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
         # The short way is taken only if the tokenizer proves to treat such words so.
-        tries = ["Example", "größe", "Été", "niño", "zebraword", "Àÿ"]
+        tries = ["Example", "größe", "Été", "niño", "zebraword", "Àÿ", "we"]
         try:
-            self.short = all(self._model(w) == self._whole(w) for w in tries) and all(self._whole(f"{a}{p}") == self._model(a) + self._whole(p) for a, p in zip(tries, (".", ",", "!!", "?!", "|", ":"), strict=True))
+            self.short = all(self._model(w) == self._whole(w) for w in tries) and all(self._whole(f"{a}{p}") == self._model(a) + self._whole(p) for a, p in zip(tries, (".***", ",", "!!", "?!", "|", '$&"', "[#"), strict=True))
         except Exception:  # a model of another kind
             self.short = False
 
@@ -78,17 +85,29 @@ class WordTokens(dict):
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def __missing__(self, raw: bytes) -> bytes:
-        if len(self) >= CACHE:
+        if self.held >= CACHE_BYTES:
+            self.older = dict(self)
             self.clear()
+            self.held = 0
+        made = self.older.get(raw)
+        if made is None:
+            made = self._made(raw)
+        self[raw] = made
+        self.held += len(raw) + len(made) + ENTRY_BYTES
+        return made
+
+    def _made(self, raw: bytes) -> bytes:
         word = raw.decode()
         if self.short and self.plain(word):
-            ids = self._model(word)
-        elif self.short and (m := self.ended(word)):
-            ids = self._model(m[1]) + np.frombuffer(self[m[2].encode()], self.kind).tolist()
-        else:
-            ids = self._whole(word)
-        made = self[raw] = np.array(ids, self.kind).tobytes()
-        return made
+            small = word.lower()
+            return self[small.encode()] if small != word else b"".join(map(self.packed, self._model(word)))
+        if self.short and (m := self.ended(word)):
+            return self[m[1].lower().encode()] + self[m[2].encode()]
+        return b"".join(map(self.packed, self._whole(word)))
+
+    def forget(self) -> None:
+        self.clear()
+        self.older, self.held = {}, 0
 
     def ids(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.encode().split()))
@@ -98,12 +117,17 @@ _KEPT: dict[str, WordTokens] = {}
 
 
 def word_tokens(path: str) -> WordTokens:
-    """One cache for each worker process."""
+    """One tokenizer for each worker process; its words go when a task ends."""
     if path not in _KEPT:
         _KEPT[path] = WordTokens(path)
     return _KEPT[path]
 
 
+def _forget() -> None:
+    for kept in _KEPT.values():
+        kept.forget()
+
+
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
     """Keys of rows of non-negative integers of `bits` bits along the Hilbert curve (Skilling's transform)."""
     x = points.astype(np.int64).T.copy()
@@ -152,16 +176,14 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
         words, matrix = word_tokens(path), projection()
         end = np.array([END_ID], words.kind).tobytes()
         mask = (1 << TIE_BITS) - 1
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                raw = [words.ids(t or "") + end for t in part.column(1).to_pylist()]
-                ids = [np.frombuffer(r, words.kind) for r in raw]
-                key = (curve_key(ids, matrix) << TIE_BITS) | (part.column(2).to_numpy() & mask)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(key), pa.array([len(x) for x in ids], pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "key", "tokens", "ids"])
+        for part in common.slices(batches, 512):
+            raw = [words.ids(t or "") + end for t in part.column(1).to_pylist()]
+            ids = [np.frombuffer(r, words.kind) for r in raw]
+            key = (curve_key(ids, matrix) << TIE_BITS) | (part.column(2).to_numpy() & mask)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(key), pa.array([len(x) for x in ids], pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "key", "tokens", "ids"])
 
     tie = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), tie).mapInArrow(run, "doc_id long, key long, tokens long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), tie).mapInArrow(common.forgetting(run, _forget), "doc_id long, key long, tokens long, ids binary")
 
 
 def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None) -> DataFrame:
@@ -178,7 +200,7 @@ def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, now, at = None, None, 0
-        for b in batches:
+        for b in common.slices(batches):
             out: list[list] = [[] for _ in range(8)]
             for doc_id, tokens, raw, r in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 if r != now:
@@ -194,7 +216,7 @@ def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None) -> Data
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:7]), pa.array(out[7], pa.binary())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
     kinds = ", ".join(f"`{c}` long" for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))
-    return laid.select("doc_id", "tokens", "ids", "range").mapInArrow(run, kinds + ", ids binary")
+    return laid.select("doc_id", "tokens", "ids", "range").mapInArrow(common.forgetting(run), kinds + ", ids binary")
 
 
 def _ranged(rows: DataFrame, cuts: np.ndarray) -> DataFrame:

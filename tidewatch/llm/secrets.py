@@ -130,11 +130,10 @@ def trigrams_of(query: tuple) -> set[str]:
 def postings(texts: list[bytes], wanted: set[str]) -> dict[str, np.ndarray]:
     """Ascending numbers of the texts that hold each wanted trigram, ASCII letters folded."""
     coded = {t: int.from_bytes(t.encode()) for t in wanted if len(t.encode()) == 3}
-    slot = np.zeros(1 << 24, np.uint8)
     names = sorted(coded)
+    slot = np.zeros(1 << 24, np.uint8 if len(names) < 1 << 8 else np.uint32)
     for i, t in enumerate(names):
         slot[coded[t]] = i + 1
-    assert len(names) < 256, "more trigrams than slots"
     starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
     whole = np.frombuffer(b"\0".join(texts).lower() + b"\0", np.uint8)
     found: dict[str, list[np.ndarray]] = {t: [] for t in names}
@@ -185,12 +184,12 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = finder(rules)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for b in batches:
+        for b in common.slices(batches):
             spans = find([t or "" for t in b.column(1).to_pylist()])
             rows = pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in spans], kind)
             yield pa.RecordBatch.from_arrays([b.column(0), rows], ["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, spans array<struct<kind string, start long, end long>>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(common.forgetting(run), "doc_id long, spans array<struct<kind string, start long, end long>>")
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -199,7 +198,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = finder(rules)
-        for b in batches:
+        for b in common.slices(batches):
             at = b.schema.get_field_index("text")
             texts = b.column(at).to_pylist()
             done = [_masked(t, s) if s else t for t, s in zip(texts, find([t or "" for t in texts]), strict=True)]
@@ -210,7 +209,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                 b = b.set_column(n, "n_chars", pa.array([o if t is u else len(u) for o, t, u in zip(old, texts, done, strict=True)], b.schema.field(n).type))
             yield b
 
-    return docs.mapInArrow(run, fields)
+    return docs.mapInArrow(common.forgetting(run), fields)
 
 
 def _masked(text: str, spans: list[tuple[str, int, int]]) -> str:
