@@ -12,16 +12,13 @@ from pyspark.sql import functions as F
 from tidewatch.sources import bind
 
 
-def test_flags(tests: DataFrame) -> DataFrame:
+def line_flags(lines: DataFrame, pattern: str = bind.ANTIMALARIAL) -> DataFrame:
+    """Flags of a visit's tests and medicines, from one aggregation over its lines."""
     some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
     m, r = F.col("method"), F.col("result")
-    return tests.groupBy("encounter_id").agg(some(m != "not_done").alias("tested"), some(r == "positive").alias("confirmed"), some(r == "negative").alias("negative"), some(m == "rdt").alias("rdt"), some(m == "microscopy").alias("microscopy"), some((m == "rdt") & (r == "positive")).alias("rdt_positive"), some((m == "microscopy") & (r == "positive")).alias("microscopy_positive"), some((m != "not_done") & (r == "unknown")).alias("missing_result"), some(m == "not_done").alias("not_done"), F.min("method").alias("first_method"))
-
-
-def medicine_flags(rx: DataFrame, pattern: str = bind.ANTIMALARIAL) -> DataFrame:
-    some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
-    named = F.col("drug_name").isNotNull()
-    return rx.groupBy("encounter_id").agg(some(named).alias("treated"), some(F.lower("drug_name").rlike(pattern)).alias("antimalarial"), F.lit(True).alias("any_rx"))
+    tests = [some(m != "not_done").alias("tested"), some(r == "positive").alias("confirmed"), some(r == "negative").alias("negative"), some(m == "rdt").alias("rdt"), some(m == "microscopy").alias("microscopy"), some((m == "rdt") & (r == "positive")).alias("rdt_positive"), some((m == "microscopy") & (r == "positive")).alias("microscopy_positive"), some((m != "not_done") & (r == "unknown")).alias("missing_result"), some(m == "not_done").alias("not_done"), F.min("method").alias("first_method")]
+    medicines = [some(F.col("drug_name").isNotNull()).alias("treated"), some(F.lower("drug_name").rlike(pattern)).alias("antimalarial"), some(F.col("prescribed")).alias("any_rx")]
+    return lines.groupBy("encounter_id").agg(*tests, *medicines)
 
 
 FLAGS = ["tested", "confirmed", "negative", "rdt", "microscopy", "rdt_positive", "microscopy_positive", "missing_result", "not_done"]
@@ -29,7 +26,8 @@ MEDICINE = ["treated", "antimalarial", "any_rx"]
 
 
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = bind.encounters(spark, sf_dir).join(test_flags(bind.tests(spark, sf_dir)), "encounter_id", "left").join(medicine_flags(bind.prescriptions(spark, sf_dir)), "encounter_id", "left")
+    """Lines are scanned and shuffled once, for tests and medicines together."""
+    e = bind.encounters(spark, sf_dir).join(line_flags(bind.lines(spark, sf_dir)), "encounter_id", "left")
     return e.withColumns({f: F.coalesce(f, F.lit(False)) for f in FLAGS + MEDICINE} | {"suspected": F.col("fever") == "yes"})
 
 

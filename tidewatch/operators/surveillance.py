@@ -87,15 +87,13 @@ def alerts_by_district(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("district_id", "facility_id", "month").distinct().groupBy("district_id").agg(F.count("*").alias("alerts"))
 
 
-@query("stock_overlap_context", f"""WITH {flags.CTES}, {_STOCK}, v AS (SELECT facility_id, month, count(*) FILTER (confirmed) AS confirmed FROM visit WHERE encounter_date >= DATE '1995-01-01' AND encounter_date < DATE '1995-07-01' GROUP BY ALL)
-SELECT v.facility_id, v.month, confirmed, string_agg(f.commodity || ':' || fact, ',' ORDER BY f.month, f.commodity, fact) AS context FROM v JOIN facts f ON f.facility_id = v.facility_id AND fact IS NOT NULL AND fact <> 'stock_not_reported' AND f.month <= last_day(v.month) AND last_day(f.month) >= v.month GROUP BY ALL""")
+@query("stock_overlap_context", f"""WITH {flags.CTES}, {_STOCK}, v AS (SELECT facility_id, month, count(*) FILTER (confirmed) AS confirmed FROM visit GROUP BY ALL)
+SELECT v.facility_id, v.month, confirmed, string_agg(f.commodity || ':' || fact, ',' ORDER BY f.commodity, fact) AS context FROM v JOIN facts f ON f.facility_id = v.facility_id AND fact IS NOT NULL AND fact <> 'stock_not_reported' AND f.month <= last_day(v.month) AND last_day(f.month) >= v.month GROUP BY ALL""")
 def stock_overlap_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stock facts whose period overlaps a facility's; the facility is the equality that the join shuffles on."""
-    v = flags.visits(spark, sf_dir).where((F.col("encounter_date") >= "1995-01-01") & (F.col("encounter_date") < "1995-07-01")).groupBy(*KEYS).agg(F.count_if("confirmed").alias("confirmed"))
-    f = commodity_facts(spark, sf_dir).where("fact IS NOT NULL AND fact <> 'stock_not_reported'").select(F.col("facility_id").alias("f_id"), F.col("month").alias("f_month"), "commodity", "fact")
-    met = v.join(f, (F.col("f_id") == F.col("facility_id")) & (F.col("f_month") <= F.last_day("month")) & (F.last_day("f_month") >= F.col("month")))
-    rows = met.groupBy(*KEYS, "confirmed").agg(F.array_sort(F.collect_list(F.struct("f_month", "commodity", "fact"))).alias("x"))
-    return rows.select(*KEYS, "confirmed", F.array_join(F.transform("x", lambda r: F.concat(r.commodity, F.lit(":"), r.fact)), ",").alias("context"))
+    """Stock facts whose period overlaps a facility's; whole months overlap only themselves, so the month is a key of the join."""
+    v = flags.visits(spark, sf_dir).groupBy(*KEYS).agg(F.count_if("confirmed").alias("confirmed"))
+    f = commodity_facts(spark, sf_dir).where("fact IS NOT NULL AND fact <> 'stock_not_reported'").groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("commodity", "fact"))).alias("x"))
+    return v.join(f, KEYS).select(*KEYS, "confirmed", F.array_join(F.transform("x", lambda r: F.concat(r.commodity, F.lit(":"), r.fact)), ",").alias("context"))
 
 
 _RULES = [("OA01", "attendance = 'new'"), ("EP01b", "tested"), ("EP01c", "confirmed"), ("TESTED_RDT", "rdt"), ("RDT_POSITIVE", "rdt_positive"), ("TESTED_MICROSCOPY", "microscopy"), ("MICROSCOPY_POSITIVE", "microscopy_positive")]
@@ -118,18 +116,24 @@ def derived_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _totals(flags.visits(spark, sf_dir), _RULES, "derived")
 
 
-@query("reconciliation", f"""WITH {flags.CTES}, d AS ({_sql_totals(_RULES, 'derived')}), r0 AS ({_sql_totals(_REPORTED, 'reported')}), r AS (SELECT facility_id, month, element, CASE WHEN (facility_id + extract(month FROM month)) % 5 = 0 AND element <> 'EP01b' THEN NULL ELSE reported END AS reported FROM r0)
+#: Needs flags.CTES.
+SQL_RECONCILIATION = f"""WITH d AS ({_sql_totals(_RULES, 'derived')}), r0 AS ({_sql_totals(_REPORTED, 'reported')}), r AS (SELECT facility_id, month, element, CASE WHEN (facility_id + extract(month FROM month)) % 5 = 0 AND element <> 'EP01b' THEN NULL ELSE reported END AS reported FROM r0)
 SELECT coalesce(d.facility_id, r.facility_id) AS facility_id, coalesce(d.month, r.month) AS month, coalesce(d.element, r.element) AS element, reported, derived, reported - derived AS difference,
 CASE WHEN d.element IS NULL AND reported IS NULL THEN 'not_reported' WHEN d.element IS NULL THEN 'no_rule' WHEN r.element IS NULL THEN 'not_on_form' WHEN reported IS NULL THEN 'derived_only' WHEN reported = derived THEN 'matched' ELSE 'differs' END AS status
-FROM d FULL JOIN r ON d.facility_id = r.facility_id AND d.month = r.month AND d.element = r.element""")
+FROM d FULL JOIN r ON d.facility_id = r.facility_id AND d.month = r.month AND d.element = r.element"""
+
+
+@query("reconciliation", f"WITH {flags.CTES} SELECT * FROM ({SQL_RECONCILIATION})")
 def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reported against derived figures of every element, with a six-way status."""
-    v = flags.visits(spark, sf_dir)
+    """Reported against derived figures of every element, with a six-way status; both come from one aggregation of visits."""
+    derived, reported = dict(_RULES), dict(_REPORTED)
+    c = flags.visits(spark, sf_dir).groupBy(*KEYS).agg(*(F.count_if(F.expr(w)).alias(f"d_{e}") for e, w in _RULES), *(F.count_if(F.expr(w)).alias(f"r_{e}") for e, w in _REPORTED))
+    cell = lambda e: F.struct(F.lit(e).alias("element"), (F.col(f"r_{e}") if e in reported else F.lit(None).cast("long")).alias("reported"), (F.col(f"d_{e}") if e in derived else F.lit(None).cast("long")).alias("derived"), F.lit(e in reported).alias("on_form"), F.lit(e in derived).alias("ruled"))
+    x = c.select(*KEYS, F.explode(F.array(*(cell(e) for e in {**derived, **reported}))).alias("x")).select(*KEYS, "x.*")
     blank = ((F.col("facility_id") + F.month("month")) % 5 == 0) & (F.col("element") != "EP01b")
-    r = _totals(v, _REPORTED, "reported").withColumn("reported", F.when(~blank, F.col("reported"))).withColumn("on_form", F.lit(True))
-    d = _totals(v, _RULES, "derived").withColumn("ruled", F.lit(True))
-    status = F.when(F.col("ruled").isNull() & F.col("reported").isNull(), "not_reported").when(F.col("ruled").isNull(), "no_rule").when(F.col("on_form").isNull(), "not_on_form").when(F.col("reported").isNull(), "derived_only").when(F.col("reported") == F.col("derived"), "matched").otherwise("differs")
-    return d.join(r, [*KEYS, "element"], "full").select(*KEYS, "element", "reported", "derived", (F.col("reported") - F.col("derived")).alias("difference"), status.alias("status"))
+    x = x.withColumn("reported", F.when(~blank, F.col("reported")))
+    status = F.when(~F.col("ruled") & F.col("reported").isNull(), "not_reported").when(~F.col("ruled"), "no_rule").when(~F.col("on_form"), "not_on_form").when(F.col("reported").isNull(), "derived_only").when(F.col("reported") == F.col("derived"), "matched").otherwise("differs")
+    return x.select(*KEYS, "element", "reported", "derived", (F.col("reported") - F.col("derived")).alias("difference"), status.alias("status"))
 
 
 _SUBMISSIONS = """sub AS (SELECT o_custkey AS reporter, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_orderkey AS id, o_totalprice AS total, row_number() OVER (PARTITION BY o_custkey, date_trunc('month', o_orderdate) ORDER BY o_orderdate, o_orderkey) AS revision FROM orders)"""

@@ -54,6 +54,14 @@ def prescriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select(F.col("l_orderkey").alias("encounter_id"), F.when(F.col("l_tax") != 0, F.col("p_name")).alias("drug_name"))
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tests and prescriptions of visits as one row a line: a line without a medicine of the catalogue prescribes nothing."""
+    l, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    method = F.when(F.col("l_returnflag") == "N", "not_done").when(F.col("l_linestatus") == "F", "rdt").otherwise("microscopy")
+    result = F.when(F.col("l_returnflag") == "R", "positive").when(F.col("l_returnflag") == "A", "negative").otherwise("unknown")
+    return l.join(p, l.l_partkey == p.p_partkey, "left").select(F.col("l_orderkey").alias("encounter_id"), method.alias("method"), result.alias("result"), F.when(F.col("l_tax") != 0, F.col("p_name")).alias("drug_name"), F.col("p_partkey").isNotNull().alias("prescribed"))
+
+
 #: Fixed value: the stems that stand for the first-line medicines in the bound tables.
 ANTIMALARIAL = "(ring|bolt)"
 
