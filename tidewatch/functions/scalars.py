@@ -81,3 +81,9 @@ def ring_area(points: Column) -> Column:
 def csv_safe(text: Column) -> Column:
     """Text that no spreadsheet takes for a formula."""
     return F.regexp_replace(text, r"^([=+\-@\t\r])", "'$1")
+
+
+def test_outcome(raw: Column) -> Column:
+    """positive, negative, not_recorded for a blank, unmapped for anything else."""
+    x = option(F.coalesce(raw, F.lit("")))
+    return F.when(x == "", "not_recorded").when(x.isin("positive", "negative"), x).otherwise("unmapped")

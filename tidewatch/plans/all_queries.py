@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from tidewatch.operators import cleaning, indicators, sequences, signals, spatial, statistics, surveillance  # noqa: F401
+from tidewatch.operators import cleaning, indicators, ingestion, sequences, signals, spatial, statistics, surveillance  # noqa: F401
