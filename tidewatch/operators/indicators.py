@@ -95,12 +95,14 @@ def period_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.join(before, "month", "left").select("month", "value", "previous", direction.alias("direction"))
 
 
-@query("facility_contributions", f"""WITH {flags.CTES}, c AS (SELECT facility_id, sum(CASE WHEN confirmed THEN 1 ELSE 0 END) AS n FROM visit WHERE month = DATE '1995-06-01' GROUP BY 1)
-SELECT facility_id, facility_name, CAST(n AS BIGINT) AS numerator, CASE WHEN n IS NULL THEN 'unavailable_insufficient_data' ELSE 'available' END AS value_status FROM facility LEFT JOIN c USING (facility_id)""")
+@query("facility_contributions", f"""WITH {flags.CTES}, c AS (SELECT facility_id, month, count(*) FILTER (confirmed) AS n FROM visit GROUP BY 1, 2), m AS (SELECT DISTINCT month FROM c)
+SELECT facility.facility_id, facility_name, m.month, n AS numerator, CASE WHEN n IS NULL THEN 'unavailable_insufficient_data' ELSE 'available' END AS value_status FROM facility CROSS JOIN m LEFT JOIN c ON c.facility_id = facility.facility_id AND c.month = m.month""")
 def facility_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each facility adds to a month's confirmed visits; a silent facility has no value."""
-    c = flags.visits(spark, sf_dir).where(F.col("month") == F.to_date(F.lit("1995-06-01"))).groupBy("facility_id").agg(F.sum(F.col("confirmed").cast("long")).alias("numerator"))
-    return bind.facilities(spark, sf_dir).join(c, "facility_id", "left").select("facility_id", "facility_name", "numerator", count_status(F.col("numerator")).alias("value_status"))
+    """What each facility adds to each month's confirmed visits; a silent facility has no value."""
+    c = flags.visits(spark, sf_dir).groupBy("facility_id", "month").agg(F.count_if("confirmed").alias("numerator"))
+    months = [F.lit(r.month) for r in c.select("month").distinct().collect()]  # a few hundred at most
+    every = bind.facilities(spark, sf_dir).select("facility_id", "facility_name", F.explode(F.array(*months) if months else F.array().cast("array<date>")).alias("month"))
+    return every.join(c, ["facility_id", "month"], "left").select("facility_id", "facility_name", "month", "numerator", count_status(F.col("numerator")).alias("value_status"))
 
 
 @query("withheld_ratio_kpi", f"""WITH {flags.CTES}, c AS (SELECT facility_id, count(*) FILTER (antimalarial) AS n, count(*) FILTER (confirmed) AS d FROM visit GROUP BY 1)
@@ -129,12 +131,14 @@ def source_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.agg(F.max("d").cast("date").alias("cutoff"))
 
 
-@query("indicator_summary", f"""WITH {flags.CTES}, c AS (SELECT month, facility_id, count(*) AS attendance, count(*) FILTER (confirmed) AS confirmed FROM visit GROUP BY ALL)
-SELECT month, facility_id, attendance, confirmed FROM c WHERE month >= DATE '1995-01-01' AND month <= DATE '1995-12-01' ORDER BY month DESC, facility_id LIMIT 500""")
-def indicator_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page of stored results, newest first; the dates reach the scan."""
-    v = flags.visits(spark, sf_dir).where(F.col("encounter_date").between("1995-01-01", "1995-12-31"))
-    return v.groupBy("month", "facility_id").agg(*counted("attendance", "confirmed")).orderBy(F.desc("month"), "facility_id").limit(500)
+@query("indicator_summary", f"WITH {flags.CTES} SELECT month, facility_id, count(*) AS attendance, count(*) FILTER (confirmed) AS confirmed FROM visit GROUP BY ALL")
+def indicator_summary(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = None, limit: int | None = None) -> DataFrame:
+    """Stored results, of a period and as a page (newest first) where these are asked for; dates reach the scan."""
+    v = flags.visits(spark, sf_dir)
+    v = v.where(F.col("encounter_date") >= start) if start else v
+    v = v.where(F.col("encounter_date") <= end) if end else v
+    rows = v.groupBy("month", "facility_id").agg(*counted("attendance", "confirmed"))
+    return rows.orderBy(F.desc("month"), "facility_id").limit(limit) if limit else rows
 
 
 @query("latest_facility_result", f"""WITH {flags.CTES}, c AS (SELECT facility_id, month, count(*) AS attendance FROM visit GROUP BY ALL) SELECT facility_id, max(month) AS month, arg_max(attendance, month) AS attendance FROM c GROUP BY 1""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -130,16 +131,17 @@ def positives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chains(spark: SparkSession, sf_dir: str, rule: ChainRule = CHAIN) -> DataFrame:
+    """Each patient's positive days as one array, and the search over batches of patients instead of a group each."""
     start = (pd.Timestamp(PERIOD) - pd.Timestamp("1970-01-01")).days
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n")
-        c = best_chain(pdf["n"].tolist(), rule, start)
-        at = dict(zip(pdf["n"], pdf["event_id"], strict=True))
-        return pd.DataFrame({"patient_id": [pdf["patient_id"].iloc[0]], "in_period": [int((pdf["n"] >= start).sum())], "chain": [c], "final_event": [int(at[c[-1]]) if c else None]}).astype({"final_event": "Int64"})
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            found = [best_chain(n.tolist(), rule, start) for n in pdf["n"]]
+            last = [int(e[list(n).index(c[-1])]) if c else None for c, n, e in zip(found, pdf["n"], pdf["e"], strict=True)]
+            yield pd.DataFrame({"patient_id": pdf["patient_id"], "in_period": [int((n >= start).sum()) for n in pdf["n"]], "chain": found, "final_event": pd.array(last, "Int64")})
 
-    p = positives(spark, sf_dir).withColumn("n", F.unix_date("day"))
-    return p.groupBy("patient_id").applyInPandas(run, "patient_id long, in_period long, chain array<bigint>, final_event long")
+    p = positives(spark, sf_dir).groupBy("patient_id").agg(F.array_sort(F.collect_list(F.struct(F.unix_date("day").cast("long").alias("n"), "event_id"))).alias("d"))
+    return p.select("patient_id", F.col("d.n").alias("n"), F.col("d.event_id").alias("e")).mapInPandas(run, "patient_id long, in_period long, chain array<bigint>, final_event long")
 
 
 _POS = f"""pos AS (SELECT patient_id, day, date_diff('day', DATE '1970-01-01', day) AS n, min(event_id) AS event_id, count(*) AS same_day, count(DISTINCT event_id % 5) AS places FROM event WHERE event_type = 'error' GROUP BY ALL)"""
@@ -248,13 +250,17 @@ def patient_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flags.visits(spark, sf_dir).where("confirmed").groupBy("facility_id").agg(F.min("encounter_date").alias("first_day"), F.max("encounter_date").alias("last_day"), F.count_distinct("patient_id").alias("patients"))
 
 
-@query("patient_timeline", f"WITH {flags.CTES}, p AS (SELECT encounter_id, string_agg(method || '/' || result, ',' ORDER BY method, result) AS tests FROM test GROUP BY 1) SELECT encounter_id, encounter_date, facility_id, coalesce(tests, '') AS tests FROM encounter LEFT JOIN p USING (encounter_id) WHERE patient_id = 42")
-def patient_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All visits of one patient with their tests; the patient's visits come first, so few tests are nested."""
-    e = bind.encounters(spark, sf_dir).where("patient_id = 42")
-    t = bind.tests(spark, sf_dir).join(e.select("encounter_id"), "encounter_id", "left_semi")
+@query("patient_timeline", f"WITH {flags.CTES}, p AS (SELECT encounter_id, string_agg(method || '/' || result, ',' ORDER BY method, result) AS tests FROM test GROUP BY 1) SELECT patient_id, row_number() OVER (PARTITION BY patient_id ORDER BY encounter_date, encounter_id) AS place, encounter_id, encounter_date, facility_id, coalesce(tests, '') AS tests FROM encounter LEFT JOIN p USING (encounter_id)")
+def patient_timeline(spark: SparkSession, sf_dir: str, patient_id: int | None = None) -> DataFrame:
+    """All visits of every patient, or of one, in order, with their tests; a patient's visits come first, so few tests are nested."""
+    e = bind.encounters(spark, sf_dir)
+    t = bind.tests(spark, sf_dir)
+    if patient_id is not None:
+        e = e.where(F.col("patient_id") == patient_id)
+        t = t.join(e.select("encounter_id"), "encounter_id", "left_semi")
     t = t.groupBy("encounter_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat("method", F.lit("/"), "result"))), ",").alias("tests"))
-    return e.join(t, "encounter_id", "left").select("encounter_id", "encounter_date", "facility_id", F.coalesce("tests", F.lit("")).alias("tests"))
+    place = F.row_number().over(Window.partitionBy("patient_id").orderBy("encounter_date", "encounter_id")).cast("long")
+    return e.join(t, "encounter_id", "left").select("patient_id", place.alias("place"), "encounter_id", "encounter_date", "facility_id", F.coalesce("tests", F.lit("")).alias("tests"))
 
 
 @query("cohort_comparison", f"""WITH {flags.CTES}, a AS (SELECT DISTINCT patient_id FROM visit WHERE confirmed AND encounter_date < DATE '1998-01-01'), b AS (SELECT DISTINCT patient_id FROM visit WHERE confirmed AND encounter_date >= DATE '1998-01-01')

@@ -36,18 +36,20 @@ def by_residence(spark: SparkSession, sf_dir: str) -> DataFrame:
 MIN_CELL = 5
 
 
-@query("spatial_cells", f"""WITH {flags.CTES}, g AS (SELECT residence_id AS district_id, count(*) FILTER (confirmed) AS n, count(*) FILTER (tested) AS d FROM visit WHERE month = DATE '1995-06-01' GROUP BY 1),
-u AS (SELECT district_id, district_name, region_id, n, d FROM district LEFT JOIN g USING (district_id))
-SELECT district_id, CASE WHEN region_id = 4 THEN 'outside_scope' WHEN n IS NULL THEN 'missing' WHEN coalesce(d, 0) = 0 THEN 'unavailable' WHEN n > 0 AND n < {MIN_CELL} THEN 'suppressed' ELSE 'available' END AS status,
+@query("spatial_cells", f"""WITH {flags.CTES}, g AS (SELECT residence_id AS district_id, month, count(*) FILTER (confirmed) AS n, count(*) FILTER (tested) AS d FROM visit GROUP BY 1, 2),
+u AS (SELECT district.district_id, m.month, region_id, n, d FROM district CROSS JOIN (SELECT DISTINCT month FROM g) m LEFT JOIN g ON g.district_id = district.district_id AND g.month = m.month)
+SELECT district_id, month, CASE WHEN region_id = 4 THEN 'outside_scope' WHEN n IS NULL THEN 'missing' WHEN coalesce(d, 0) = 0 THEN 'unavailable' WHEN n > 0 AND n < {MIN_CELL} THEN 'suppressed' ELSE 'available' END AS status,
 CASE WHEN region_id <> 4 AND d > 0 AND NOT (n > 0 AND n < {MIN_CELL}) THEN n END AS numerator, CASE WHEN region_id <> 4 AND d > 0 AND NOT (n > 0 AND n < {MIN_CELL}) THEN {sql_ratio("n", "d")} END AS value FROM u""")
 def spatial_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A map layer: every unit has a status, and small cells have no figure."""
-    g = flags.visits(spark, sf_dir).where(F.col("month") == F.to_date(F.lit("1995-06-01"))).groupBy(F.col("residence_id").alias("district_id")).agg(F.count_if("confirmed").alias("n"), F.count_if("tested").alias("d"))
+    """A map layer of every month: every unit has a status, and small cells have no figure."""
+    g = flags.visits(spark, sf_dir).groupBy(F.col("residence_id").alias("district_id"), "month").agg(F.count_if("confirmed").alias("n"), F.count_if("tested").alias("d"))
+    months = [F.lit(r.month) for r in g.select("month").distinct().collect()]  # a few hundred at most
     n, d = F.col("n"), F.col("d")
     status = F.when(F.col("region_id") == 4, "outside_scope").when(n.isNull(), "missing").when(F.coalesce(d, F.lit(0)) == 0, "unavailable").when((n > 0) & (n < MIN_CELL), "suppressed").otherwise("available")
-    u = bind.districts(spark, sf_dir).join(g, "district_id", "left").withColumn("status", status)
+    every = bind.districts(spark, sf_dir).withColumn("month", F.explode(F.array(*months) if months else F.array().cast("array<date>")))
+    u = every.join(g, ["district_id", "month"], "left").withColumn("status", status)
     shown = F.col("status") == "available"
-    return u.select("district_id", "status", F.when(shown, n).alias("numerator"), F.when(shown, ratio(n, d)).alias("value"))
+    return u.select("district_id", "month", "status", F.when(shown, n).alias("numerator"), F.when(shown, ratio(n, d)).alias("value"))
 
 
 @query("scope_by_path", f"WITH {bind.CTES} SELECT unit_id, level, name FROM unit WHERE path = 'N/R1' OR starts_with(path, 'N/R1/')")

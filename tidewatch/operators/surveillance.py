@@ -54,15 +54,14 @@ def treatment_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _measures(c, [(m, F.expr(n), d and F.expr(d)) for m, n, d in _TREATMENT])
 
 
-#: Fixed value: the watched commodities.
-WATCHED = ["Brand#11", "Brand#12", "Brand#13", "Brand#21"]
-_WATCHED = ", ".join(f"'{c}'" for c in WATCHED)
-_STOCK = f"""w AS (SELECT facility_id, district_id, month, commodity, sum(value) FILTER (metric = 'days_out') AS days_out, min(value) FILTER (metric = 'on_hand') AS on_hand, count(value) AS reported FROM stock WHERE commodity IN ({_WATCHED}) GROUP BY ALL),
+_STOCK = f"""w AS (SELECT facility_id, district_id, month, commodity, sum(value) FILTER (metric = 'days_out') AS days_out, min(value) FILTER (metric = 'on_hand') AS on_hand, count(value) AS reported FROM stock GROUP BY ALL),
 facts AS (SELECT *, CASE WHEN reported = 0 THEN 'stock_not_reported' WHEN days_out > 0 THEN 'days_out_of_stock' WHEN on_hand = 0 THEN 'zero_on_hand' END AS fact FROM w)"""
 
 
-def commodity_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = bind.stock(spark, sf_dir).where(F.col("commodity").isin(WATCHED))
+def commodity_facts(spark: SparkSession, sf_dir: str, watched: tuple[str, ...] = ()) -> DataFrame:
+    """Facts of all commodities, or of the watched ones."""
+    s = bind.stock(spark, sf_dir)
+    s = s.where(F.col("commodity").isin(*watched)) if watched else s
     w = s.groupBy("facility_id", "district_id", "month", "commodity").agg(F.sum(F.when(F.col("metric") == "days_out", F.col("value"))).alias("days_out"), F.min(F.when(F.col("metric") == "on_hand", F.col("value"))).alias("on_hand"), F.count("value").alias("reported"))
     return w.withColumn("fact", F.when(F.col("reported") == 0, "stock_not_reported").when(F.col("days_out") > 0, "days_out_of_stock").when(F.col("on_hand") == 0, "zero_on_hand"))
 
