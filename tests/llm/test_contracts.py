@@ -370,23 +370,27 @@ def test_lists_of_odd_labels(odd, none, odd_labels):
 # Top k
 
 
-def test_top_k_of_odd_vectors(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_top_k_of_odd_vectors(spark, monkeypatch, small):
+    """With small constants a common vector is dealt over several shards, and queries go in several blocks."""
+    if small:
+        for name, value in (("SHARD", 60), ("BLOCK", 8), ("PAGE", 8), ("PIVOTS", 6)):
+            monkeypatch.setattr(topk, name, value)
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=6).tolist()) for i in range(1, 700)] + [(i, [1.0] * 6) for i in range(700, 1400)]
-    rows += [(1400, None), (1420, [None] * 6), (1440, [float("nan")] * 6), (1460, [float("inf")] * 6), (None, [9.0] * 6), (1480, [1.0, 2.0]), (20, [0.5] * 6), (1500, [1e7] * 6)]
+    rows += [(1400, None), (1420, [None] * 6), (1440, [float("nan")] * 6), (1460, [float("inf")] * 6), (None, [9.0] * 6), (1480, [1.0, 2.0]), (20, [0.5] * 6), (20, [0.5] * 6), (1500, [1e7] * 6)]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, shard string")
-    sound = {}
+    sound = []
     for i, v in rows:
         if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
             x = [math.floor(64 * float(np.float32(y))) for y in v]
-            sound[i] = min(sound.get(i, x), x)
-    full = {i: x + [0] * (6 - len(x)) for i, x in sound.items()}
-    want = set()
-    for q in (i for i in full if i % 20 == 0):
-        scored = sorted((-sum(a * b for a, b in zip(full[q], full[i], strict=True)), i) for i in full if i != q)[:20]
-        want |= {(q, k, i, -s) for k, (s, i) in enumerate(scored, 1)}
-    got = topk.top_k(df).collect()
-    assert {tuple(r) for r in got} == want and len(got) == len(want)
+            sound.append((i, x + [0] * (6 - len(x))))
+    want = Counter()
+    for a, (q, x) in enumerate(sound):
+        if q % 20 == 0:
+            scored = sorted((-sum(m * n for m, n in zip(x, y, strict=True)), i) for b, (i, y) in enumerate(sound) if a != b)[:20]
+            want.update((q, k, i, -s) for k, (s, i) in enumerate(scored, 1))
+    assert Counter(map(tuple, topk.top_k(df).collect())) == want
     assert topk.top_k(df.where("1 = 0")).count() == 0
 
 
