@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -150,6 +151,52 @@ def test_what_wide_patterns_match_passes_their_gates(spark):
         assert {texts[r.doc_id] for r in found if any(c.kind == k and c.s == 0 and c.e == len(texts[r.doc_id]) for c in r.cand)} >= set(listed)
 
 
+def planted(n=400):
+    """Texts with plain and failing personal data in alike surroundings, and disguised ones from id 10,000 on."""
+    rng = np.random.default_rng(9)
+    full = lambda d: d + next(c for c in "0123456789" if brute.luhn(d + c))
+    grouped = lambda d, sep: sep.join(d[i : i + 4] for i in range(0, 16, 4))
+    rows = []
+    for i in range(n):
+        card = full("".join(rng.choice(list("0123456789"), 15)))
+        bad = card[:15] + str((int(card[15]) + 1) % 10)
+        rows.append((i, f"write to joe{i}@example.org now; server ip 10.{i % 200}.3.4 up; visa card {grouped(card, ' ')} ok; call phone +49 30 555 01{i % 90 + 10} now"))
+        rows.append((n + i, f"see order {grouped(bad, ' ')} ok; part 300.{i % 200}.400.4 up; item +12 34 now; sent a{i}@b{i}.77 now"))
+    card = full("411111222223333")
+    rows += [(10_000, "write to jane [at] example [dot] org now"), (10_001, "server ip 10[.]1[.]2[.]3 up"), (10_002, f"visa card {grouped(card, '.')} ok"), (10_003, "call phone (030) 555-0199 now")]
+    return rows
+
+
+def test_disguised_spans_are_added_as_plain_trees_say(spark):
+    df = spark.createDataFrame(planted(), "doc_id long, text string")
+    found = pii.labelled(common.written(pii.candidates(df), "test"))
+    trees, curve, cuts = pii.fit(found)
+    want = {}
+    for r in found.collect():
+        base = [(i, b.s, b.e) for i, k in enumerate(pii.KINDS) for b in r[f"base_{k}"]]
+        more = []
+        for c in r.cand or []:
+            margin = sum(t.values({f: np.array([c[f]]) for f in ["kind", *pii.FEATURES]}) for t in trees)
+            free = not any(k == c.kind and s < c.e and c.s < e for k, s, e in base)
+            assert free == c.free
+            if c.label is None and free and pii.probability(margin, curve)[0] >= cuts[c.kind]:
+                more.append((c.kind, c.s, c.e))
+        want[r.doc_id] = sorted(base + more)
+    got = {r.doc_id: [tuple(x) for x in r.spans] for r in pii.scan(df).collect()}
+    assert got == want
+    assert [k for i in range(10_000, 10_004) for k, _, _ in got[i]] == [0, 1, 2, 3]
+    assert not any(k for i in range(400, 800) for k, _, _ in got[i])
+
+
+def test_many_matches_in_one_text_take_linear_time(spark):
+    text = "".join(f"u{i}@ex.org 10.0.0.{i % 250} " for i in range(10_000))
+    df = spark.createDataFrame([(1, text), *planted(50)], "doc_id long, text string").repartition(1)
+    pii.scan(spark.createDataFrame(planted(50), "doc_id long, text string")).collect()
+    began = time.perf_counter()
+    r = next(r for r in pii.scan(df).collect() if r.doc_id == 1 and len(r.base) > 100)
+    assert len(r.base) == 20_000 and time.perf_counter() - began < 60
+
+
 # Repeated passages
 
 

@@ -2,13 +2,16 @@
 
 Base spans follow fixed patterns and checks and always stay. Wider patterns propose further spans of each kind, which
 may overlap base ones: defanged addresses, spelled-out mail addresses, numbers in other groupings. Each candidate has
-small integer features of its format and its context. Spans whose check decides them are labels: those that pass speak
-for a kind, those that fail against it. Features never hold the check itself.
+small integer features of its format and its context. Labels come from checks and from agreement: what passes its check
+speaks for a kind, what fails it against (a mail address also needs a last part of letters), and a candidate that
+overlaps a sound span of another kind but none of its own speaks against its kind. Features never hold these.
 
-Counts of labels by features, over all documents, are a table of at most CELLS rows, as every feature has few values. On
-it, gradient boosting fits regression trees of depth two; a logistic curve on held-out documents calibrates their sum.
-Trees become one CASE expression over the candidates' array. A candidate without a decided label is added if its
-calibrated probability reaches THRESHOLD and it overlaps no base span of its kind; one that failed its check never is.
+Counts of labels by features, over all documents, are a bounded table, as every feature has few values: at most the
+product of FEATURES for each kind and fold, and no more than the labels. On it, gradient boosting fits regression trees
+of depth two; a logistic curve on held-out documents calibrates their sum, and for each kind the least probability at
+which PRECISION of its held-out labels above are right (LEAST at least) is its threshold. Trees become one CASE
+expression over the candidates' array. A candidate without a label is added if it reaches its kind's threshold and
+overlaps no base span of its kind; one that is labelled never is.
 
 Documents are read once: base spans and candidates are written and reread.
 
@@ -19,6 +22,7 @@ runs of letters or digits cost no more than their length.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +33,7 @@ from tidewatch.llm import common
 from tidewatch.llm.compression import logistic
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, RATE, THRESHOLD, CELLS = 30, 0.3, 0.9, 100_000
+ROUNDS, RATE, PRECISION, LEAST = 30, 0.3, 0.95, 0.8
 #: Characters before and behind a span that features see.
 BEFORE, BEHIND = 24, 1
 
@@ -58,11 +62,17 @@ WIDE_NEEDS = {"email": r"(?i)@|[\[(]\x20?at\x20?[\])]|\x20at\x20\x20?[a-z0-9-]{2
 CONTEXT = {"email": r"(?i)(?:mail|contact|write|address)", "ip": r"(?i)(?:\bip\b|host|server|address|from)", "card": r"(?i)(?:card|visa|credit|account)", "phone": r"(?i)(?:phone|tel|call|mobile|fax)"}
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, though a lambda inside reads it for every element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def starts(lengths: Column) -> Column:
     """For an array of lengths, the sum before each: chunks of 64 first, so that long arrays stay cheap."""
     sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / 64).cast("int")), lambda c: F.aggregate(F.slice(lengths, c * 64 + 1, 64), F.lit(0), lambda a, x: a + x))
     before = F.aggregate(sums, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    return F.transform(lengths, lambda _, i: F.get(before, F.floor(i / 64).cast("int")) + F.aggregate(F.slice(lengths, F.floor(i / 64).cast("int") * 64 + 1, i % 64), F.lit(0), lambda a, x: a + x))
+    place = lambda b: F.transform(lengths, lambda _, i: F.get(b, F.floor(i / 64).cast("int")) + F.aggregate(F.slice(lengths, F.floor(i / 64).cast("int") * 64 + 1, i % 64), F.lit(0), lambda a, x: a + x))
+    return once(before, place)
 
 
 def _matches(kind: str, pattern: str, needs: str, d: DataFrame, out: str) -> DataFrame:
@@ -149,6 +159,8 @@ def _labelled(i: int, plain: bool):
 
     def row(x: Column) -> Column:
         good = passes(KINDS[i], x.piece)
+        if KINDS[i] == "email":
+            good = x.piece.rlike(r"(?i)[a-z]{2,12}$")
         label = good.cast("int") if plain else F.when(~good, F.lit(0))
         return F.struct(F.lit(i).alias("kind"), x.s.alias("s"), x.e.alias("e"), label.alias("label"), *_features(KINDS[i], x))
 
@@ -205,34 +217,81 @@ def boosted(cells: dict[str, np.ndarray], positive: np.ndarray, negative: np.nda
     return trees
 
 
-def fit(found: DataFrame) -> tuple[list[Stump], tuple[float, float, float]]:
-    """Trees and their curve, from the counts of decided candidates of all documents."""
+def overlaps(x: Column, base: Column) -> Column:
+    """Whether a span meets one of `base`, spans in order that do not overlap: by halving, so that many matches stay cheap."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(base) + 1.0)).cast("int"))
+
+    def halved(at: Column, _: Column) -> Column:
+        mid = F.floor((at.lo + at.hi) / 2).cast("int")
+        left = F.get(base, mid).e <= x.s
+        return F.when(at.lo >= at.hi, at).when(left, F.struct((mid + 1).alias("lo"), at.hi.alias("hi"))).otherwise(F.struct(at.lo.alias("lo"), mid.alias("hi")))
+
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(base).alias("hi")), halved, lambda at: at.lo)
+    return F.when(F.size(base) > 0, F.coalesce(F.get(base, found).s < x.e, F.lit(False))).otherwise(F.lit(False))
+
+
+def labelled(found: DataFrame) -> DataFrame:
+    """doc_id, base arrays and cand with free, whether it overlaps no base span of its kind, and labels by agreement."""
+
+    def row(x: Column) -> Column:
+        def made(met: Column) -> Column:
+            own = F.get(met, x.kind)
+            other = F.exists(F.sequence(F.lit(0), F.lit(len(KINDS) - 1)), lambda i: (i != x.kind) & F.get(met, i))
+            label = F.when(x.label.isNull() & ~own & other, F.lit(0)).otherwise(x.label)
+            return F.struct(x.kind.alias("kind"), x.s.alias("s"), x.e.alias("e"), label.alias("label"), *(x[f].alias(f) for f in FEATURES), (~own).alias("free"))
+
+        return once(F.array(*(overlaps(x, F.col(f"base_{k}")) for k in KINDS)), made)
+
+    bases = [f"base_{k}" for k in KINDS]
+    return found.select("doc_id", *bases, F.when(F.size("cand") > 0, F.transform("cand", row)).alias("cand"))
+
+
+def cutoffs(kinds: np.ndarray, chance: np.ndarray, p: np.ndarray, n: np.ndarray) -> list[float]:
+    """For each kind the least chance at which PRECISION of the labels at or above it are positive; above 1 where there is none."""
+    out = []
+    for i in range(len(KINDS)):
+        own = np.flatnonzero(kinds == i)
+        own = own[np.argsort(-chance[own], kind="stable")]
+        hit, miss = np.cumsum(p[own]), np.cumsum(n[own])
+        last = np.append(np.diff(chance[own]) != 0, True)[: len(own)]  # equal chances stand or fall together
+        good = np.flatnonzero((hit >= PRECISION * (hit + miss)) & (hit > 0) & last)
+        out.append(max(LEAST, float(chance[own][good[-1]])) if len(good) else 2.0)
+    return out
+
+
+def fit(found: DataFrame) -> tuple[list[Stump], tuple[float, float, float], list[float]]:
+    """Trees, their curve and the kinds' thresholds, from the counts of labels of all documents; found: labelled()."""
     names = ["kind", *FEATURES]
     fold = common.held_out(F.col("doc_id"), 4, 0).alias("fold")
     c = found.where(F.size("cand") > 0).select(fold, F.explode("cand").alias("c")).where("c.label IS NOT NULL")
-    rows = c.groupBy("fold", *(F.col(f"c.{f}") for f in names)).agg(F.sum("c.label").alias("p"), F.count("*").alias("n")).collect()  # CELLS at most
+    rows = c.groupBy("fold", *(F.col(f"c.{f}") for f in names)).agg(F.sum("c.label").alias("p"), F.count("*").alias("n")).collect()
     part = lambda held: [r for r in rows if r.fold == held]
     cells = lambda rs: {f: np.array([r[f] for r in rs], int) for f in names}
     counts = lambda rs: (np.array([r.p for r in rs], float), np.array([r.n - r.p for r in rs], float))
     trees = boosted(cells(part(False)), *counts(part(False))) if part(False) else []
     held = part(True)
     if not held or not trees:
-        return trees, (1.0, 1.0, 0.0)
+        return trees, (1.0, 1.0, 0.0), [2.0] * len(KINDS)
     margin, (p, n) = sum(t.values(cells(held)) for t in trees), counts(held)
-    return trees, logistic(np.tile(margin, 2), np.repeat([1.0, 0.0], len(p)), np.concatenate([p, n]))
+    curve = logistic(np.tile(margin, 2), np.repeat([1.0, 0.0], len(p)), np.concatenate([p, n]))
+    return trees, curve, cutoffs(cells(held)["kind"], probability(margin, curve), p, n)
+
+
+def probability(margin: np.ndarray, curve: tuple[float, float, float]) -> np.ndarray:
+    scale, slope, intercept = curve
+    return 1 / (1 + np.exp(-(margin / scale * slope + intercept)))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, base and spans: arrays of kind, s, e; by kind, then start."""
-    found = common.written(candidates(docs), "pii-candidates")
-    trees, (scale, slope, intercept) = fit(found)
+    found = labelled(common.written(candidates(docs), "pii-candidates"))
+    trees, (scale, slope, intercept), cuts = fit(found)
     chance = lambda x: 1 / (1 + F.exp(-(sum((t.column(x) for t in trees), F.lit(0.0)) / scale * slope + intercept)))
-    tagged = [F.transform(f"base_{k}", _tag(i)) for i, k in enumerate(KINDS)]
-    base = F.concat(*tagged)
-    free = lambda x: ~F.exists(base, lambda b: (b.kind == x.kind) & (b.s < x.e) & (x.s < b.e))
-    wanted = lambda x: F.when(x.label.isNull(), free(x) & (chance(x) >= THRESHOLD)).otherwise(F.lit(False))
-    more = F.transform(F.filter("cand", wanted), lambda x: F.struct(x.kind.alias("kind"), x.s.alias("s"), x.e.alias("e"))) if trees else F.filter(base, lambda x: F.lit(False))
-    spans = F.when(F.size("cand") > 0, F.array_sort(F.concat(base, more))).otherwise(base)
+    base = F.concat(*(F.transform(f"base_{k}", _tag(i)) for i, k in enumerate(KINDS)))
+    cut = lambda x: F.element_at(F.array(*map(F.lit, cuts)), x.kind + 1)
+    wanted = lambda x: F.when(x.label.isNull() & x.free, chance(x) >= cut(x)).otherwise(F.lit(False))
+    more = F.transform(F.filter("cand", wanted), lambda x: F.struct(x.kind.alias("kind"), x.s.alias("s"), x.e.alias("e")))
+    spans = F.when(F.size("cand") > 0, F.array_sort(F.concat(base, more))).otherwise(base) if trees else base
     return found.select("doc_id", base.alias("base"), spans.alias("spans"))
 
 
