@@ -14,7 +14,6 @@ labels of both classes every score is 0.5.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,6 +117,3 @@ def op6_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = score(common.documents(spark, sf_dir), common.labels(spark, sf_dir))
     return got.select("doc_id", common.held_out(F.col("doc_id"), FOLDS, FOLD).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "difference")
 
-
-def sigmoid(z: float) -> float:
-    return 1 / (1 + math.exp(-z))
