@@ -33,7 +33,7 @@ DIMS, HILBERT_BITS, HASHED, TIE_BITS = 4, 12, 1024, 14
 #: Tokens of a range, unless that made more than MOST_RANGES; ranges are sorted and cut in a stream, so memory does not grow with them.
 RANGE_TOKENS, MOST_RANGES = 4 << 20, 1 << 16
 #: Bytes that a task keeps words and their ids in, about, in either of two generations, and what an entry takes besides its own bytes.
-CACHE_BYTES, ENTRY_BYTES = 32 << 20, 200
+CACHE_BYTES, ENTRY_BYTES = 48 << 20, 200
 
 
 def tokenizer_path() -> str:
