@@ -60,12 +60,14 @@ class WordTokens(dict):
     """
 
     plain = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+    marks = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'")
     ended = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
         self.older: dict[bytes, bytes] = {}
         self.held = 0
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
@@ -79,7 +81,7 @@ class WordTokens(dict):
             self.short = False
 
     def _model(self, word: str) -> list[int]:
-        return [t.id for t in self.tokenizer.model.tokenize(word.lower().encode().decode("latin-1").translate(self.letters))]
+        return [t.id for t in self.tokenize(word.lower().encode().decode("latin-1").translate(self.letters))]
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -97,6 +99,11 @@ class WordTokens(dict):
         return made
 
     def _made(self, raw: bytes) -> bytes:
+        if self.short and raw.isalpha():  # ASCII letters alone are their own byte letters
+            small = raw.lower()
+            return self[small] if small != raw else b"".join([self.packed(t.id) for t in self.tokenize(raw.decode())])
+        if self.short and (head := raw.rstrip(self.marks)).isalpha() and len(head) < len(raw):
+            return self[head.lower()] + self[raw[len(head) :]]
         word = raw.decode()
         if self.short and self.plain(word):
             small = word.lower()
