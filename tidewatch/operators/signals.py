@@ -26,11 +26,12 @@ KEYS = ["rule", "district_id", "facility_id", "month"]
 EVIDENCE = ["kind", "district_id", "facility_id", "month", "role", "source_id", "fingerprint", "cutoff"]
 
 
-def _shaped(rows: DataFrame, kind: str, facts: list[str], supports: Column | None) -> DataFrame:
+def _shaped(rows: DataFrame, kind: str | Column, facts: list[str], supports: Column | None) -> DataFrame:
     """rows (district_id, facility_id, month, cutoff, source_id, facts) under the schema of evidence."""
     role = F.lit("context") if supports is None else F.when(supports, "supporting").otherwise("counter")
-    print_ = F.sha2(F.concat_ws("|", F.lit(kind), *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ["district_id", "facility_id", "month", *facts])), 256)
-    return rows.select(F.lit(kind).alias("kind"), "district_id", "facility_id", "month", role.alias("role"), "source_id", print_.alias("fingerprint"), "cutoff")
+    kind = F.lit(kind)
+    print_ = F.sha2(F.concat_ws("|", kind, *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ["district_id", "facility_id", "month", *facts])), 256)
+    return rows.select(kind.alias("kind"), "district_id", "facility_id", "month", role.alias("role"), "source_id", print_.alias("fingerprint"), "cutoff")
 
 
 def _sql_shaped(rows: str, kind: str, facts: list[str], supports: str | None) -> str:
@@ -47,13 +48,22 @@ def anomaly_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hotspot_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Judged hotspots, and whether a hotspot touches another one."""
+    """Judged hotspots, and whether a hotspot touches another one.
+
+    Each judged district tells its neighbours whether it is a hotspot, so one grouping by (district, month) takes the
+    place of a join of the hotspots with themselves.
+    """
     hot = statistics.hotspots(spark, sf_dir).where("outcome IN ('hotspot', 'not_hotspot')").select("district_id", "month", "outcome")
-    marked = hot.where("outcome = 'hotspot'").select(F.col("district_id").alias("dst"), "month")
-    near = statistics.adjacency(spark, sf_dir).join(marked, "dst").groupBy(F.col("src").alias("district_id"), "month").agg(F.count("*").alias("near"))
-    hot = hot.join(near, ["district_id", "month"], "left").withColumn("clustered", (F.col("outcome") == "hotspot") & (F.coalesce("near", F.lit(0)) > 0))
-    hot = hot.select("district_id", F.lit(None).cast("long").alias("facility_id"), "month", F.last_day("month").alias("cutoff"), F.lit("run1").alias("source_id"), "outcome", "clustered")
-    return _shaped(hot, "hotspot", ["outcome"], F.col("outcome") == "hotspot").union(_shaped(hot, "spatial_cluster", ["clustered"], F.col("clustered")))
+    near = statistics.adjacency(spark, sf_dir).groupBy(F.col("src").alias("district_id")).agg(F.collect_list("dst").alias("near"))
+    own = F.array(F.struct("district_id", "outcome", F.lit(0).alias("vote")))
+    told = F.transform(F.when(F.col("outcome") == "hotspot", F.col("near")), lambda d: F.struct(d.alias("district_id"), F.lit(None).cast("string").alias("outcome"), F.lit(1).alias("vote")))
+    x = hot.join(near, "district_id", "left").select("month", F.explode(F.concat(own, F.coalesce(told, F.array().cast("array<struct<district_id:bigint,outcome:string,vote:int>>")))).alias("s"))
+    h = x.groupBy("s.district_id", "month").agg(F.max("s.outcome").alias("outcome"), F.sum("s.vote").alias("votes")).where("outcome IS NOT NULL")
+    h = h.withColumn("clustered", (F.col("outcome") == "hotspot") & (F.col("votes") > 0))
+    fact = lambda kind, value, supports: F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("fact"), supports.alias("supports"))
+    facts = F.explode(F.array(fact("hotspot", F.col("outcome"), F.col("outcome") == "hotspot"), fact("spatial_cluster", F.col("clustered"), F.col("clustered"))))
+    h = h.select("district_id", F.lit(None).cast("long").alias("facility_id"), "month", F.last_day("month").alias("cutoff"), F.lit("run1").alias("source_id"), facts.alias("f")).select("*", "f.*")
+    return _shaped(h, F.col("kind"), ["fact"], F.col("supports"))
 
 
 def recurrence_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,12 +142,12 @@ _RULE = "rule(rule, kind, weight, signal_type, least_evidence, least_score) AS (
 _PRIORITY = "CASE " + " ".join(f"WHEN score >= {s} THEN '{p}'" for p, s in reversed(BANDS)) + " ELSE 'unclassified' END"
 
 
-def signals(found: DataFrame, rules: DataFrame) -> DataFrame:
-    """One row a signal: KEYS, type, score, counts of evidence, priority, group key, fingerprint, cutoff and its evidence in order."""
-    unique = found.join(F.broadcast(rules), "kind").groupBy(*KEYS, "kind", "fingerprint", "role", "weight", "signal_type", "least_evidence", "least_score").agg(F.min("source_id").alias("source_id"), F.max("cutoff").alias("cutoff"))
+def signals(found: DataFrame, rules: DataFrame, runs: tuple[str, ...] = ()) -> DataFrame:
+    """One row a signal (of a run, where `runs` names the column of runs): KEYS, type, score, counts of evidence, priority, group key, fingerprint, cutoff and its evidence in order."""
+    unique = found.join(F.broadcast(rules), "kind").groupBy(*runs, *KEYS, "kind", "fingerprint", "role", "weight", "signal_type", "least_evidence", "least_score").agg(F.min("source_id").alias("source_id"), F.max("cutoff").alias("cutoff"))
     sign = F.when(F.col("role") == "supporting", 1).when(F.col("role") == "counter", -1).otherwise(0)
     item = F.struct("kind", "fingerprint", "role", "source_id")
-    s = unique.groupBy(*KEYS, "signal_type", "least_evidence", "least_score").agg(F.sum(F.col("weight") * sign).alias("score"), F.count_if(F.col("role") == "supporting").alias("evidence"), F.count_if(F.col("role") == "counter").alias("counter"), F.max("cutoff").alias("cutoff"), F.array_sort(F.collect_list(item)).alias("items"))
+    s = unique.groupBy(*runs, *KEYS, "signal_type", "least_evidence", "least_score").agg(F.sum(F.col("weight") * sign).alias("score"), F.count_if(F.col("role") == "supporting").alias("evidence"), F.count_if(F.col("role") == "counter").alias("counter"), F.max("cutoff").alias("cutoff"), F.array_sort(F.collect_list(item)).alias("items"))
     s = s.where("evidence >= least_evidence AND score >= least_score")
     key = F.sha2(F.concat_ws("|", "rule", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in KEYS[1:])), 256)
     own = F.sha2(F.concat(F.col("rule"), F.lit("|"), F.array_join(F.transform("items", lambda x: F.concat_ws(":", x.kind, x.fingerprint, x.role)), ",")), 256)
@@ -178,9 +188,8 @@ def not_configured(spark: SparkSession, missing: list[str]) -> DataFrame:
 f AS (SELECT group_key, input_fingerprint, min(run) AS run FROM sig GROUP BY 1, 2) SELECT group_key, input_fingerprint, run, lead(input_fingerprint) OVER w AS superseded_by, lag(input_fingerprint) OVER w AS supersedes, CASE WHEN lead(run) OVER w IS NULL THEN 'active' ELSE 'superseded' END AS status FROM f WINDOW w AS (PARTITION BY group_key ORDER BY run)""")
 def signal_supersession(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two generation runs, the second with recurrence as well: an equal fingerprint changes nothing, a new one supersedes."""
-    e, rules = evidence(spark, sf_dir), rule_table(spark)
-    runs = signals(e.where("kind <> 'recurrence'"), rules).withColumn("run", F.lit(1)).unionByName(signals(e, rules).withColumn("run", F.lit(2)))
-    return superseded(runs)
+    runs = F.explode(F.when(F.col("kind") == "recurrence", F.array(F.lit(2))).otherwise(F.array(F.lit(1), F.lit(2))))
+    return superseded(signals(evidence(spark, sf_dir).withColumn("run", runs), rule_table(spark), ("run",)))
 
 
 def superseded(runs: DataFrame) -> DataFrame:

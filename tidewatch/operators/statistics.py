@@ -1,7 +1,7 @@
 """Baselines, anomalies, persistence, hotspots and clusters over monthly series of districts.
 
-All target periods are evaluated at once: each series point is sent to the K months that look back on it, so one shuffle
-by (series, target) replaces a query for every target.
+All target periods are evaluated at once: a range window over the months of a series gives each point the K months before
+it, so one shuffle by series replaces a query for every target.
 """
 
 from __future__ import annotations
@@ -50,14 +50,14 @@ def median_of(values: Column) -> Column:
 
 
 def looked_back(series: DataFrame, keys: list[str], months: int) -> DataFrame:
-    """keys, month and history: the available values of the months before, in millionths, for every point of the series.
+    """series with history: the available values of the months before, in millionths, for every point.
 
-    Whole millionths keep halves exact, so that half-even rounding does not depend on how a mean was summed up.
+    A range window over the month's number, so the series is made and shuffled once. Whole millionths keep halves
+    exact, so that half-even rounding does not depend on how a mean was summed up.
     """
-    ahead = F.explode(F.transform(F.sequence(F.lit(1), F.lit(months)), lambda i: F.add_months("month", i)))
-    past = series.where("value IS NOT NULL").select(*keys, ahead.alias("month"), F.round(F.col("value") * MICRO).alias("past"))
-    h = past.groupBy(*keys, "month").agg(F.collect_list("past").alias("history"))
-    return series.join(h, [*keys, "month"], "left").withColumn("history", F.coalesce("history", F.array().cast("array<double>")))
+    number = (F.year("month") * 12 + F.month("month")).cast("long")
+    past = Window.partitionBy(*keys).orderBy(number).rangeBetween(-months, -1)
+    return series.withColumn("history", F.collect_list(F.round(F.col("value") * MICRO)).over(past))
 
 
 def baselines(series: DataFrame, keys: list[str], rule: BaselineRule = RULE) -> DataFrame:
