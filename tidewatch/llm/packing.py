@@ -70,7 +70,8 @@ class WordTokens(dict):
         self.tokenize = self.tokenizer.model.tokenize
         self.older: dict[bytes, bytes] = {}
         self.held = 0
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.size = max(self.tokenizer.get_vocab().values(), default=0) + 1
+        self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
         self.packed = struct.Struct("<H" if self.kind == "<u2" else "<I").pack
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
         # The short way is taken only if the tokenizer proves to treat such words so.
@@ -166,14 +167,14 @@ def projection() -> np.ndarray:
     return np.random.default_rng(7).standard_normal((HASHED, DIMS))
 
 
-def curve_key(ids: list[np.ndarray], matrix: np.ndarray) -> np.ndarray:
-    """The Hilbert keys of documents' ids."""
-    bags = np.zeros((len(ids), HASHED))
-    for row, x in zip(bags, ids, strict=True):
-        row[:] = np.sqrt(np.bincount(common.mix(x.astype(np.uint64)) & np.uint64(HASHED - 1), minlength=HASHED))
-    bags /= np.maximum(np.linalg.norm(bags, axis=1, keepdims=True), 1e-12)
+def curve_key(raw: list[bytes], kind: str, places: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """The Hilbert keys of documents' ids, given as bytes; `places` holds the place of each id in a bag."""
+    sizes = [len(r) // np.dtype(kind).itemsize for r in raw]
+    at = places[np.frombuffer(b"".join(raw), kind)] + np.repeat(np.arange(len(raw)) * HASHED, sizes)
+    bags = np.sqrt(np.bincount(at, minlength=len(raw) * HASHED)).reshape(-1, HASHED)
+    points = (bags @ matrix) / np.maximum(np.sqrt(np.array(sizes)), 1e-12)[:, None]  # squared, the roots of the counts sum to the size
     side = 1 << HILBERT_BITS
-    return hilbert(np.clip((bags @ matrix + 4) / 8 * side, 0, side - 1).astype(np.int64), HILBERT_BITS)
+    return hilbert(np.clip((points + 4) / 8 * side, 0, side - 1).astype(np.int64), HILBERT_BITS)
 
 
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
@@ -181,13 +182,14 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, matrix = word_tokens(path), projection()
+        places = (common.mix(np.arange(max(words.size, END_ID + 1), dtype=np.uint64)) & np.uint64(HASHED - 1)).astype(np.int64)
         end = np.array([END_ID], words.kind).tobytes()
+        width = len(end)
         mask = (1 << TIE_BITS) - 1
         for part in common.slices(batches, 512):
             raw = [words.ids(t or "") + end for t in part.column(1).to_pylist()]
-            ids = [np.frombuffer(r, words.kind) for r in raw]
-            key = (curve_key(ids, matrix) << TIE_BITS) | (part.column(2).to_numpy() & mask)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(key), pa.array([len(x) for x in ids], pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "key", "tokens", "ids"])
+            key = (curve_key(raw, words.kind, places, matrix) << TIE_BITS) | (part.column(2).to_numpy() & mask)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(key), pa.array([len(r) // width for r in raw], pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "key", "tokens", "ids"])
 
     tie = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), tie).mapInArrow(common.forgetting(run, _forget), "doc_id long, key long, tokens long, ids binary")
