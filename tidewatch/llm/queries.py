@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import compression, jaccard, mixing, packing, pii, quality_rules, repeats, secrets, topk, toxicity
+from tidewatch.llm import compression, jaccard, language, lloyd, mixing, packing, pii, quality_rules, repeats, secrets, spelling, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_exact_top_k": topk.op9_exact_top_k,
     "op10_ngram_jaccard_join": jaccard.op10_ngram_jaccard_join,
+    "op11_centroid_clustering": lloyd.op11_centroid_clustering,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op13_language_id": language.op13_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -26,4 +29,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_mixing_sources": mixing.ORACLE,
     "op9_exact_top_k": topk.ORACLE,
     "op10_ngram_jaccard_join": jaccard.ORACLE,
+    "op11_centroid_clustering": lloyd.ORACLE,
+    "op12_spelling_variants": spelling.ORACLE,
 }
