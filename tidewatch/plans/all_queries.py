@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
 from tidewatch.operators import cleaning, indicators, ingestion, runs, sequences, signals, spatial, statistics, surveillance  # noqa: F401
-from tidewatch.streaming import arrivals  # noqa: F401
+from tidewatch.streaming import arrivals, persistence  # noqa: F401
