@@ -2,46 +2,22 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. Only a session in one process may leave it unset and gets a temporary one;
-    on a cluster that is an error, as executors would not see a folder of the driver's."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return folder or "file://" + tempfile.mkdtemp(prefix="tidewatch-")
-
-
-def own_folder(spark: SparkSession, name: str) -> str:
-    """A new name below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+from tidewatch.operators import stored
 
 
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, label: the least node that edges (src, dst, both directions) reach from each node. A round takes the least label
     among neighbours, then that of its label, so that paths halve."""
-    labels = checkpointed(nodes.select("node", F.col("node").alias("label")))
-    edges = checkpointed(edges.select("src", "dst").distinct())
+    labels = stored.written(nodes.select("node", F.col("node").alias("label")), "labels")
+    edges = stored.written(edges.select("src", "dst").distinct(), "edges")
     while True:
         near = edges.join(labels, edges.dst == labels.node).groupBy("src").agg(F.min("label").alias("near"))
         new = labels.join(near, labels.node == near.src, "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
         far = new.select(F.col("node").alias("up"), F.col("label").alias("far"))
-        new = checkpointed(new.join(far, F.col("label") == F.col("up"), "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")))
+        new = stored.written(new.join(far, F.col("label") == F.col("up"), "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")
         labels = new.select("node", "label")
         if new.where("old <> label").isEmpty():
             return labels

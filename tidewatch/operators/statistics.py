@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators import flags, graph, spatial
+from tidewatch.operators import flags, graph, spatial, stored
 from tidewatch.plans.registry import query
 from tidewatch.sources import bind
 
@@ -192,7 +192,7 @@ def contiguous_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of adjacent hotspots of a month, two units at least; a node is a district in a month."""
     hot = hotspots(spark, sf_dir).where("outcome = 'hotspot'").select("district_id", "month")
     name = lambda m, d: F.struct(F.col(m).alias("month"), F.col(d).alias("district_id"))
-    hot = graph.checkpointed(hot)
+    hot = stored.written(hot, "hotspots")
     other = hot.select(F.col("district_id").alias("dst"), "month")
     edges = hot.join(adjacency(spark, sf_dir), hot.district_id == F.col("src")).join(other, ["dst", "month"]).select(name("month", "district_id").alias("src"), name("month", "dst").alias("dst"))
     found = graph.connected(hot.select(name("month", "district_id").alias("node")), edges)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidewatch.operators import graph
+from tidewatch.operators import stored
 from tidewatch.plans.registry import query
 from tidewatch.streaming import stateful
 
@@ -106,13 +106,13 @@ _DAILY = "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, CAST(sum(fl
 @query("streamed_daily_counts", _DAILY)
 def streamed_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every day and type by a stream that ends when all files are read."""
-    return run_available(spark, f"{sf_dir}/event[s].parquet", graph.own_folder(spark, "arrivals")).drop("late")
+    return run_available(spark, f"{sf_dir}/event[s].parquet", stored.own_folder(spark, "arrivals")).drop("late")
 
 
 @query("streamed_scattered_counts", _DAILY)
 def streamed_scattered_counts(spark: SparkSession, sf_dir: str, files: int = 24) -> DataFrame:
     """The same from events that come by days in no order, in many files and batches, most of them late."""
-    folder = graph.own_folder(spark, "arrivals")
+    folder = stored.own_folder(spark, "arrivals")
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     e.repartition(files, F.sha2(F.col("ts").cast("date").cast("string"), 256)).write.parquet(f"{folder}/input")
     return run_available(spark, f"{folder}/input", folder, max(1, files // 6)).drop("late")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidewatch.operators import flags, graph, statistics
+from tidewatch.operators import flags, statistics, stored
 from tidewatch.plans.registry import query
 from tidewatch.streaming import stateful
 
@@ -103,7 +103,7 @@ def found(spark: SparkSession, folder: str) -> DataFrame:
 SELECT district_id, min(month) AS first_month, max(month) AS last_month, count(*) AS periods, count(*) >= 2 AS sustained FROM f GROUP BY district_id, island""")
 def streamed_persistence(spark: SparkSession, sf_dir: str, files: int = 6) -> DataFrame:
     """Runs of flagged months by a stream of judgements whose months come in no order, in several batches."""
-    folder = graph.own_folder(spark, "persistence")
+    folder = stored.own_folder(spark, "persistence")
     j = statistics.judged(statistics.baselines(statistics.series(spark, sf_dir), ["district_id"]))
     j.select("district_id", "month", (F.col("outcome") == "flagged").alias("flagged")).repartition(files, F.sha2(F.col("month").cast("string"), 256)).write.parquet(f"{folder}/input")
     return run_available(spark, f"{folder}/input", folder)
