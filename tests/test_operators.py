@@ -13,10 +13,21 @@ from tidewatch.sources import jsonl
 
 
 def test_lines_are_read_and_judged(spark, tmp_path):
-    lines = ['{"record_type":"encounter","source_row_id":"1"}', "  ", "{broken", '{"record_type":"other","source_row_id":"2"}', '{"record_type":"encounter","source_row_id":" "}', '{"record_type":"encounter","source_row_id":"3","x":[{"National-ID":"z"}]}', '{"record_type":"encounter","source_row_id":"4","note":"a \\"full_name\\" in a text"}']
+    escaped = '{"record_type":"encounter","source_row_id":"5","a":[{"b":{"patient\\u004eame":1}}]}'
+    lines = [escaped, '{"record_type":"encounter","source_row_id":"1"}', "  ", "{broken", '{"record_type":"other","source_row_id":"2"}', '{"record_type":"encounter","source_row_id":" "}', '{"record_type":"encounter","source_row_id":"3","x":[{"National-ID":"z"}]}', '{"record_type":"encounter","source_row_id":"4","note":"a \\"full_name\\" in a text"}']
     (tmp_path / "a.jsonl").write_text("\n".join(lines))
     got = {r.line: r.fault for r in jsonl.judged(jsonl.read(spark, str(tmp_path))).collect()}
-    assert [got.get(x, "skipped") for x in lines] == [None, "skipped", "malformed_json", "wrong_record_type", "missing_source_row_id", "forbidden_field", None]
+    assert [got.get(x, "skipped") for x in lines] == ["forbidden_field", None, "skipped", "malformed_json", "wrong_record_type", "missing_source_row_id", "forbidden_field", None]
+
+
+def test_forbidden_keys_are_found_at_any_depth(spark):
+    deep = '{"surname":1}'
+    for _ in range(12):
+        deep = '{"x":[' + deep + ']}'
+    texts = ['{"a":{"b":[1,[2,{"National-ID":null}],{"n":{"FULL NAME":{}}}]}}', r'{"say":"\"surname\": no key","k":"full_name"}', r'{"\u0073urname":"x"}', deep, "[]", "3", "{bad", r'[{"phone\/number":1},{"phoneNumber":2}]']
+    d = spark.createDataFrame([(t,) for t in texts] + [(texts[0],)], "line string")
+    got = {r.line: r.paths for r in d.withColumn("line_id", jsonl.line_id()).join(jsonl.forbidden_paths(d), "line_id").distinct().collect()}
+    assert got == {texts[0]: ["$.a.b[1][1].National-ID", "$.a.b[2].n.FULL NAME"], texts[2]: ["$.surname"], deep: ["$" + ".x[0]" * 12 + ".surname"], texts[7]: ["$[0].phone/number", "$[1].phoneNumber"]}
 
 
 def test_a_load_that_comes_again_changes_nothing(spark):

@@ -73,13 +73,21 @@ def simplified(ring: Column, least_area: float, passes: int = 1) -> Column:
     neighbours. A point's fate hangs on the two points on either side, whichever way the ring runs, so a line that two units
     share stays shared. First and last points stay, and a ring of four points or fewer is kept as it is."""
     for _ in range(passes):
-        n = F.size(ring)
-        at = lambda i, n=n, ring=ring: F.get(ring, F.when(i < 0, n - 2).when(i >= n, F.lit(1)).otherwise(i))
+        ring = _without_small(ring, least_area)
+    return ring
 
-        def triangle(i: Column, at: Callable = at) -> Column:
-            a, b, c = at(i - 1), at(i), at(i + 1)
-            return F.abs((b.x - a.x) * (c.y - a.y) - (c.x - a.x) * (b.y - a.y)) / 2
 
-        gone = lambda i: (triangle(i) < least_area) & (triangle(i) <= triangle(i - 1)) & (triangle(i) <= triangle(i + 1))
-        ring = F.when(n <= 4, ring).otherwise(F.filter(ring, lambda p, i, n=n, gone=gone: (i == 0) | (i == n - 1) | ~gone(i)))
-    return ring
+def _without_small(ring: Column, least_area: float) -> Column:
+    n = F.size(ring)
+
+    def at(i: Column) -> Column:
+        return F.get(ring, F.when(i < 0, n - 2).when(i >= n, F.lit(1)).otherwise(i))
+
+    def triangle(i: Column) -> Column:
+        a, b, c = at(i - 1), at(i), at(i + 1)
+        return F.abs((b.x - a.x) * (c.y - a.y) - (c.x - a.x) * (b.y - a.y)) / 2
+
+    def stays(p: Column, i: Column) -> Column:
+        return (i == 0) | (i == n - 1) | ~((triangle(i) < least_area) & (triangle(i) <= triangle(i - 1)) & (triangle(i) <= triangle(i + 1)))
+
+    return F.when(n <= 4, ring).otherwise(F.filter(ring, stays))

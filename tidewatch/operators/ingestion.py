@@ -11,7 +11,7 @@ from tidewatch.functions import scalars as fn
 from tidewatch.plans.registry import query
 from tidewatch.sources import bind, jsonl
 
-_LINES = f"""{bind.CTES}, ln AS (SELECT month AS artefact, encounter_id AS id, encounter_date, patient_id, fever, CASE WHEN encounter_id % 1019 = 0 THEN 'malformed_json' WHEN encounter_id % 1013 = 0 THEN 'forbidden_field' WHEN encounter_id % 9973 = 0 THEN 'wrong_record_type' WHEN encounter_id % 1009 = 0 THEN 'missing_source_row_id' END AS fault FROM encounter)"""
+_LINES = f"""{bind.CTES}, ln AS (SELECT month AS artefact, encounter_id AS id, encounter_date, patient_id, fever, CASE WHEN encounter_id % 1019 = 0 THEN 'malformed_json' WHEN encounter_id % 1013 = 0 OR encounter_id % 1021 = 0 THEN 'forbidden_field' WHEN encounter_id % 9973 = 0 THEN 'wrong_record_type' WHEN encounter_id % 1009 = 0 THEN 'missing_source_row_id' END AS fault FROM encounter)"""
 
 
 @query("jsonl_artefacts", f"WITH {_LINES} SELECT artefact, count(*) AS lines, count(fault) AS bad, CASE WHEN count(fault) > 0 THEN 'aborted' ELSE 'accepted' END AS outcome, arg_min(fault, id) FILTER (fault IS NOT NULL) AS first_fault FROM ln GROUP BY 1")
@@ -30,11 +30,21 @@ def jsonl_encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.join(good, "artefact").select("artefact", "row.source_row_id", F.col("row.visit_date").cast("date").alias("visit_date"), "row.person", "row.fever")
 
 
-@query("forbidden_fields", f"WITH {_LINES} SELECT artefact, id, 'Patient_Name' AS keys FROM ln WHERE id % 1013 = 0 AND id % 1019 <> 0")
+@query("forbidden_fields", f"WITH {_LINES} SELECT artefact, id, CASE WHEN id % 1013 = 0 THEN '$.extra.contact.Patient_Name' ELSE '$.extra.seen[1].patientName' END AS paths FROM ln WHERE (id % 1013 = 0 OR id % 1021 = 0) AND id % 1019 <> 0")
 def forbidden_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that hold a person's fields at any depth, with the keys as written."""
-    d = jsonl.lines(spark, sf_dir).withColumn("keys", F.array_join(jsonl.forbidden_keys(F.col("line")), ","))
-    return d.where("keys <> ''").select("artefact", "id", "keys")
+    """Lines that hold a person's fields at any depth, with the paths of the keys."""
+    d = jsonl.lines(spark, sf_dir)
+    found = d.withColumn("line_id", jsonl.line_id()).join(jsonl.forbidden_paths(d), "line_id")
+    return found.select("artefact", "id", F.array_join("paths", ",").alias("paths"))
+
+
+@query("payload_paths", "SELECT t.fullkey AS path, CASE t.type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'NULL' THEN 'void' ELSE 'number' END AS kind, count(*) AS events, count(DISTINCT event_type) AS types FROM events, json_tree(props) t WHERE t.fullkey <> '$' GROUP BY 1, 2")
+def payload_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every path that the payloads of events hold, with the kinds of its values and how often it comes."""
+    e = bind.table(spark, sf_dir, "events").select("event_id", "event_type", "props")
+    found = jsonl.walked(e.select(F.col("event_id").alias("id"), F.try_parse_json("props").alias("v")))
+    kind = F.when(F.col("kind").isin("object", "array", "string", "void"), F.col("kind")).otherwise("number")
+    return found.join(e, found.id == e.event_id).groupBy("path", kind.alias("kind")).agg(F.count("*").alias("events"), F.count_distinct("event_type").alias("types"))
 
 
 RETURN = "id long, observations array<struct<element: string, value: string>>, stock array<struct<commodity: string, metric: string, value: string>>"

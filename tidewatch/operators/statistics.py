@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators import flags, graph, spatial, stored
+from tidewatch.operators import flags, geometry, graph, spatial, stored
 from tidewatch.plans.registry import query
 from tidewatch.sources import bind
 
@@ -145,7 +145,7 @@ def relative_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SPACE = f"""s AS (SELECT residence_id AS district_id, month, count(*) FILTER (confirmed) AS n, count(*) FILTER (tested) AS denominator, CASE WHEN count(*) FILTER (tested) > 0 THEN round_even(CAST(count(*) FILTER (confirmed) AS DOUBLE) / CAST(count(*) FILTER (tested) AS DOUBLE), 6) END AS value FROM visit GROUP BY 1, 2),
 {_SERIES.split('FROM g),')[1].strip()}, hot AS (SELECT district_id, month, value, n, CASE WHEN value IS NULL THEN 'no_observation' WHEN n < 3 THEN 'below_minimum_count' WHEN sufficiency <> 'sufficient' OR coalesce(spread, 0) = 0 THEN 'not_evaluated_no_baseline' WHEN (value - expected) / spread >= 1.5 THEN 'hotspot' ELSE 'not_hotspot' END AS outcome FROM b JOIN (SELECT district_id, month, n FROM s) USING (district_id, month)),
-rk AS (SELECT district_id, region_id, row_number() OVER (PARTITION BY region_id ORDER BY district_id) AS k FROM district), adj AS (SELECT a.district_id AS src, b.district_id AS dst FROM rk a JOIN rk b ON a.region_id = b.region_id AND abs(a.k - b.k) = 1)"""
+{geometry.ADJACENT}"""
 
 
 def space(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,10 +160,8 @@ def hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbours in both directions: districts of one region that follow each other."""
-    k = bind.districts(spark, sf_dir).select("district_id", "region_id", F.row_number().over(Window.partitionBy("region_id").orderBy("district_id")).alias("k"))
-    other = k.select(F.col("district_id").alias("dst"), F.col("region_id").alias("r"), F.explode(F.array(F.col("k") - 1, F.col("k") + 1)).alias("near"))
-    return k.join(other, (k.region_id == other.r) & (k.k == other.near)).select(F.col("district_id").alias("src"), "dst")
+    """Neighbours in both directions: districts whose subcounties share a boundary of some length."""
+    return geometry.district_neighbours(spark, sf_dir)
 
 
 @query("hotspot", f"WITH {flags.CTES}, {_SPACE} SELECT district_id, month, value, outcome FROM hot")
