@@ -1,4 +1,4 @@
 """Imports every module that registers queries."""
 
-from tidewatch.operators import cleaning, geometry, indicators, ingestion, intervals, runs, sequences, signals, spatial, statistics, surveillance  # noqa: F401
+from tidewatch.operators import cleaning, evidence, geometry, indicators, ingestion, intervals, runs, sequences, signals, spatial, statistics, surveillance  # noqa: F401
 from tidewatch.streaming import arrivals, persistence  # noqa: F401
