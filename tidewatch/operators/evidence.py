@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators import intervals, sequences
+from tidewatch.operators import intervals, sequences, stored
 from tidewatch.plans.registry import query
 from tidewatch.sources import bind
 
@@ -146,17 +146,31 @@ _DEC = f"""dc AS MATERIALIZED (SELECT *, positive AND day IS NOT NULL AND count(
   WHEN row_number() OVER (PARTITION BY year, patient_id, day, positive AND day IS NOT NULL AND NOT disputed ORDER BY encounter_id) > 1 THEN 'same_day_not_representative' ELSE 'eligible_positive' END AS reason FROM evd)"""
 
 
+VERSION = "1"
+TABLES = ("nation", "region", "supplier", "customer", "orders", "lineitem")
+
+
+def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """decided(), written once for its tables; all views of an evaluation read it. ref: E1, E2, ... by day within patient and year."""
+
+    def build() -> DataFrame:
+        order = Window.partitionBy("year", "patient_id").orderBy(F.col("day").asc_nulls_last(), "encounter_id")
+        return decided(spark, sf_dir).withColumn("ref", F.concat(F.lit("E"), F.row_number().over(order)))
+
+    return stored.evaluation(spark, "decisions", VERSION, [f"{sf_dir}/{t}.parquet" for t in TABLES], build, rule=RULE, methods=METHODS, excluded=EXCLUDED)
+
+
 @query("encounter_decisions", f"WITH {bind.CTES}, {_ENC}, {_EVID}, {_DEC} SELECT year, patient_id, encounter_id, day, reason, concat_ws(',', CASE WHEN disputed OR (positive AND day IS NULL) THEN 'date_quality_issue' END, CASE WHEN twin THEN 'possible_duplicate' END) AS flags FROM dc")
 def encounter_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why each encounter of the evidence counts or not, with its flags."""
     flags = F.concat_ws(",", F.when(F.col("disputed") | (F.col("positive") & F.col("day").isNull()), "date_quality_issue"), F.when(F.col("is_possible_duplicate"), "possible_duplicate"))
-    return decided(spark, sf_dir).select("year", "patient_id", "encounter_id", "day", "reason", flags.alias("flags"))
+    return decisions(spark, sf_dir).select("year", "patient_id", "encounter_id", "day", "reason", flags.alias("flags"))
 
 
 def determined(spark: SparkSession, sf_dir: str, rule: sequences.ChainRule = RULE) -> DataFrame:
     """year, patient_id, in_period, chain (days), unreliable: codes of why an absent chain proves nothing."""
     low, start, end = span(F.col("year"))
-    d = decided(spark, sf_dir).withColumns({"low": low, "start": start, "end": end})
+    d = decisions(spark, sf_dir).withColumns({"low": low, "start": start, "end": end})
     counted = F.col("counted") & F.col("day").between(F.col("low"), F.col("end"))
     inside = counted & (F.col("day") >= F.col("start"))
     open_test = F.col("unresolved") & (F.col("day").isNull() | F.col("day").between(F.col("low"), F.col("end")))
@@ -191,11 +205,17 @@ def determination() -> Column:
     return F.when(F.col("in_period") == 0, "not_in_period").when(F.size("chain") > 0, "qualifies").when(F.col("unreliable") != "", "indeterminate").otherwise("does_not_qualify")
 
 
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """determined() with the determination, written once for its tables."""
+    build = lambda: determined(spark, sf_dir).withColumn("determination", determination())
+    return stored.evaluation(spark, "determinations", VERSION, [f"{sf_dir}/{t}.parquet" for t in TABLES], build, rule=RULE, methods=METHODS, excluded=EXCLUDED)
+
+
 @query("yearly_determinations", f"WITH RECURSIVE {bind.CTES}, {_ENC}, {_EVID}, {_DEC}, {_WIN}, {_COV}, {_CHAIN} SELECT year, patient_id, {_HOW} AS determination, in_period, array_to_string(chain, ',') AS chain, CASE WHEN {_HOW} = 'indeterminate' THEN unreliable ELSE '' END AS reasons FROM dt")
 def yearly_determinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every patient and year: not in the period, qualifies by a chain, does not qualify, or indeterminate, with what was not
     observed or not resolved."""
-    d = determined(spark, sf_dir).withColumn("determination", determination())
+    d = findings(spark, sf_dir)
     return d.select("year", "patient_id", "determination", "in_period", F.array_join(F.transform("chain", lambda x: x.cast("string")), ",").alias("chain"), F.when(F.col("determination") == "indeterminate", F.col("unreliable")).otherwise("").alias("reasons"))
 
 
@@ -203,3 +223,53 @@ def yearly_determinations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unlinked_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positive encounters that belong to no known patient: no chain can hold them."""
     return encounters(spark, sf_dir).where("patient_id IS NULL AND positive").select("encounter_id", "facility_id", "day")
+
+
+# Views of the evaluation
+
+_REF = "rf AS (SELECT *, 'E' || row_number() OVER (PARTITION BY year, patient_id ORDER BY day NULLS LAST, encounter_id) AS ref FROM dc), fi AS (SELECT *, " + _HOW + " AS determination FROM dt)"
+_ALL = f"{bind.CTES}, {_ENC}, {_EVID}, {_DEC}, {_WIN}, {_COV}, {_CHAIN}, {_REF}"
+_ON = "date_diff('day', DATE '1970-01-01', day)"
+
+
+@query("finding_encounters", f"WITH RECURSIVE {_ALL} SELECT year, patient_id, determination, ref, encounter_id, reason, coalesce(reason = 'eligible_positive' AND list_contains(chain, {_ON}), false) AS in_chain FROM rf JOIN fi USING (year, patient_id)")
+def finding_encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each finding's encounters under its own references, with those that make its chain."""
+    d = decisions(spark, sf_dir).join(findings(spark, sf_dir).select("year", "patient_id", "determination", "chain"), ["year", "patient_id"])
+    inside = F.coalesce(F.col("counted") & F.array_contains("chain", F.unix_date("day").cast("long")), F.lit(False))
+    return d.select("year", "patient_id", "determination", "ref", "encounter_id", "reason", inside.alias("in_chain"))
+
+
+@query("patient_rows", f"""WITH RECURSIVE {_ALL}, iv AS (SELECT year, patient_id, n - lag(n) OVER (PARTITION BY year, patient_id ORDER BY n) AS days, n FROM (SELECT DISTINCT year, patient_id, {_ON} AS n FROM dc WHERE reason = 'eligible_positive')),
+ag AS (SELECT year, patient_id, count(*) AS encounters, count(*) FILTER (reason = 'eligible_positive') AS positives, max(day) FILTER (reason = 'eligible_positive') AS latest, count(DISTINCT facility_id) FILTER (reason = 'eligible_positive') AS facilities, bool_or(unresolved) AS unresolved FROM dc GROUP BY 1, 2)
+SELECT year, patient_id, determination, encounters, positives, latest, facilities, unresolved, coalesce((SELECT string_agg(days, ',' ORDER BY n) FROM iv WHERE iv.year = fi.year AND iv.patient_id = fi.patient_id AND days IS NOT NULL), '') AS intervals, CASE WHEN len(chain) > 0 THEN chain[-1] - chain[1] END AS chain_days FROM fi JOIN ag USING (year, patient_id)""")
+def patient_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a patient and year: counts, the days between counted positives, and the span of the chain."""
+    d, own = decisions(spark, sf_dir), F.col("counted")
+    n = F.unix_date("day").cast("long")
+    a = d.groupBy("year", "patient_id").agg(F.count("*").alias("encounters"), F.count_if(own).alias("positives"), F.max(F.when(own, F.col("day"))).alias("latest"), F.count_distinct(F.when(own, F.col("facility_id"))).alias("facilities"), F.bool_or("unresolved").alias("unresolved"), F.array_sort(F.collect_set(F.when(own, n))).alias("days"))
+    days = F.col("days")
+    gaps = F.transform(F.slice(days, 2, F.greatest(F.size(days) - 1, F.lit(0))), lambda x, i: (x - F.get(days, i)).cast("string"))
+    f = findings(spark, sf_dir).select("year", "patient_id", "determination", F.when(F.size("chain") > 0, F.element_at("chain", -1) - F.element_at("chain", 1)).alias("chain_days"))
+    return f.join(a, ["year", "patient_id"]).select("year", "patient_id", "determination", "encounters", "positives", "latest", "facilities", "unresolved", F.array_join(gaps, ",").alias("intervals"), "chain_days")
+
+
+@query("recurrence_by_area", f"""WITH RECURSIVE {_ALL}, ar AS (SELECT facility_id, CASE WHEN is_active THEN 'F' || facility_id ELSE 'D' || district_id END AS area FROM facility),
+q AS (SELECT fi.year, area, count(*) AS qualifying FROM fi JOIN dc ON dc.year = fi.year AND dc.patient_id = fi.patient_id AND reason = 'eligible_positive' AND {_ON} = chain[-1] JOIN ar USING (facility_id) WHERE len(chain) > 0 GROUP BY 1, 2),
+p AS (SELECT year, area, count(DISTINCT patient_id) AS positive FROM dc JOIN ar USING (facility_id) WHERE reason = 'eligible_positive' AND day BETWEEN make_date(year, 1, 1) AND make_date(year, 12, 31) GROUP BY 1, 2)
+SELECT year, area, coalesce(qualifying, 0) AS qualifying, coalesce(positive, 0) AS positive FROM q FULL JOIN p USING (year, area)""")
+def recurrence_by_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Qualifying patients by the area of their chain's last encounter, beside the patients with a positive there in the year."""
+    f = bind.facilities(spark, sf_dir).select("facility_id", F.when(F.col("is_active"), F.concat(F.lit("F"), "facility_id")).otherwise(F.concat(F.lit("D"), "district_id")).alias("area"))
+    d = decisions(spark, sf_dir).where("counted").join(f, "facility_id").withColumn("n", F.unix_date("day").cast("long"))
+    last = findings(spark, sf_dir).where("size(chain) > 0").select("year", "patient_id", F.element_at("chain", -1).alias("n"))
+    q = d.join(last, ["year", "patient_id", "n"]).groupBy("year", "area").agg(F.count("*").alias("qualifying"))
+    p = d.where(F.year("day") == F.col("year")).groupBy("year", "area").agg(F.count_distinct("patient_id").alias("positive"))
+    return q.join(p, ["year", "area"], "full").select("year", "area", F.coalesce("qualifying", F.lit(0)).alias("qualifying"), F.coalesce("positive", F.lit(0)).alias("positive"))
+
+
+@query("same_day_evidence", f"WITH {bind.CTES}, {_ENC}, {_EVID}, {_DEC} SELECT year, patient_id, day, count(*) AS members, count(DISTINCT facility_id) AS facilities, min(encounter_id) AS representative, CASE WHEN count(DISTINCT facility_id) = 1 THEN 'near_duplicate' ELSE 'same_day_distinct' END AS kind FROM dc WHERE twin GROUP BY 1, 2, 3")
+def same_day_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of positive encounters of one patient and day: all of one facility, or of several."""
+    g = decisions(spark, sf_dir).where("is_possible_duplicate").groupBy("year", "patient_id", "day").agg(F.count("*").alias("members"), F.count_distinct("facility_id").alias("facilities"), F.min("encounter_id").alias("representative"))
+    return g.withColumn("kind", F.when(F.col("facilities") == 1, "near_duplicate").otherwise("same_day_distinct"))

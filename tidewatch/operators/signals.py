@@ -7,10 +7,13 @@ or facility) and month that reaches the rule's least evidence and least score ma
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators import flags, sequences, statistics, surveillance
+from tidewatch.operators import flags, sequences, statistics, stored, surveillance
 from tidewatch.plans.registry import query
 from tidewatch.sources import bind
 
@@ -98,12 +101,21 @@ def alert_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shaped(x.select("s.*", "month", "cutoff", "source_id", "fact"), "commodity_alert", ["source_id", "fact"], None)
 
 
+VERSION = "2"
+TABLES = ("nation", "region", "supplier", "customer", "part", "orders", "lineitem")
+
+
+def evaluated(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], **parameters: object) -> DataFrame:
+    """What build() gives, written once for the tables of sf_dir: every view of signals reads the same evaluation."""
+    return stored.evaluation(spark, name, VERSION, [f"{sf_dir}/{t}.parquet" for t in TABLES], build, **parameters)
+
+
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = [f(spark, sf_dir) for f in (anomaly_evidence, hotspot_evidence, recurrence_evidence, reconciliation_evidence, alert_evidence)]
-    out = every[0]
-    for e in every[1:]:
-        out = out.unionByName(e)
-    return out
+    def build() -> DataFrame:
+        every = [f(spark, sf_dir) for f in (anomaly_evidence, hotspot_evidence, recurrence_evidence, reconciliation_evidence, alert_evidence)]
+        return functools.reduce(DataFrame.unionByName, every)
+
+    return evaluated(spark, sf_dir, "evidence", build)
 
 
 _EVIDENCE = f"""{flags.CTES}, {surveillance._STOCK},
@@ -143,11 +155,14 @@ _PRIORITY = "CASE " + " ".join(f"WHEN score >= {s} THEN '{p}'" for p, s in rever
 
 
 def signals(found: DataFrame, rules: DataFrame, runs: tuple[str, ...] = ()) -> DataFrame:
-    """One row a signal (of a run, where `runs` names the column of runs): KEYS, type, score, counts of evidence, priority, group key, fingerprint, cutoff and its evidence in order."""
+    """One row a signal (of a run, where `runs` names the column of runs): KEYS, type, score, counts of evidence, priority, group
+    key, fingerprint, cutoff, the kinds that it has and its evidence in order. Context decides nothing and, as it may be
+    much, is counted only; what supports a signal or speaks against it is a few findings of each kind."""
     unique = found.join(F.broadcast(rules), "kind").groupBy(*runs, *KEYS, "kind", "fingerprint", "role", "weight", "signal_type", "least_evidence", "least_score").agg(F.min("source_id").alias("source_id"), F.max("cutoff").alias("cutoff"))
-    sign = F.when(F.col("role") == "supporting", 1).when(F.col("role") == "counter", -1).otherwise(0)
-    item = F.struct("kind", "fingerprint", "role", "source_id")
-    s = unique.groupBy(*runs, *KEYS, "signal_type", "least_evidence", "least_score").agg(F.sum(F.col("weight") * sign).alias("score"), F.count_if(F.col("role") == "supporting").alias("evidence"), F.count_if(F.col("role") == "counter").alias("counter"), F.max("cutoff").alias("cutoff"), F.array_sort(F.collect_list(item)).alias("items"))
+    role = F.col("role")
+    sign = F.when(role == "supporting", 1).when(role == "counter", -1).otherwise(0)
+    item = F.when(role != "context", F.struct("kind", "fingerprint", "role", "source_id"))
+    s = unique.groupBy(*runs, *KEYS, "signal_type", "least_evidence", "least_score").agg(F.sum(F.col("weight") * sign).alias("score"), F.count_if(role == "supporting").alias("evidence"), F.count_if(role == "counter").alias("counter"), F.count_if(role == "context").alias("context"), F.max("cutoff").alias("cutoff"), F.collect_set("kind").alias("kinds"), F.array_sort(F.collect_list(item)).alias("items"))
     s = s.where("evidence >= least_evidence AND score >= least_score")
     key = F.sha2(F.concat_ws("|", "rule", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in KEYS[1:])), 256)
     own = F.sha2(F.concat(F.col("rule"), F.lit("|"), F.array_join(F.transform("items", lambda x: F.concat_ws(":", x.kind, x.fingerprint, x.role)), ",")), 256)
@@ -156,12 +171,12 @@ def signals(found: DataFrame, rules: DataFrame, runs: tuple[str, ...] = ()) -> D
 
 _SIGNALS = f"""{_EVIDENCE}, {_RULE}, un AS (SELECT rule, district_id, facility_id, month, kind, fingerprint, role, weight, signal_type, least_evidence, least_score, min(source_id) AS source_id, max(cutoff) AS cutoff FROM evidence JOIN rule USING (kind) GROUP BY ALL),
 s0 AS (SELECT rule, district_id, facility_id, month, signal_type, least_evidence, least_score, CAST(sum(CASE role WHEN 'supporting' THEN weight WHEN 'counter' THEN -weight ELSE 0 END) AS BIGINT) AS score, count(*) FILTER (role = 'supporting') AS evidence, count(*) FILTER (role = 'counter') AS counter, max(cutoff) AS cutoff,
-  string_agg(kind || ':' || fingerprint || ':' || role, ',' ORDER BY kind, fingerprint, role) AS items, string_agg(role || ':' || kind || ':' || source_id, ',' ORDER BY role, kind, source_id, fingerprint) AS told FROM un GROUP BY ALL HAVING evidence >= least_evidence AND score >= least_score),
+  string_agg(kind || ':' || fingerprint || ':' || role, ',' ORDER BY kind, fingerprint, role) FILTER (role <> 'context') AS items, string_agg(role || ':' || kind || ':' || source_id, ',' ORDER BY role, kind, source_id, fingerprint) FILTER (role <> 'context') AS told, count(*) FILTER (role = 'context') AS context, list(DISTINCT kind) AS kinds FROM un GROUP BY ALL HAVING evidence >= least_evidence AND score >= least_score),
 sig AS (SELECT *, {_PRIORITY} AS priority, sha256(rule || '|' || coalesce(CAST(district_id AS VARCHAR), '-') || '|' || coalesce(CAST(facility_id AS VARCHAR), '-') || '|' || month) AS group_key, sha256(rule || '|' || items) AS input_fingerprint FROM s0)"""
 
 
 def found_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals(evidence(spark, sf_dir), rule_table(spark))
+    return evaluated(spark, sf_dir, "signals", lambda: signals(evidence(spark, sf_dir), rule_table(spark)), rules=RULES, bands=BANDS)
 
 
 @query("signal_scores", f"WITH {_SIGNALS} SELECT rule, district_id, facility_id, month, signal_type, score, evidence, counter, priority, group_key, input_fingerprint FROM sig")
@@ -216,17 +231,18 @@ def signals_newest(spark: SparkSession, sf_dir: str, limit: int = 100) -> DataFr
     return found_signals(spark, sf_dir).select("group_key", "rule", "priority", "score", "cutoff").orderBy(F.desc("cutoff"), "group_key").limit(limit)
 
 
-@query("signal_explanations", f"""WITH {_SIGNALS} SELECT group_key, replace(signal_type, '_', ' ') || ' pattern requiring investigation. It met governed rule ' || rule || ' with ' || evidence || ' supporting evidence item(s), score ' || score || ', and priority ' || priority || '.' AS why_flagged,
-told AS evidence, 'select_evidence:' || rule || ':' || least_evidence || ',apply_versioned_weights,compare_score:' || score || '>=' || least_score || ',classify_priority:' || priority AS steps,
-array_to_string(list_sort(list_filter((SELECT list(r.kind) FROM rule r WHERE r.rule = sig.rule), lambda k: NOT contains(',' || items, ',' || k || ':'))), ',') AS missing FROM sig""")
+@query("signal_explanations", f"""WITH {_SIGNALS} SELECT group_key, rule || ' (' || replace(signal_type, '_', ' ') || '): ' || evidence || ' findings for, ' || counter || ' against, ' || context || ' as context; score ' || score || ' of the ' || least_score || ' asked for; ' || priority || ' priority' AS why_flagged,
+told AS evidence, 'findings ' || evidence || '/' || least_evidence || ', score ' || score || '/' || least_score || ', band ' || priority AS steps, array_to_string(list_sort(list_filter((SELECT list(r.kind) FROM rule r WHERE r.rule = sig.rule), lambda k: NOT list_contains(kinds, k))), ',') AS missing FROM sig""")
 def signal_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Why a signal was raised: statement, evidence in order of role, kind and source, four steps, and kinds without evidence."""
-    rules = rule_table(spark).groupBy(F.col("rule").alias("of")).agg(F.array_sort(F.collect_list("kind")).alias("kinds"))
+    """Why a signal was raised: a sentence, evidence in order of role, kind and source, what was compared, and kinds without evidence."""
+    rules = rule_table(spark).groupBy(F.col("rule").alias("of")).agg(F.array_sort(F.collect_list("kind")).alias("asked"))
     s = found_signals(spark, sf_dir).join(F.broadcast(rules), F.col("rule") == F.col("of"))
-    why = F.concat(F.translate("signal_type", "_", " "), F.lit(" pattern requiring investigation. It met governed rule "), "rule", F.lit(" with "), "evidence", F.lit(" supporting evidence item(s), score "), "score", F.lit(", and priority "), "priority", F.lit("."))
+    text = lambda *parts: F.concat(*(F.lit(p) if i % 2 else F.col(p) for i, p in enumerate(parts)))
+    s = s.withColumn("kind_of", F.translate("signal_type", "_", " "))
+    why = text("rule", " (", "kind_of", "): ", "evidence", " findings for, ", "counter", " against, ", "context", " as context; score ", "score", " of the ", "least_score", " asked for; ", "priority", " priority")
+    steps = F.concat(F.lit("findings "), text("evidence", "/", "least_evidence", ", score ", "score", "/", "least_score", ", band ", "priority"))
     told = F.array_sort(F.transform("items", lambda x: F.struct(x.role, x.kind, x.source_id, x.fingerprint)))
-    steps = F.concat(F.lit("select_evidence:"), "rule", F.lit(":"), "least_evidence", F.lit(",apply_versioned_weights,compare_score:"), "score", F.lit(">="), "least_score", F.lit(",classify_priority:"), "priority")
-    return s.select("group_key", why.alias("why_flagged"), F.array_join(F.transform(told, lambda x: F.concat_ws(":", x.role, x.kind, x.source_id)), ",").alias("evidence"), steps.alias("steps"), F.array_join(F.array_except("kinds", F.transform("items", lambda x: x.kind)), ",").alias("missing"))
+    return s.select("group_key", why.alias("why_flagged"), F.array_join(F.transform(told, lambda x: F.concat_ws(":", x.role, x.kind, x.source_id)), ",").alias("evidence"), steps.alias("steps"), F.array_join(F.array_except("asked", "kinds"), ",").alias("missing"))
 
 
 #: Categories of the overview, in their order.
