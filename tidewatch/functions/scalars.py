@@ -11,9 +11,10 @@ def fingerprint(*columns: str) -> Column:
     return F.sha2(F.to_json(F.struct(*(F.col(c).cast("string").alias(c) for c in sorted(columns)))), 256)
 
 
-def collapsed(text: Column, limit: int = 255) -> Column:
-    """White space collapsed and trimmed, cut to a length, empty as null."""
-    x = F.left(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit(limit))
+def collapsed(text: Column, limit: int | None = None) -> Column:
+    """White space collapsed and trimmed, empty as null; cut to a length for a column that holds no more."""
+    x = F.trim(F.regexp_replace(text, r"\s+", " "))
+    x = x if limit is None else F.left(x, F.lit(limit))
     return F.when(x != "", x)
 
 
@@ -66,11 +67,6 @@ def age_group(days: Column) -> Column:
     return F.when(days < 5 * 365, "under_5").when(days < 15 * 365, "5_to_14").when(days.isNotNull(), "15_and_over")
 
 
-def group_id(kind: str, members: Column) -> Column:
-    """A short id of a set of members."""
-    return F.substring(F.sha2(F.concat(F.lit(f"{kind}|"), F.array_join(F.array_sort(members), "|")), 256), 1, 20)
-
-
 def ring_area(points: Column) -> Column:
     """The signed area of a closed ring, an array of x, y, by the shoelace rule; null below four points."""
     turns = F.zip_with(F.slice(points, 1, F.size(points) - 1), F.slice(points, 2, F.size(points) - 1), lambda a, b: a.x * b.y - b.x * a.y)

@@ -10,10 +10,11 @@ from tidewatch.plans.registry import query
 from tidewatch.sources import bind
 
 
-@query("text_normalised", r"SELECT doc_id, nullif(substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 255), '') AS text, length(text) AS n FROM documents")
+@query("text_normalised", r"SELECT doc_id, nullif(trim(regexp_replace(text, '\s+', ' ', 'g')), '') AS text, nullif(substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 255), '') AS stored, length(text) AS n FROM documents")
 def text_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Collapsed text of whole documents."""
-    return bind.table(spark, sf_dir, "documents").select("doc_id", fn.collapsed(F.col("text")).alias("text"), F.length("text").cast("long").alias("n"))
+    """Collapsed text of whole documents, and what a column of 255 characters keeps of it."""
+    text = F.col("text")
+    return bind.table(spark, sf_dir, "documents").select("doc_id", fn.collapsed(text).alias("text"), fn.collapsed(text, 255).alias("stored"), F.length("text").cast("long").alias("n"))
 
 
 @query("place_names", r"""WITH r AS (SELECT n_nationkey AS id, '  ' || n_name || ' (Old) Town-Council ' AS raw FROM nation), x AS (SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(upper(raw), '\([^)]*\)', ' ', 'g'), '[^A-Z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS name FROM r) SELECT id, name, CASE WHEN ends_with(name, ' TOWN COUNCIL') THEN 'town_council' ELSE 'subcounty' END AS kind FROM x""")
@@ -54,10 +55,20 @@ def age_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy(fn.age_group(F.col("days")).alias("age_group")).agg(F.count("*").alias("n"), F.min("days").alias("least"))
 
 
-@query("group_ids", "SELECT o_custkey AS id, substr(sha256('visits|' || string_agg(CAST(o_orderkey AS VARCHAR), '|' ORDER BY CAST(o_orderkey AS VARCHAR))), 1, 20) AS group_id FROM orders GROUP BY 1")
+@query("group_ids", """WITH m AS (SELECT o_custkey AS id, CAST(o_orderkey AS VARCHAR) AS m FROM orders), p AS (SELECT id, substr(sha256(m), 1, 3) AS part, sha256(string_agg(m, '|' ORDER BY m)) AS digest FROM m GROUP BY 1, 2)
+SELECT id, substr(sha256('visits|' || string_agg(part || digest, '|' ORDER BY part)), 1, 20) AS group_id FROM p GROUP BY 1""")
 def group_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of sets of visits."""
-    return bind.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(fn.group_id("visits", F.collect_list(F.col("o_orderkey").cast("string"))).alias("group_id"))
+    return set_ids(bind.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").cast("string").alias("member")), "visits")
+
+
+def set_ids(members: DataFrame, kind: str) -> DataFrame:
+    """id, group_id: a short id of each set of members (id, member). Members are digested in 4096 parts by their hashes, and the
+    parts' digests in their order, so no cell holds a large set."""
+    part = F.substring(F.sha2("member", 256), 1, 3)
+    p = members.groupBy("id", part.alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("member")), "|"), 256).alias("digest"))
+    whole = F.array_join(F.array_sort(F.collect_list(F.concat("part", "digest"))), "|")
+    return p.groupBy("id").agg(F.substring(F.sha2(F.concat(F.lit(f"{kind}|"), whole), 256), 1, 20).alias("group_id"))
 
 
 @query("row_fingerprints", """SELECT s_suppkey AS id, sha256('{"s_name":"' || s_name || '","s_nationkey":"' || s_nationkey || '","s_suppkey":"' || s_suppkey || '"}') AS fingerprint FROM supplier""")

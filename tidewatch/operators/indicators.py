@@ -100,8 +100,8 @@ SELECT facility.facility_id, facility_name, m.month, n AS numerator, CASE WHEN n
 def facility_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each facility adds to each month's confirmed visits; a silent facility has no value."""
     c = flags.visits(spark, sf_dir).groupBy("facility_id", "month").agg(F.count_if("confirmed").alias("numerator"))
-    months = [F.lit(r.month) for r in c.select("month").distinct().collect()]  # a few hundred at most
-    every = bind.facilities(spark, sf_dir).select("facility_id", "facility_name", F.explode(F.array(*months) if months else F.array().cast("array<date>")).alias("month"))
+    seen = bind.encounters(spark, sf_dir).select("month").distinct()
+    every = bind.facilities(spark, sf_dir).select("facility_id", "facility_name", F.explode(bind.months(spark, sf_dir)).alias("month")).join(seen, "month", "left_semi")
     return every.join(c, ["facility_id", "month"], "left").select("facility_id", "facility_name", "month", "numerator", count_status(F.col("numerator")).alias("value_status"))
 
 

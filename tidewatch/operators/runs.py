@@ -71,9 +71,9 @@ def patient_determinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Absence of a chain counts only where observation was complete; else the patient is indeterminate, with the reasons."""
     e = bind.events(spark, sf_dir)
     seen = e.groupBy("patient_id").agg(F.min("day").alias("first_seen"), F.max("day").alias("last_seen"))
-    ends = e.agg(F.max("day")).first()[0]
+    ends = e.select(F.max("day")).scalar()
     c = sequences.chains(spark, sf_dir).join(seen, "patient_id")
-    early, unseen = F.col("last_seen") < F.lit(ends), F.col("first_seen") > F.date_sub(F.to_date(F.lit(PERIOD)), CHAIN.window)
+    early, unseen = F.col("last_seen") < ends, F.col("first_seen") > F.date_sub(F.to_date(F.lit(PERIOD)), CHAIN.window)
     none = (F.col("in_period") > 0) & (F.size("chain") == 0)
     reasons = F.concat_ws(",", F.when(early, "early_end"), F.when(unseen, "window_unobserved"))
     how = F.when(F.col("in_period") == 0, "not_in_period").when(F.size("chain") > 0, "qualifies").when(early | unseen, "indeterminate").otherwise("does_not_qualify")
@@ -151,15 +151,18 @@ def latest_builds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy((F.col("o_custkey") % 10).alias("series"), F.trunc(F.col("o_orderdate").cast("date"), "month").alias("target")).agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("build"))
 
 
-@query("historical_units", """WITH d AS (SELECT DISTINCT l_partkey AS unit, CAST(l_shipdate AS DATE) AS valid_from FROM lineitem), r AS (SELECT unit, valid_from, lead(valid_from) OVER (PARTITION BY unit ORDER BY valid_from) AS valid_to FROM d), v AS (SELECT y AS version, make_date(y, 1, 1) AS starts FROM range(1996, 2002) t(y))
+@query("historical_units", """WITH d AS (SELECT DISTINCT l_partkey AS unit, CAST(l_shipdate AS DATE) AS valid_from FROM lineitem), r AS (SELECT unit, valid_from, lead(valid_from) OVER (PARTITION BY unit ORDER BY valid_from) AS valid_to FROM d), v AS (SELECT y AS version, make_date(y, 1, 1) AS starts FROM (SELECT unnest(range(min(extract(year FROM valid_from)), max(extract(year FROM valid_from)) + 2)) AS y FROM d))
 SELECT version, unit, valid_from FROM r JOIN v ON valid_from <= starts AND (valid_to IS NULL OR starts < valid_to)""")
-def historical_units(spark: SparkSession, sf_dir: str, versions: tuple[int, int] = (1996, 2001)) -> DataFrame:
-    """The revision of every unit in force at the start of each year: a revision goes to its years, so no range join is needed."""
-    d = bind.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("unit"), F.col("l_shipdate").cast("date").alias("valid_from")).distinct()
-    r = d.withColumn("valid_to", F.lead("valid_from").over(Window.partitionBy("unit").orderBy("valid_from")))
+def historical_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The revision of every unit in force at the start of each year, up to the year after the last revision: a revision goes to its
+    years, so no range join is needed."""
+    l = bind.table(spark, sf_dir, "lineitem")
+    end = l.select(F.year(F.max("l_shipdate")) + 1).scalar()
+    d = l.select(F.col("l_partkey").alias("unit"), F.col("l_shipdate").cast("date").alias("valid_from")).distinct()
+    r = d.withColumn("valid_to", F.lead("valid_from").over(Window.partitionBy("unit").orderBy("valid_from"))).withColumn("end", end)
     first = F.year("valid_from") + F.when(F.date_trunc("year", "valid_from") == F.col("valid_from"), 0).otherwise(1)
-    last = F.coalesce(F.year("valid_to") - F.when(F.date_trunc("year", "valid_to") == F.col("valid_to"), 1).otherwise(0), F.lit(versions[1]))
-    r = r.withColumns({"a": F.greatest(first, F.lit(versions[0])), "b": F.least(last, F.lit(versions[1]))}).where("a <= b")
+    last = F.coalesce(F.year("valid_to") - F.when(F.date_trunc("year", "valid_to") == F.col("valid_to"), 1).otherwise(0), F.col("end"))
+    r = r.withColumns({"a": first, "b": last}).where("a <= b")
     return r.select(F.explode(F.sequence(F.col("a").cast("long"), F.col("b").cast("long"))).alias("version"), "unit", "valid_from")
 
 
@@ -167,8 +170,8 @@ def historical_units(spark: SparkSession, sf_dir: str, versions: tuple[int, int]
 def missing_facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Active facilities without a visit in a month that has visits."""
     e = bind.encounters(spark, sf_dir).select("facility_id", "month").distinct()
-    months = [F.lit(r.month) for r in e.select("month").distinct().collect()]  # a few hundred at most
-    every = bind.facilities(spark, sf_dir).where("is_active").select("facility_id", F.explode(F.array(*months) if months else F.array().cast("array<date>")).alias("month"))
+    every = bind.facilities(spark, sf_dir).where("is_active").select("facility_id", F.explode(bind.months(spark, sf_dir)).alias("month"))
+    every = every.join(e.select("month").distinct(), "month", "left_semi")
     return every.join(e, ["facility_id", "month"], "left_anti")
 
 

@@ -43,10 +43,10 @@ CASE WHEN region_id <> 4 AND d > 0 AND NOT (n > 0 AND n < {MIN_CELL}) THEN n END
 def spatial_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A map layer of every month: every unit has a status, and small cells have no figure."""
     g = flags.visits(spark, sf_dir).groupBy(F.col("residence_id").alias("district_id"), "month").agg(F.count_if("confirmed").alias("n"), F.count_if("tested").alias("d"))
-    months = [F.lit(r.month) for r in g.select("month").distinct().collect()]  # a few hundred at most
+    seen = bind.encounters(spark, sf_dir).select("month").distinct()
     n, d = F.col("n"), F.col("d")
     status = F.when(F.col("region_id") == 4, "outside_scope").when(n.isNull(), "missing").when(F.coalesce(d, F.lit(0)) == 0, "unavailable").when((n > 0) & (n < MIN_CELL), "suppressed").otherwise("available")
-    every = bind.districts(spark, sf_dir).withColumn("month", F.explode(F.array(*months) if months else F.array().cast("array<date>")))
+    every = bind.districts(spark, sf_dir).withColumn("month", F.explode(bind.months(spark, sf_dir))).join(seen, "month", "left_semi")
     u = every.join(g, ["district_id", "month"], "left").withColumn("status", status)
     shown = F.col("status") == "available"
     return u.select("district_id", "month", "status", F.when(shown, n).alias("numerator"), F.when(shown, ratio(n, d)).alias("value"))

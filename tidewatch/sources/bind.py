@@ -6,7 +6,7 @@ next to visits, and Spark chooses by their size whether to broadcast them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,14 +34,20 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Visits; the facility follows from the key and the number of facilities, which is read first."""
+    """Visits; the facility follows from the key and the number of facilities, a subquery."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    n = table(spark, sf_dir, "supplier").count()
+    n = table(spark, sf_dir, "supplier").select(F.count("*")).scalar()
     attendance = F.when(F.col("o_orderstatus") == "F", "new").when(F.col("o_orderstatus") == "O", "re").otherwise("unknown")
     fever = F.when(F.substring("o_orderpriority", 1, 1).isin("1", "2"), "yes").when(F.substring("o_orderpriority", 1, 1) == "4", "unknown").otherwise("no")
     return o.join(c, o.o_custkey == c.c_custkey).select(F.col("o_orderkey").alias("encounter_id"), F.col("o_orderdate").cast("date").alias("encounter_date"), F.col("o_custkey").alias("patient_id"), F.col("c_nationkey").cast("long").alias("residence_id"), (F.col("o_orderkey") % n).alias("facility_id"), attendance.alias("attendance"), fever.alias("fever"), F.trunc(F.col("o_orderdate").cast("date"), "month").alias("month"))
 
 
+def months(spark: SparkSession, sf_dir: str) -> Column:
+    """The months from the first visit to the last, by subqueries on their dates."""
+    d = table(spark, sf_dir, "orders").select(F.trunc(F.min("o_orderdate").cast("date"), "month").alias("a"), F.trunc(F.max("o_orderdate").cast("date"), "month").alias("b"))
+    return F.sequence(d.select("a").scalar(), d.select("b").scalar(), F.expr("INTERVAL 1 MONTH"))
+
+
 def tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     method = F.when(F.col("l_returnflag") == "N", "not_done").when(F.col("l_linestatus") == "F", "rdt").otherwise("microscopy")
     result = F.when(F.col("l_returnflag") == "R", "positive").when(F.col("l_returnflag") == "A", "negative").otherwise("unknown")
