@@ -228,19 +228,72 @@ def test_the_toxicity_model_is_whole_at_any_size(spark):
     assert model.ratios(["zqxjkv vkjxqz"])[0] > 0.3 > 0 > model.ratios([junk[:9000]])[0]
 
 
-def test_buckets_of_the_toxicity_model_are_those_of_one_table(spark):
-    texts = [(t or "", int(i % 5 == 0)) for i, t in texts_of(common.documents(spark, SMALL))]
-    sets = [(np.unique(toxicity.grams_of(t)), label) for t, label in texts]
-    grams, at = np.unique(np.concatenate([s for s, _ in sets]), return_inverse=True)
-    label = np.repeat([y for _, y in sets], [len(s) for s, _ in sets])
-    counts = [np.bincount(at[label == y], minlength=len(grams)).astype(float) for y in (0, 1)]
-    often = sum(counts) >= 2
-    grams, known, contexts, other = toxicity.fitted(grams[often], [c[often] for c in counts], tuple(int(c.sum()) for c in counts), tuple(toxicity.discount((c == 1).sum(), (c == 2).sum()) for c in counts))
-    known, other = dict(zip(grams.tolist(), known, strict=True)), dict(zip(contexts.tolist(), other, strict=True))
-    model = toxicity.train(spark.createDataFrame(texts, "text string, label int"), 7)
-    for (t, _), got in zip(texts, model.ratios([t for t, _ in texts]), strict=True):
-        each = [known.get(g, other.get(g >> toxicity.BITS, 0.0)) for g in toxicity.grams_of(t).tolist()]
-        assert math.isclose(got, sum(each) / max(len(each), 1), abs_tol=1e-9)
+def plain_kneser_ney(rows):
+    """ratio(text) of two class models of letters of words, from their definition: grams are four letters before one (None where
+    the word has none), counted by documents; shorter contexts count the different letters before them."""
+    def grams(text):
+        for word in "".join(c if c.isalnum() else " " for c in text.lower()).split():
+            w = [None] * 4 + [*word, "end"]
+            yield from (tuple(w[i - 4 : i + 1]) for i in range(4, len(w)))
+
+    count = [Counter(g for t, y in rows if y == k for g in set(grams(t))) for k in (0, 1)]
+    total = [sum(c.values()) for c in count]
+    off = [n1 / (n1 + 2 * n2) if (n1 := sum(v == 1 for v in c.values())) + 0 * (n2 := sum(v == 2 for v in c.values())) else 0.5 for c in count]
+    level = set(count[0]) | set(count[1])
+    every, types = level, []
+    for _ in range(4):
+        shorter = Counter(g[1:] for g in level)
+        types.append(shorter)
+        level = set(shorter)
+
+    def shared(g, n=0):
+        g = g[1:]
+        if not g:
+            return 1 / 256
+        own = {x: v for x, v in by[n][g[:-1]].items()}
+        whole = sum(own.values())
+        left = 1 - sum(max(v - toxicity.DISCOUNT, 0) for v in own.values()) / whole
+        return max(own.get(g, 0) - toxicity.DISCOUNT, 0) / whole + left * shared(g, n + 1)
+
+    by = []
+    for t in types:
+        d = defaultdict(dict)
+        for g, v in t.items():
+            d[g[:-1]][g] = v
+        by.append(d)
+    scaled = [{g: c.get(g, 0) * min(total) / n for g in every} for c, n in zip(count, total, strict=True)]
+    after = defaultdict(list)
+    for g in every:
+        after[g[:-1]].append(g)
+
+    def model(k, ctx):
+        whole = sum(scaled[k][g] for g in after[ctx]) + toxicity.SHARED
+        own = {g: max(scaled[k][g] - off[k], 0) / whole for g in after[ctx]}
+        return own, 1 - sum(own.values())
+
+    def ratio(text):
+        out = []
+        for g in grams(text):
+            if g[:-1] not in after:
+                out.append(0.0)
+                continue
+            (o0, r0), (o1, r1) = model(0, g[:-1]), model(1, g[:-1])
+            out.append(math.log((o1[g] + r1 * shared(g)) / (o0[g] + r0 * shared(g))) if g in o0 else math.log(r1 / r0))
+        return sum(out) / max(1, len(out))
+
+    return ratio
+
+
+@pytest.mark.parametrize("held", [256 << 20, 100])
+def test_the_toxicity_model_is_plain_kneser_ney(spark, monkeypatch, held):
+    monkeypatch.setattr(toxicity, "HELD", held)
+    words = ["vile", "villain", "slur", "calm", "water", "waiter", "green", "hills", "a", "b2", "über", "evil", "vilest"]
+    rng = np.random.default_rng(8)
+    rows = [(" ".join(rng.choice(words, rng.integers(1, 12), p=np.roll(np.array([3] * 4 + [1] * 9) / 21, 4 * y))), y) for y in (0, 1) for _ in range(25 + 30 * y)]
+    model, ratio = toxicity.train(spark.createDataFrame(rows, "text string, label int").repartition(3), 7), plain_kneser_ney(rows)
+    texts = [t for t, _ in rows] + ["", "vi", "vilx water-hill", "unknown words only", "VILE, vile! Calm."]
+    for t, got in zip(texts, model.ratios(texts), strict=True):
+        assert math.isclose(got, ratio(t), abs_tol=1e-9), t
 
 
 def test_toxicity_without_labels_of_both_classes_in_the_first_fold(spark):

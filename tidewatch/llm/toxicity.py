@@ -9,8 +9,8 @@ two log-likelihoods per letter, fitted on labelled rows that no model has counte
 
 Counts (of documents that hold a letter in its context, so that one text's repetitions count once) cover all labelled
 rows outside the held-out fold. Tasks count their own rows first; what they shuffle is sorted lists of distinct grams,
-with one entry for even the commonest. Grams of one document only leave their mass to the fallback, at every size; all
-others are in the model, which grows with the labelled rows. Buckets by the two letters before a gram's own hold all that
+with one entry for even the commonest. All grams, those of one document too, are in the model, which grows with the
+labelled rows. Buckets by the two letters before a gram's own hold all that
 longer contexts need; counts of shorter ones, at most 2**24 pairs of letters, are shared. Each bucket's part of the model
 is a file in the shared folder, which workers map into memory, so that neither driver nor task ever holds the whole.
 
@@ -23,6 +23,7 @@ Every letter or digit of Unicode counts; those above U+07FF share 2048 codes by
 from __future__ import annotations
 
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,12 +41,13 @@ FOLDS, FOLD, CUT = 5, 0, 0.5
 CURVE_DOCS = 4000
 #: Labelled rows up to which their ids are broadcast.
 SMALL_ROWS = 2_000_000
-#: Taken off the continuation counts of shorter contexts, which only grams of two documents or more make; 0.75 told fewer
-#: held-out toxic rows (40 of 97 against 56).
-DISCOUNT = 2.0
-#: Counts that a context leaves to the shared fallback besides the discounted ones.
-SHARED = 10.0
+#: Taken off the continuation counts of shorter contexts, and counts that a context leaves to the shared fallback besides the
+#: discounted ones. Both, and that grams of one document stay, were chosen by cross-validation among the learning folds
+#: (README); the held-out fold took no part.
+DISCOUNT, SHARED = 1.0, 0.1
 FLUSH = 4_000_000
+#: Bytes of the model that a worker keeps where it cannot map files.
+HELD = 256 << 20
 #: Letters that are looked up in the model at once, about.
 BATCH = 500_000
 ORDER, BITS = 5, 12
@@ -125,33 +127,34 @@ def _counted(rows: DataFrame, n: int) -> DataFrame:
 
 
 def _gram_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's grams with their sums: those seen in two documents or more, and the totals of all; also pairs of letters
-    and how many kept letters come before each."""
+    """A bucket's grams with their sums, and the totals; also pairs of letters and how many letters come before each."""
     keys, (c0, c1) = _merged(pdf, 2)
-    often = c0 + c1 >= 2
-    pairs, types = np.unique(np.unique(keys[often] & TRIPLE) & PAIR, return_counts=True)
-    return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "keys": [common.pack_sorted(keys[often])], "c0": [c0[often].astype("<u4").tobytes()], "c1": [c1[often].astype("<u4").tobytes()], "t0": [int(c0.sum())], "t1": [int(c1.sum())], **{f"n{i}{k}": [int((c == i).sum())] for i in (1, 2) for k, c in enumerate((c0, c1))}, "pairs": [common.pack_sorted(pairs)], "types": [types.astype("<u4").tobytes()]})
+    pairs, types = np.unique(np.unique(keys & TRIPLE) & PAIR, return_counts=True)
+    return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "keys": [common.pack_sorted(keys)], "c0": [c0.astype("<u4").tobytes()], "c1": [c1.astype("<u4").tobytes()], "t0": [int(c0.sum())], "t1": [int(c1.sum())], **{f"n{i}{k}": [int((c == i).sum())] for i in (1, 2) for k, c in enumerate((c0, c1))}, "pairs": [common.pack_sorted(pairs)], "types": [types.astype("<u4").tobytes()]})
 
 
 class Model:
     """Log-ratios of the two models, a file a bucket: of grams (ascending), and after contexts (ascending) of any other letter."""
 
     def __init__(self, folder: str, names: dict[int, str], n: int) -> None:
-        self.folder, self.names, self.n, self.maps = folder, names, n, {}
+        self.folder, self.names, self.n, self.size = folder, names, n, 0
+        self.held: OrderedDict[int, tuple[list[np.ndarray], int]] = OrderedDict()
 
     def _part(self, bucket: int) -> list[np.ndarray]:
-        """grams, known, contexts, other; mapped once where the folder is a local path, else read each time."""
-        part = self.maps.get(bucket)
-        if part is None:
+        """grams, known, contexts, other; mapped where the folder is a local path, else those used last are held."""
+        if bucket in self.held:
+            self.held.move_to_end(bucket)
+        else:
             files, path = fs.FileSystem.from_uri(f"{self.folder}/{self.names[bucket]}")
             local = isinstance(files, fs.LocalFileSystem)
             data = np.memmap(path, np.uint64, "r") if local else np.frombuffer(files.open_input_file(path).read(), np.uint64)
             a, b = int(data[0]), int(data[1])
             g, k, c, o = np.split(data[2:], np.cumsum([a, a, b]))
-            part = [g, k.view(np.float64), c, o.view(np.float64)]
-            if local:
-                self.maps[bucket] = part
-        return part
+            self.held[bucket] = [g, k.view(np.float64), c, o.view(np.float64)], 0 if local else data.nbytes
+            self.size += self.held[bucket][1]
+            while self.size > HELD and len(self.held) > 1:
+                self.size -= self.held.popitem(last=False)[1][1]
+        return self.held[bucket][0]
 
     def _values(self, bucket: int, keys: np.ndarray) -> np.ndarray:
         grams, known, contexts, other = self._part(bucket)
