@@ -7,13 +7,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import SMALL
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.llm import brute
-from tidewatch.llm import common, language, lloyd, spelling
+from tidewatch.llm import common, jaccard, language, lloyd, spelling, windows
 
 MEDIUM = "/root/testdata/sf0.01"
 
@@ -213,3 +214,15 @@ def test_languages_hold_on_held_out_rows(spark):
 
 def test_the_query_is_whole(spark):
     assert language.op13_language_id(spark, SMALL).count() == common.documents(spark, SMALL).count()
+
+
+# Blocks
+
+
+def test_documents_of_late_partitions_have_numbers_of_their_own(spark):
+    """At 100 TB a scan has some 780,000 partitions."""
+    body = windows.blocks(spark.createDataFrame([(1, "a b c d e f"), (2, None)], "doc_id long, text string").coalesce(1), "test").first().body
+    uids = [(part << windows.PLACES) | k for part in (0, 1, 780_000, 2**30 - 1) for k in (0, 2**windows.PLACES - 1)]
+    pdf = pd.concat(jaccard._keys(iter([pd.DataFrame({"uid": uids, "body": [bytes(body)] * len(uids)})])))
+    assert pdf["node"].is_unique and (pdf["node"] >= 0).all() and len(pdf) == 2 * len(uids)
+    assert windows.BLOCK // 64 < 2**windows.ROWS

@@ -46,7 +46,7 @@ UNIT_BYTES, SET_BYTES, LEAF = 8 << 20, 4096, 32
 CELLS, PART_BITS, RATIO = 4096, 16384, 1.34
 #: Rows up to which the ids of documents to keep are broadcast.
 SMALL_ROWS = 2_000_000
-ROWS = 20  # bits of a node's number for its place in its block
+ROWS = win.ROWS
 
 
 def sets_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 from tidewatch.llm import common
 
 BLOCK = 4 << 20
+#: Bits of a block's number for its place in its partition, and of a document's number for its place in its block, which
+#: holds at most BLOCK / 64 of them: numbers of documents fit 64 bits for 2**30 partitions.
+PLACES, ROWS = 16, 17
 #: Entries that a shard merges, about.
 SHARD_ENTRIES = 4_000_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -43,7 +46,7 @@ def blocks(docs: DataFrame, name: str) -> DataFrame:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, data.schema) as w:
                 w.write_batch(data)
-            return pa.RecordBatch.from_arrays([pa.array([(part << 24) | k], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([press.compress(sink.getvalue())], pa.binary())], ["uid", "n", "body"])
+            return pa.RecordBatch.from_arrays([pa.array([(part << PLACES) | k], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([press.compress(sink.getvalue())], pa.binary())], ["uid", "n", "body"])
 
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
