@@ -273,3 +273,14 @@ def same_day_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of positive encounters of one patient and day: all of one facility, or of several."""
     g = decisions(spark, sf_dir).where("is_possible_duplicate").groupBy("year", "patient_id", "day").agg(F.count("*").alias("members"), F.count_distinct("facility_id").alias("facilities"), F.min("encounter_id").alias("representative"))
     return g.withColumn("kind", F.when(F.col("facilities") == 1, "near_duplicate").otherwise("same_day_distinct"))
+
+
+@query("recurrence_runs", f"WITH RECURSIVE {_ALL}, e AS (SELECT year, count(*) AS encounters, CAST(sum(CAST('0x' || substr(sha256(encounter_id || '|' || reason), 1, 8) AS BIGINT)) AS BIGINT) AS evidence FROM dc GROUP BY 1) SELECT year, 'gap={RULE.gap},window={RULE.window},least={RULE.least},methods={'+'.join(METHODS)}' AS definition, encounters, evidence, count(*) AS patients, count(*) FILTER (determination = 'qualifies') AS qualifying, count(*) FILTER (determination = 'indeterminate') AS indeterminate, count(*) FILTER (in_period > 0) AS eligible FROM fi JOIN e USING (year) GROUP BY ALL")
+def recurrence_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluation of each year as a run: its definition, a checksum of the evidence that it judged, and its totals."""
+    d, how = decisions(spark, sf_dir), F.col("determination")
+    part = F.conv(F.substring(F.sha2(F.concat_ws("|", "encounter_id", "reason"), 256), 1, 8), 16, 10).cast("long")
+    e = d.groupBy("year").agg(F.count("*").alias("encounters"), F.sum(part).alias("evidence"))
+    f = findings(spark, sf_dir).groupBy("year").agg(F.count("*").alias("patients"), F.count_if(how == "qualifies").alias("qualifying"), F.count_if(how == "indeterminate").alias("indeterminate"), F.count_if(F.col("in_period") > 0).alias("eligible"))
+    definition = f"gap={RULE.gap},window={RULE.window},least={RULE.least},methods={'+'.join(METHODS)}"
+    return e.join(f, "year").withColumn("definition", F.lit(definition))

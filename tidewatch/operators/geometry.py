@@ -274,3 +274,13 @@ def boundary_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def boundary_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rings that files hold and no polygon takes, each with its fault."""
     return boundaries.defects(boundary_files(spark, sf_dir)).select("document", "place", "code")
+
+
+@query("boundary_profiles", f"WITH {bind.CTES} SELECT k || '-' || region_id AS document, CASE k WHEN 'geojson' THEN k ELSE 'feature_set' END AS format, 'EPSG:4326' AS crs, CASE k WHEN 'geojson' THEN 'MultiPolygon' ELSE 'rings' END AS kinds, count(*) AS features, count(*) FILTER (district_id % 6 BETWEEN 1 AND 4) AS faulty FROM district, (VALUES ('geojson'), ('rings')) t(k) GROUP BY ALL")
+def boundary_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Format, reference system, kinds of geometry and features of every file, and how many features hold a fault."""
+    files = boundary_files(spark, sf_dir)
+    f = boundaries.read_features(files)
+    p = f.groupBy("document", "format", "crs").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.count("place").alias("features"))
+    bad = boundaries.defects(files).groupBy("document").agg(F.count_distinct("place").alias("faulty"))
+    return p.join(bad, "document", "left").select("document", "format", "crs", "kinds", "features", F.coalesce("faulty", F.lit(0)).alias("faulty"))

@@ -219,11 +219,11 @@ def medicine_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("parent", "line", "visit", F.when(F.col("visit").isNull(), "unlinked").otherwise("linked").alias("status"))
 
 
-@query("source_profile", "SELECT source, lang, count(*) AS rows, count(text) AS texts, CAST(sum(strlen(text)) AS BIGINT) AS bytes, min(n_chars) AS least, max(n_chars) AS most FROM documents GROUP BY ALL")
+@query("source_profile", "SELECT source, lang, count(*) AS rows, count(text) AS texts, CAST(sum(strlen(text)) AS BIGINT) AS bytes, min(n_chars) AS least, max(n_chars) AS most, CAST(sum(CAST('0x' || substr(sha256(text), 1, 8) AS BIGINT)) AS BIGINT) AS checksum FROM documents GROUP BY ALL")
 def source_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows, bytes and extents of each source and language."""
+    """Rows, bytes, extents and a checksum, whatever the order of rows, of each source and language."""
     d = bind.table(spark, sf_dir, "documents")
-    return d.groupBy("source", "lang").agg(F.count("*").alias("rows"), F.count("text").alias("texts"), F.sum(F.octet_length("text")).cast("long").alias("bytes"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
+    return d.groupBy("source", "lang").agg(F.count("*").alias("rows"), F.count("text").alias("texts"), F.sum(F.octet_length("text")).cast("long").alias("bytes"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), F.sum(F.conv(F.substring(F.sha2("text", 256), 1, 8), 16, 10).cast("long")).alias("checksum"))
 
 
 @query("geojson_features", f"""WITH {bind.CTES}, u AS (SELECT district_id AS id, district_name AS name, region_id * 10.0 AS x, (district_id % 10) * 10.0 AS y FROM district) SELECT id, '{{"type":"Feature","geometry":{{"type":"Polygon","coordinates":[[[' || x || ',' || y || '],[' || (x + 10) || ',' || y || '],[' || (x + 10) || ',' || (y + 10) || '],[' || x || ',' || (y + 10) || '],[' || x || ',' || y || ']]]}},"properties":{{"id":' || id || ',"name":"' || name || '"}}}}' AS feature, 100.0::DOUBLE AS area FROM u""")

@@ -270,3 +270,18 @@ def cohort_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = flags.visits(spark, sf_dir).where("confirmed")
     p = v.groupBy("patient_id").agg(F.bool_or(F.col("encounter_date") < "1998-01-01").alias("a"), F.bool_or(F.col("encounter_date") >= "1998-01-01").alias("b"))
     return p.agg(F.count_if(F.expr("a AND NOT b")).alias("only_a"), F.count_if(F.expr("b AND NOT a")).alias("only_b"), F.count_if(F.expr("a AND b")).alias("both"), F.count("*").alias("either"))
+
+
+@query("cohorts_by_year", f"""WITH {flags.CTES}, p AS (SELECT patient_id, min(encounter_date) AS first, max(encounter_date) AS last FROM visit WHERE confirmed GROUP BY 1), y AS (SELECT make_date(y, 1, 1) AS cut FROM (SELECT unnest(range(min(extract(year FROM encounter_date)), max(extract(year FROM encounter_date)) + 1)) AS y FROM encounter))
+SELECT cut, count(*) FILTER (last < cut) AS only_before, count(*) FILTER (first >= cut) AS only_after, count(*) FILTER (first < cut AND last >= cut) AS both, count(*) AS either FROM p, y GROUP BY 1""")
+def cohorts_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patients confirmed before and after the start of every year, as sets: a patient's first and last day say both."""
+    v = flags.visits(spark, sf_dir).where("confirmed")
+    d = bind.table(spark, sf_dir, "orders")
+    year = lambda f: d.select(F.year(f("o_orderdate"))).scalar()
+    p = v.groupBy("patient_id").agg(F.min("encounter_date").alias("first"), F.max("encounter_date").alias("last"))
+    c = p.groupBy(F.year("first").alias("a"), F.year("last").alias("b")).agg(F.count("*").alias("n"))
+    x = c.select("a", "b", "n", F.explode(F.sequence(year(F.min), year(F.max))).alias("y"))
+    some = lambda where: F.sum(F.when(where, F.col("n")).otherwise(0))
+    a, b, y = F.col("a"), F.col("b"), F.col("y")
+    return x.groupBy(F.make_date("y", F.lit(1), F.lit(1)).alias("cut")).agg(some(b < y).alias("only_before"), some(a >= y).alias("only_after"), some((a < y) & (b >= y)).alias("both"), F.sum("n").alias("either"))

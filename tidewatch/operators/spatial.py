@@ -85,6 +85,37 @@ def ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.join(u.select(F.col("path").alias("prefix"), F.col("unit_id").alias("ancestor_id"), "depth"), "prefix").select("unit_id", "ancestor_id", "depth")
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """root_id, unit_id of every unit and of each of its ancestors, itself included: prefixes of paths, joined by equality."""
+    u = bind.units(spark, sf_dir)
+    steps = F.split("path", "/")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/"))
+    below = u.select("unit_id", "level", "name", F.explode(prefixes).alias("root_path"))
+    return below.join(u.select(F.col("path").alias("root_path"), F.col("unit_id").alias("root_id")), "root_path").drop("root_path")
+
+
+@query("scope_members", f"WITH {bind.CTES} SELECT r.unit_id AS root_id, u.unit_id, u.level, u.name FROM unit r JOIN unit u ON u.path = r.path OR starts_with(u.path, r.path || '/')")
+def scope_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The units of every scope: each root with what lies below it."""
+    return _lines(spark, sf_dir).select("root_id", "unit_id", "level", "name")
+
+
+@query("scope_facilities", f"WITH {bind.CTES} SELECT r.unit_id AS root_id, facility_id FROM unit r JOIN unit u ON u.path = r.path OR starts_with(u.path, r.path || '/') JOIN facility ON u.unit_id = 'D' || district_id")
+def scope_facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facilities of every scope."""
+    f = bind.facilities(spark, sf_dir).select("facility_id", F.concat(F.lit("D"), "district_id").alias("unit_id"))
+    return _lines(spark, sf_dir).join(f, "unit_id").select("root_id", "facility_id")
+
+
+@query("scope_views", f"WITH {bind.CTES} SELECT r.unit_id AS root_id, u.unit_id, CASE WHEN u.path = r.path THEN 'self' WHEN starts_with(u.path, r.path || '/') THEN 'descendant' ELSE 'ancestor' END AS relation FROM unit r JOIN unit u ON u.path = r.path OR starts_with(u.path, r.path || '/') OR starts_with(r.path, u.path || '/')")
+def scope_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a principal of each scope sees of the hierarchy."""
+    m = _lines(spark, sf_dir)
+    own = F.col("root_id") == F.col("unit_id")
+    up = m.where(~own).select(F.col("unit_id").alias("root_id"), F.col("root_id").alias("unit_id"), F.lit("ancestor").alias("relation"))
+    return m.select("root_id", "unit_id", F.when(own, "self").otherwise("descendant").alias("relation")).union(up)
+
+
 @query("unit_listing", f"WITH {bind.CTES} SELECT unit_id, depth, name FROM unit ORDER BY depth, name LIMIT 10 OFFSET 5")
 def unit_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of units."""
