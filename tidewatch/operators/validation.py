@@ -52,76 +52,89 @@ def text(v: Column, path: str) -> Column:
 
 
 def kind(v: Column) -> Column:
-    """The kind of a variant: OBJECT, ARRAY, STRING, ...; null if there is none."""
-    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    """OBJECT, ARRAY, or what else a variant is; null if there is none. A schema is only asked of what is neither."""
+    whole = lambda t: F.try_variant_get(v, "$", t).isNotNull()
+    return F.when(whole("map<string,variant>"), "OBJECT").when(whole("array<variant>"), "ARRAY").otherwise(F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0))
 
 
-def coded(v: Column, field: str, path: Column | str) -> Column:
-    value = F.lower(F.trim(text(v, f"$.{field}")))
-    return when(value.isNotNull() & ~value.isin(*CODES[field]), "unrecognised_code", path)
+def folded(value: Column) -> Column:
+    return F.lower(F.trim(value))
 
 
-def listed(v: Column, block: str, one: str, element: Callable[[Column, Column], Column]) -> Column:
-    """Issues of a block: absent or empty, a list whose elements are judged one by one, or no list at all."""
-    b = F.try_variant_get(v, f"$.{block}", "variant")
-    absent = b.isNull() | (kind(b) == "VOID") | (F.try_variant_get(b, "$", "string") == "")
-    at = lambda i: F.concat(F.lit(f"{block}["), i, F.lit("]"))
+def unknown(value: Column, field: str) -> Column:
+    """Whether a folded value is none of its field's codes; an absent one is not."""
+    return value.isNotNull() & ~value.isin(*CODES[field])
 
-    def judged(e: Column, i: Column) -> Column:
-        return F.when(kind(e) != "OBJECT", F.array(issue(f"{one}_not_an_object", at(i)))).otherwise(element(e, at(i)))
 
-    items = F.try_variant_get(b, "$", "array<variant>")
-    own = F.flatten(F.transform(items, judged if one else lambda e, i: element(e, at(i))))
-    return F.when(F.coalesce(absent, F.lit(True)), F.array().cast(ISSUE)).when(kind(b) != "ARRAY", F.array(issue(f"{block}_not_a_list", block))).otherwise(own)
+def _element(*members: str) -> Callable[[Column], Column]:
+    """An element of a list as a struct: its kind, itself as text, and its members."""
+    return lambda e: F.struct(kind(e).alias("kind"), F.try_variant_get(e, "$", "string").alias("self"), *(text(e, f"$.{m}").alias(m) for m in members))
 
 
-def under(path: Column, field: str) -> Column:
-    return F.concat(path, F.lit(f".{field}"))
+def _blank(value: Column) -> Column:
+    return F.coalesce(F.trim(value), F.lit("")) == ""
 
 
-def _age(v: Column) -> Column:
-    value, unit = text(v, "$.age.value"), text(v, "$.age.unit")
-    number = value.try_cast("bigint")
-    most = F.element_at(F.create_map(*(F.lit(x) for kv in AGE_BOUNDS.items() for x in kv)), F.lower(F.trim(unit)))
-    fault = F.when(value.isNull() & unit.isNull(), None).when(value.isNull() | unit.isNull(), "age_pair_incomplete").when(number.isNull(), "age_value_unparsable").when(most.isNull(), "unrecognised_code").when(number < 0, "age_negative").when(number > most, "age_outside_unit_bounds")
-    path = F.when(fault == "age_pair_incomplete", "age").when(fault == "unrecognised_code", "age.unit").otherwise("age.value")
-    return when(fault.isNotNull(), fault, path)
+def _test(e: Column, path: Column) -> Column:
+    method, result = folded(e.method), folded(e.result)
+    both = F.coalesce((method == "not_done") & result.isin("positive", "negative"), F.lit(False))
+    found = F.concat(when(unknown(method, "method"), "unrecognised_code", under(path, "method")), when(unknown(result, "result"), "unrecognised_code", under(path, "result")), when(both, "result_without_a_test", path))
+    return F.when(e.kind != "OBJECT", F.array(issue("test_not_an_object", path))).otherwise(found)
 
 
-def _test(e: Column, path: Column) -> Column:
-    method, result = F.lower(F.trim(text(e, "$.method"))), F.lower(F.trim(text(e, "$.result")))
-    both = when((method == "not_done") & result.isin("positive", "negative"), "result_without_a_test", path)
-    return F.concat(coded(e, "method", under(path, "method")), coded(e, "result", under(path, "result")), F.coalesce(both, F.array().cast(ISSUE)))
+def _diagnosis(e: Column, path: Column) -> Column:
+    return when(_blank(e["self"]), "diagnosis_blank", path)
 
 
 def _prescription(e: Column, path: Column) -> Column:
     def factor(name: str) -> Column:
-        value = text(e, f"$.{name}")
-        number = value.try_cast("double")
-        fault = F.when(value.isNotNull() & number.isNull(), "prescription_factor_unparsable").when(number <= 0, "prescription_factor_not_positive")
-        return when(fault.isNotNull(), fault, under(path, name))
+        number = e[name].try_cast("double")
+        return F.concat(when(e[name].isNotNull() & number.isNull(), "prescription_factor_unparsable", under(path, name)), when(F.coalesce(number <= 0, F.lit(False)), "prescription_factor_not_positive", under(path, name)))
 
-    blank = F.coalesce(F.trim(text(e, "$.text")), F.lit("")) == ""
-    whole = F.when(blank, F.array(issue("prescription_blank", path))).otherwise(F.concat(*map(factor, FACTORS)))
-    return F.when(kind(e) == "STRING", F.array().cast(ISSUE)).when(kind(e) != "OBJECT", F.array(issue("prescription_not_an_object", path))).otherwise(whole)
+    whole = F.when(_blank(e.text), F.array(issue("prescription_blank", path))).otherwise(F.concat(*map(factor, FACTORS)))
+    return F.when(e.kind == "STRING", F.array().cast(ISSUE)).when(e.kind != "OBJECT", F.array(issue("prescription_not_an_object", path))).otherwise(whole)
 
 
 def _referral(e: Column, path: Column) -> Column:
-    blank = F.coalesce(F.trim(text(e, "$.number")), F.lit("")) == ""
-    return F.when(blank, F.array(issue("referral_number_missing", path))).otherwise(coded(e, "direction", under(path, "direction")))
+    rest = F.when(_blank(e.number), F.array(issue("referral_number_missing", path))).otherwise(when(unknown(folded(e.direction), "direction"), "unrecognised_code", under(path, "direction")))
+    return F.when(e.kind != "OBJECT", F.array(issue("referral_not_an_object", path))).otherwise(rest)
+
+
+#: Blocks of a visit: what an element holds and the rule of an element.
+BLOCKS = {"tests": (("method", "result"), _test), "diagnoses": ((), _diagnosis), "prescriptions": (("text", *FACTORS), _prescription), "referrals": (("number", "direction"), _referral)}
+CODED = ("date_source", "patient_category", "attendance_type", "fever_present")
+
+
+def under(path: Column, field: str) -> Column:
+    return F.concat(path, F.lit(f".{field}"))
 
 
 def visit_issues(lines: DataFrame, today: Column) -> DataFrame:
-    """lines (line: JSON of a visit) with all their issues. Without a usable date nothing but its sex is judged further."""
-    v = F.col("v")
-    raw = text(v, "$.encounter_date")
-    day = F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(raw, "yyyy-MM-dd"))
-    date = F.when(raw.isNull(), "encounter_date_missing").when(day.isNull(), "encounter_date_unparsable").when(day > today, "encounter_date_in_future")
-    head = F.concat(when(date.isNotNull(), date, "encounter_date"), coded(v, "sex", "sex"))
-    blank = lambda e, path: when(F.coalesce(F.trim(F.try_variant_get(e, "$", "string")), F.lit("")) == "", "diagnosis_blank", path)
-    rest = F.concat(*(coded(v, f, f) for f in ("date_source", "patient_category", "attendance_type", "fever_present")), _age(v), listed(v, "tests", "test", _test), listed(v, "diagnoses", "", blank), listed(v, "prescriptions", "", _prescription), listed(v, "referrals", "referral", _referral))
-    whole = F.when(v.isNull(), F.array(issue("malformed_json", "$"))).when(date.isNotNull(), head).otherwise(F.concat(head, rest))
-    return lines.withColumn("v", F.try_parse_json("line")).withColumn("issues", whole).drop("v")
+    """lines (line: JSON of a visit) with all their issues. Without a usable date nothing but its sex is judged further.
+
+    Members are taken out of the parsed text once, as columns; faults are columns too, so no rule is evaluated twice.
+    """
+    own, v = lines.columns, F.col("v")
+    d = lines.withColumn("v", F.try_parse_json("line"))
+    d = d.withColumns({"v_date": text(v, "$.encounter_date"), "v_value": text(v, "$.age.value"), "v_unit": folded(text(v, "$.age.unit"))} | {f"v_{c}": folded(text(v, f"$.{c}")) for c in ("sex", *CODED)} | {f"b_{b}": F.try_variant_get(v, f"$.{b}", "variant") for b in BLOCKS})
+    d = d.withColumns({"day": F.when(F.col("v_date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date("v_date", "yyyy-MM-dd")), "number": F.col("v_value").try_cast("bigint"), "most": F.element_at(F.create_map(*(F.lit(x) for kv in AGE_BOUNDS.items() for x in kv)), F.col("v_unit"))} | {f"k_{b}": F.when(F.col(f"b_{b}").isNotNull(), kind(F.col(f"b_{b}"))) for b in BLOCKS})
+    value, unit = F.col("v_value"), F.col("v_unit")
+    date = F.when(F.col("v_date").isNull(), "encounter_date_missing").when(F.col("day").isNull(), "encounter_date_unparsable").when(F.col("day") > today, "encounter_date_in_future")
+    age = F.when(value.isNull() & unit.isNull(), None).when(value.isNull() | unit.isNull(), "age_pair_incomplete").when(F.col("number").isNull(), "age_value_unparsable").when(F.col("most").isNull(), "unrecognised_code").when(F.col("number") < 0, "age_negative").when(F.col("number") > F.col("most"), "age_outside_unit_bounds")
+    items = {f"i_{b}": F.when(F.col(f"k_{b}") == "ARRAY", F.transform(F.try_variant_get(f"b_{b}", "$", "array<variant>"), _element(*members))) for b, (members, _) in BLOCKS.items()}
+    d = d.withColumns({"f_date": date, "f_age": age} | items)
+
+    def block(b: str) -> Column:
+        k = F.col(f"k_{b}")
+        absent = F.coalesce(k.isNull() | (k == "VOID") | ((k == "STRING") & (F.try_variant_get(f"b_{b}", "$", "string") == "")), F.lit(True))
+        judged = F.flatten(F.transform(f"i_{b}", lambda e, i: BLOCKS[b][1](e, F.concat(F.lit(f"{b}["), i, F.lit("]")))))
+        return F.when(absent, F.array().cast(ISSUE)).when(k != "ARRAY", F.array(issue(f"{b}_not_a_list", b))).otherwise(judged)
+
+    at_age = F.when(F.col("f_age") == "age_pair_incomplete", "age").when(F.col("f_age") == "unrecognised_code", "age.unit").otherwise("age.value")
+    head = F.concat(when(F.col("f_date").isNotNull(), F.col("f_date"), "encounter_date"), when(unknown(F.col("v_sex"), "sex"), "unrecognised_code", "sex"))
+    rest = F.concat(*(when(unknown(F.col(f"v_{c}"), c), "unrecognised_code", c) for c in CODED), when(F.col("f_age").isNotNull(), F.col("f_age"), at_age), *map(block, BLOCKS))
+    whole = F.when(v.isNull(), F.array(issue("malformed_json", "$"))).when(F.col("f_date").isNotNull(), head).otherwise(F.concat(head, rest))
+    return d.select(*own, whole.alias("issues"))
 
 
 #: What the bound rows hold by their key modulo 32: a member and its value, and the issue that it makes (none: it is sound).
