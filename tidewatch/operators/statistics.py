@@ -198,6 +198,30 @@ def contiguous_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("label.month", F.col("label.district_id").alias("first_district"), "units", F.array_join(F.transform("m", lambda x: x.cast("string")), ",").alias("members"))
 
 
+@query("anomaly_methods", f"""WITH {flags.CTES}, {_SERIES}, m AS (SELECT *, unnest(['robust_z', 'relative', 'band']) AS method FROM b)
+SELECT district_id, month, method, CASE WHEN value IS NULL THEN 'no_observation' WHEN sufficiency <> 'sufficient' THEN 'no_baseline' WHEN CASE method WHEN 'robust_z' THEN coalesce(spread, 0) = 0 WHEN 'relative' THEN coalesce(expected, 0) = 0 ELSE lower IS NULL OR upper IS NULL END THEN 'method_inapplicable'
+  WHEN CASE method WHEN 'robust_z' THEN round_even(abs(value - expected) / spread, 6) >= 2.0 WHEN 'relative' THEN abs(value - expected) / expected >= 0.5 ELSE value < lower OR value > upper END THEN 'flagged' ELSE 'not_flagged' END AS outcome FROM m""")
+def anomaly_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each method's judgement from one baseline; a method that cannot apply says so and no other takes its place."""
+    b = baselines(series(spark, sf_dir), ["district_id"])
+    x, e, s, low, high = (F.col(c) for c in ("value", "expected", "spread", "lower", "upper"))
+    zero = F.lit(0.0)
+    rules = {"robust_z": (F.coalesce(s, zero) == 0, F.bround(F.abs(x - e) / F.nullif(s, zero), 6) >= RULE.threshold), "relative": (F.coalesce(e, zero) == 0, F.abs(x - e) / F.nullif(e, zero) >= 0.5), "band": (low.isNull() | high.isNull(), (x < low) | (x > high))}
+    judged_by = lambda name: F.struct(F.lit(name).alias("method"), F.when(x.isNull(), "no_observation").when(F.col("sufficiency") != "sufficient", "no_baseline").when(rules[name][0], "method_inapplicable").when(rules[name][1], "flagged").otherwise("not_flagged").alias("outcome"))
+    return b.select("district_id", "month", F.explode(F.array(*map(judged_by, rules))).alias("m")).select("district_id", "month", "m.*")
+
+
+@query("cluster_outcomes", f"""WITH {flags.CTES}, c AS (SELECT facility_id, month, count(*) FILTER (confirmed) AS n, count(*) FILTER (tested) AS d FROM visit GROUP BY ALL), g AS (SELECT district_id, month, sum(n) AS n, sum(d) AS d, count(*) AS k FROM c JOIN facility USING (facility_id) WHERE is_active GROUP BY ALL), x AS (SELECT district_id, count(*) AS expected FROM facility WHERE is_active GROUP BY 1)
+SELECT district.district_id, m.month, CASE WHEN g.n IS NULL OR g.d = 0 THEN 'no_observation' WHEN g.n < 5 THEN 'below_minimum_count' WHEN round_even(k / greatest(expected, k)::DOUBLE, 4) < 0.5 THEN 'incomplete' ELSE 'evaluable' END AS outcome FROM district CROSS JOIN (SELECT DISTINCT month FROM encounter) m LEFT JOIN g ON g.district_id = district.district_id AND g.month = m.month LEFT JOIN x ON x.district_id = district.district_id""")
+def cluster_outcomes(spark: SparkSession, sf_dir: str, minimum: int = 5, completeness: float = 0.5) -> DataFrame:
+    """Of every district and month, whether it can take part in a cluster: its observation, count and completeness."""
+    g = spatial.by_facility(spark, sf_dir).select("district_id", "month", "numerator", "denominator", "completeness", "value")
+    seen = bind.encounters(spark, sf_dir).select("month").distinct()
+    every = bind.districts(spark, sf_dir).select("district_id", F.explode(bind.months(spark, sf_dir)).alias("month")).join(seen, "month", "left_semi")
+    outcome = F.when(F.col("value").isNull(), "no_observation").when(F.col("numerator").isNull() | (F.col("numerator") < minimum), "below_minimum_count").when(F.col("completeness").isNull() | (F.col("completeness") < completeness), "incomplete").otherwise("evaluable")
+    return every.join(g, ["district_id", "month"], "left").select("district_id", "month", outcome.alias("outcome"))
+
+
 @query("preceding_periods", "SELECT o_orderkey AS id, string_agg(CAST(CAST(date_trunc('month', o_orderdate) - to_months(CAST(i AS INTEGER)) AS DATE) AS VARCHAR), ',' ORDER BY i) AS periods FROM orders, range(1, 5) t(i) GROUP BY 1")
 def preceding_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four months before a date, newest first."""

@@ -157,14 +157,16 @@ def accepted_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.groupBy("month").agg(F.count("*").alias("reporters"), F.sum(F.col("total").cast("decimal(18,2)")).cast("double").alias("total"))
 
 
-@query("operational_alerts", f"""WITH {flags.CTES}, c AS (SELECT facility_id, month, count(*) FILTER (suspected) AS suspected, count(*) FILTER (tested) AS tested, count(*) FILTER (confirmed) AS confirmed FROM visit GROUP BY ALL)
-SELECT facility_id, month, 'tested_exceeds_suspected' AS alert, tested - suspected AS excess FROM c WHERE tested > suspected UNION ALL SELECT facility_id, month, 'confirmed_exceeds_suspected', confirmed - suspected FROM c WHERE confirmed > suspected""")
+@query("operational_alerts", f"""WITH {flags.CTES}, {_STOCK}, c AS (SELECT facility_id, month, count(*) FILTER (suspected) AS suspected, count(*) FILTER (tested) AS tested, count(*) FILTER (confirmed) AS confirmed FROM visit GROUP BY ALL)
+SELECT facility_id, month, 'tested_exceeds_suspected' AS alert, NULL AS subject, tested - suspected AS excess FROM c WHERE tested > suspected UNION ALL SELECT facility_id, month, 'confirmed_exceeds_suspected', NULL, confirmed - suspected FROM c WHERE confirmed > suspected UNION ALL SELECT facility_id, month, 'days_out_of_stock', commodity, CAST(days_out AS BIGINT) FROM facts WHERE days_out > 0""")
 def operational_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Figures of a month that contradict each other."""
+    """Figures of a month that contradict each other, and commodities that were out of stock."""
     c = flags.visits(spark, sf_dir).groupBy(*KEYS).agg(*(F.count_if(x).alias(x) for x in ("suspected", "tested", "confirmed")))
-    alert = lambda name, x: F.struct(F.lit(name).alias("alert"), (F.col(x) - F.col("suspected")).alias("excess"))
+    alert = lambda name, x: F.struct(F.lit(name).alias("alert"), F.lit(None).cast("string").alias("subject"), (F.col(x) - F.col("suspected")).alias("excess"))
     rows = F.explode(F.array(alert("tested_exceeds_suspected", "tested"), alert("confirmed_exceeds_suspected", "confirmed")))
-    return c.select(*KEYS, rows.alias("x")).select(*KEYS, "x.*").where("excess > 0")
+    figures = c.select(*KEYS, rows.alias("x")).select(*KEYS, "x.*").where("excess > 0")
+    out = commodity_facts(spark, sf_dir).where("days_out > 0").select(*KEYS, F.lit("days_out_of_stock").alias("alert"), F.col("commodity").alias("subject"), F.col("days_out").alias("excess"))
+    return figures.unionByName(out)
 
 
 @query("reported_totals", f"WITH {bind.CTES} SELECT commodity AS element, month, CAST(sum(value) AS BIGINT) AS total, CASE WHEN count(value) = 0 THEN 'all_blank' ELSE 'reported' END AS status FROM stock GROUP BY ALL")
