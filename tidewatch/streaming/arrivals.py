@@ -79,7 +79,7 @@ def run_available(spark: SparkSession, path: str, folder: str, files: int = 1000
         done = batch.sparkSession.read.schema(f"{EVENT}, late boolean").parquet(f"{folder}/rows/batch={number}")
         by_day(done.where("NOT late")).write.mode("overwrite").parquet(f"{folder}/counts/batch={number}")
 
-    stateful.run(judged(stream, late_days, slots), write, f"{folder}/state")
+    stateful.run(judged(stream, late_days, slots), write, f"{folder}/state", slots)
     return figures(spark, folder)
 
 

@@ -74,12 +74,13 @@ def number(month: str) -> F.Column:
     return (F.year(month) * 12 + F.month(month) - 1).cast("int")
 
 
-def run_available(spark: SparkSession, path: str, folder: str, files: int = 1, keep: int = KEEP) -> DataFrame:
-    """Runs the stream over files of judgements (district_id, month, flagged) and gives the runs; the state is in `folder`."""
+def run_available(spark: SparkSession, path: str, folder: str, files: int = 1, keep: int = KEEP, series: int = 16) -> DataFrame:
+    """Runs the stream over files of judgements (district_id, month, flagged) and gives the runs; the state is in `folder`,
+    in partitions for about so many series."""
     stream = spark.readStream.schema("district_id long, month date, flagged boolean").option("maxFilesPerTrigger", files).parquet(path)
     rows = stream.where("flagged").select("district_id", number("month").alias("month"), "flagged")
     runs = rows.groupBy("district_id").transformWithStateInPandas(Runs(keep), OUT, "Append", "None")
-    stateful.run(runs, lambda batch, k: batch.write.mode("overwrite").parquet(f"{folder}/runs/batch={k}"), f"{folder}/state")
+    stateful.run(runs, lambda batch, k: batch.write.mode("overwrite").parquet(f"{folder}/runs/batch={k}"), f"{folder}/state", series)
     return found(spark, folder)
 
 
