@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators import graph, ingestion, runs, signals
+from tidewatch.plans.registry import SQL
 from tidewatch.sources import jsonl
 
 
@@ -30,6 +31,19 @@ def test_forbidden_keys_are_found_at_any_depth(spark):
     assert got == {texts[0]: ["$.a.b[1][1].National-ID", "$.a.b[2].n.FULL NAME"], texts[2]: ["$.surname"], deep: ["$" + ".x[0]" * 12 + ".surname"], texts[7]: ["$[0].phone/number", "$[1].phoneNumber"]}
 
 
+def test_lines_of_both_forbidden_kinds_are_of_the_first(spark, same_rows, tmp_path):
+    """Keys that 1013 and 1021 divide come in larger tables only."""
+    small = "/root/testdata/sf0.001"
+    keys = [1013 * 1021 * i for i in range(1, 4)] + [1013, 1021, 1013 * 1019]
+    o = spark.read.parquet(f"{small}/orders.parquet").limit(len(keys)).toPandas().assign(o_orderkey=keys)
+    o.to_parquet(tmp_path / "orders.parquet", coerce_timestamps="us")
+    for t in ("nation", "region", "customer", "supplier", "part", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"{small}/{t}.parquet")
+    got = ingestion.forbidden_fields(spark, str(tmp_path))
+    assert got.where("id = 1034273").first().paths == "$.extra.contact.Patient_Name"
+    same_rows(got, SQL["forbidden_fields"], str(tmp_path))
+
+
 def test_a_load_that_comes_again_changes_nothing(spark):
     stored = spark.createDataFrame([(1, "a", 1), (2, None, 3)], "k int, v string, revision int")
     load = spark.createDataFrame([(1, "b"), (2, None), (3, "c")], "k int, v string")

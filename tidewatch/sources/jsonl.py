@@ -83,6 +83,6 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     person = F.struct(F.lit("x").alias("Patient_Name"))
     extra = F.when(k % 1013 == 0, F.struct(person.alias("contact"), F.lit(None).cast("array<struct<Patient_Name: string>>").alias("seen"))).when(k % 1021 == 0, F.struct(F.lit(None).cast("struct<Patient_Name: string>").alias("contact"), F.array(F.struct(F.lit(None).cast("string").alias("Patient_Name")), person).alias("seen")))
     text = F.to_json(F.struct(kind.alias("record_type"), row.alias("source_row_id"), F.col("encounter_date").cast("string").alias("visit_date"), F.col("patient_id").alias("person"), "fever", extra.alias("extra")))
-    # The second kind spells its key with an escape.
-    text = F.when(k % 1021 == 0, F.replace(text, F.lit("Patient_Name"), F.lit("patient\\u004eame"))).otherwise(text)
+    # The second kind spells its key with an escape; a visit of both kinds is of the first.
+    text = F.when((k % 1021 == 0) & (k % 1013 != 0), F.replace(text, F.lit("Patient_Name"), F.lit("patient\\u004eame"))).otherwise(text)
     return e.select(F.col("month").alias("artefact"), k.alias("id"), F.when(k % 1019 == 0, F.substring(text, 1, 20)).otherwise(text).alias("line"))
