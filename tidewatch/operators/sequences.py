@@ -44,8 +44,8 @@ _SUM = """es AS (SELECT patient_id, episode, min(encounter_date) AS first_day, m
 _END = "DATE '2001-08-01'"
 
 
-def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = episode_members(flags.visits(spark, sf_dir))
+def episodes(spark: SparkSession, sf_dir: str, visits: DataFrame | None = None) -> DataFrame:
+    m = episode_members(flags.visits(spark, sf_dir) if visits is None else visits)
     first = F.struct("encounter_date", "encounter_id")
     return m.groupBy("patient_id", "episode").agg(F.min("encounter_date").alias("first_day"), F.max("encounter_date").alias("last_day"), F.count("*").alias("visits"), F.count_if("confirmed").alias("positives"), F.count_if("treated").alias("treated"), F.min_by("facility_id", first).alias("index_facility"), F.min_by("residence_id", first).alias("index_residence"))
 

@@ -15,9 +15,9 @@ _PLACE = "c AS (SELECT facility_id, month, count(*) FILTER (confirmed) AS n, cou
 
 @query("geographic_by_facility", f"""WITH {flags.CTES}, {_PLACE}, g AS (SELECT district_id, month, sum(n) AS n, sum(d) AS d, count(DISTINCT facility_id) AS contributing FROM c JOIN facility USING (facility_id) WHERE is_active GROUP BY ALL), e AS (SELECT district_id, count(*) AS expected FROM facility WHERE is_active GROUP BY 1)
 SELECT district_id, month, CAST(n AS BIGINT) AS numerator, CAST(d AS BIGINT) AS denominator, contributing, greatest(expected, contributing) AS expected, {sql_ratio("contributing", "greatest(expected, contributing)", 4)} AS completeness, {sql_ratio("n", "d")} AS value, {sql_status("n", "d")} AS value_status FROM g JOIN e USING (district_id)""")
-def by_facility(spark: SparkSession, sf_dir: str) -> DataFrame:
+def by_facility(spark: SparkSession, sf_dir: str, visits: DataFrame | None = None) -> DataFrame:
     """Positivity of districts by where facilities stand, with reporting completeness."""
-    c = flags.visits(spark, sf_dir).groupBy("facility_id", "month").agg(F.count_if("confirmed").alias("n"), F.count_if("tested").alias("d"))
+    c = (flags.visits(spark, sf_dir) if visits is None else visits).groupBy("facility_id", "month").agg(F.count_if("confirmed").alias("n"), F.count_if("tested").alias("d"))
     active = bind.facilities(spark, sf_dir).where("is_active")
     g = c.join(active, "facility_id").groupBy("district_id", "month").agg(F.sum("n").alias("numerator"), F.sum("d").alias("denominator"), F.count("*").alias("contributing"))
     e = active.groupBy("district_id").agg(F.count("*").alias("expected"))
@@ -26,9 +26,9 @@ def by_facility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("geographic_by_residence", f"""WITH {flags.CTES}, g AS (SELECT residence_id, month, count(*) FILTER (confirmed) AS n, count(*) FILTER (tested) AS d FROM visit GROUP BY ALL) SELECT residence_id, month, n AS numerator, d AS denominator, 0 AS contributing, {sql_ratio("n", "d")} AS value, {sql_status("n", "d")} AS value_status FROM g""")
-def by_residence(spark: SparkSession, sf_dir: str) -> DataFrame:
+def by_residence(spark: SparkSession, sf_dir: str, visits: DataFrame | None = None) -> DataFrame:
     """Positivity by where patients live; no facility contributes as such."""
-    g = flags.visits(spark, sf_dir).groupBy("residence_id", "month").agg(F.count_if("confirmed").alias("numerator"), F.count_if("tested").alias("denominator"))
+    g = (flags.visits(spark, sf_dir) if visits is None else visits).groupBy("residence_id", "month").agg(F.count_if("confirmed").alias("numerator"), F.count_if("tested").alias("denominator"))
     n, d = F.col("numerator"), F.col("denominator")
     return g.select("residence_id", "month", n, d, F.lit(0).alias("contributing"), ratio(n, d).alias("value"), ratio_status(n, d).alias("value_status"))
 

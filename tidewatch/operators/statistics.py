@@ -73,8 +73,8 @@ def baselines(series: DataFrame, keys: list[str], rule: BaselineRule = RULE) ->
     return b.withColumns({"expected": F.col("e") / MICRO, "spread": F.col("s") / MICRO, "lower": band(-1), "upper": band(1)}).drop("middle", "deviation", "history", "e", "s")
 
 
-def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.by_facility(spark, sf_dir).select("district_id", "month", "denominator", "value")
+def series(spark: SparkSession, sf_dir: str, visits: DataFrame | None = None) -> DataFrame:
+    return spatial.by_facility(spark, sf_dir, visits).select("district_id", "month", "denominator", "value")
 
 
 _SERIES = f"""c AS (SELECT facility_id, month, count(*) FILTER (confirmed) AS n, count(*) FILTER (tested) AS d FROM visit GROUP BY ALL), g AS (SELECT district_id, month, sum(n) AS n, CAST(sum(d) AS BIGINT) AS denominator FROM c JOIN facility USING (facility_id) WHERE is_active GROUP BY ALL),
@@ -148,12 +148,12 @@ _SPACE = f"""s AS (SELECT residence_id AS district_id, month, count(*) FILTER (c
 {geometry.ADJACENT}"""
 
 
-def space(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.by_residence(spark, sf_dir).select(F.col("residence_id").alias("district_id"), "month", F.col("numerator").alias("n"), "denominator", "value")
+def space(spark: SparkSession, sf_dir: str, visits: DataFrame | None = None) -> DataFrame:
+    return spatial.by_residence(spark, sf_dir, visits).select(F.col("residence_id").alias("district_id"), "month", F.col("numerator").alias("n"), "denominator", "value")
 
 
-def hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = baselines(space(spark, sf_dir), ["district_id"])
+def hotspots(spark: SparkSession, sf_dir: str, visits: DataFrame | None = None) -> DataFrame:
+    b = baselines(space(spark, sf_dir, visits), ["district_id"])
     above = (F.col("value") - F.col("expected")) / F.nullif(F.col("spread"), F.lit(0.0))
     outcome = F.when(F.col("value").isNull(), "no_observation").when(F.col("n") < 3, "below_minimum_count").when((F.col("sufficiency") != "sufficient") | (F.coalesce("spread", F.lit(0.0)) == 0), "not_evaluated_no_baseline").when(above >= 1.5, "hotspot").otherwise("not_hotspot")
     return b.select("district_id", "month", "value", "n", outcome.alias("outcome"))

@@ -123,10 +123,11 @@ FROM d FULL JOIN r ON d.facility_id = r.facility_id AND d.month = r.month AND d.
 
 
 @query("reconciliation", f"WITH {flags.CTES} SELECT * FROM ({SQL_RECONCILIATION})")
-def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reconciliation(spark: SparkSession, sf_dir: str, visits: DataFrame | None = None) -> DataFrame:
     """Reported against derived figures of every element, with a six-way status; both come from one aggregation of visits."""
     derived, reported = dict(_RULES), dict(_REPORTED)
-    c = flags.visits(spark, sf_dir).groupBy(*KEYS).agg(*(F.count_if(F.expr(w)).alias(f"d_{e}") for e, w in _RULES), *(F.count_if(F.expr(w)).alias(f"r_{e}") for e, w in _REPORTED))
+    v = flags.visits(spark, sf_dir) if visits is None else visits
+    c = v.groupBy(*KEYS).agg(*(F.count_if(F.expr(w)).alias(f"d_{e}") for e, w in _RULES), *(F.count_if(F.expr(w)).alias(f"r_{e}") for e, w in _REPORTED))
     cell = lambda e: F.struct(F.lit(e).alias("element"), (F.col(f"r_{e}") if e in reported else F.lit(None).cast("long")).alias("reported"), (F.col(f"d_{e}") if e in derived else F.lit(None).cast("long")).alias("derived"), F.lit(e in reported).alias("on_form"), F.lit(e in derived).alias("ruled"))
     x = c.select(*KEYS, F.explode(F.array(*(cell(e) for e in {**derived, **reported}))).alias("x")).select(*KEYS, "x.*")
     blank = ((F.col("facility_id") + F.month("month")) % 5 == 0) & (F.col("element") != "EP01b")
