@@ -79,3 +79,16 @@ def test_every_outcome_and_reason_occurs_and_follows_from_the_evidence(spark):
 def test_rules_that_make_no_sense_are_refused(gap, window, least):
     with pytest.raises(ValueError):
         sequences.ChainRule(gap, window, least)
+
+
+def test_decisions_sort_their_rows_once(spark):
+    """Twins of a day, disputed and undated rows; an encounter's key that comes twice counts once."""
+    rows = [(1, "2020-01-05", True, False), (2, "2020-01-05", True, False), (2, "2020-01-05", True, False), (3, "2020-01-05", True, True), (4, None, True, False), (5, None, True, False), (6, "2020-01-05", False, False), (7, "2020-02-01", True, True), (8, "2020-03-01", True, False)]
+    e = spark.createDataFrame([(2020, 9, *r) for r in rows], "year int, patient_id long, encounter_id long, day string, positive boolean, disputed boolean").withColumn("day", F.to_date("day")).withColumn("any_positive", F.lit(True))
+    d = evidence.judged(e)
+    got = Counter((r.encounter_id, r.is_possible_duplicate, r.reason) for r in d.collect())
+    again = "same_day_not_representative"
+    assert got == Counter({(1, True, "eligible_positive"): 1, (2, True, again): 2, (3, True, "excluded_by_quality_rule"): 1, (4, False, "excluded_unusable_date"): 1, (5, False, "excluded_unusable_date"): 1, (6, False, "positive_method_not_permitted"): 1, (7, False, "excluded_by_quality_rule"): 1, (8, False, "eligible_positive"): 1})
+    assert {r.encounter_id: r.ref for r in d.where("encounter_id IN (4, 5, 7, 8)").collect()} == {7: "E6", 8: "E7", 4: "E8", 5: "E9"}
+    plan = d._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Sort [") == 1 and plan.count("Exchange hashpartitioning") == 1

@@ -77,6 +77,8 @@ def stored_evidence(spark: SparkSession, sf_dir: str, years: tuple[int, ...] = (
     """year and encounters: of patients with a positive test in the year, by their visits' dates, all since its lookback began. For
     some years only, the scan of encounters is pruned to their spans."""
     e = encounters(spark, sf_dir)
+    # Evidence and those whom it is about are two readings of encounters.
+    e = e if years else stored.written(e, "encounters")
     if years:
         first, last = min(years), max(years)
         e = e.where(F.col("encounter_date").between(F.date_sub(F.lit(f"{first}-01-01").cast("date"), RULE.window), F.lit(f"{last}-12-31").cast("date")))
@@ -128,36 +130,40 @@ def evidence_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored evidence with what becomes of each encounter: reason, and whether it counts."""
-    e = stored_evidence(spark, sf_dir)
-    same = Window.partitionBy("year", "patient_id", "day", F.col("positive") & F.col("day").isNotNull())
-    flag = {"possible_duplicate": F.col("positive") & F.col("day").isNotNull() & (F.count("*").over(same) > 1), "date_quality_issue": F.col("disputed")}
-    e = e.withColumns({f"is_{k}": v for k, v in flag.items()})
+    """Stored evidence with what becomes of each encounter: reason, and whether it counts. ref: E1, E2, ... by day within patient and year."""
+    return judged(stored_evidence(spark, sf_dir))
+
+
+def judged(e: DataFrame) -> DataFrame:
+    """decided() of evidence. Everything asks for one order, by day and encounter within year and patient, so that a task sorts its
+    rows once."""
+    order = Window.partitionBy("year", "patient_id").orderBy(F.col("day").asc_nulls_last(), "encounter_id")
+    # Rows of one day are peers by the day alone, which the order above gives too.
+    same = Window.partitionBy("year", "patient_id").orderBy(F.col("day").asc_nulls_last()).rangeBetween(Window.currentRow, Window.currentRow)
+    dated = F.col("positive") & F.col("day").isNotNull()
+    flag = {"possible_duplicate": dated & (F.count_if(dated).over(same) > 1), "date_quality_issue": F.col("disputed")}
+    e = e.withColumn("ref", F.concat(F.lit("E"), F.row_number().over(order))).withColumns({f"is_{k}": v for k, v in flag.items()})
     bad = F.lit(False)
     for k in EXCLUDED:
         bad = bad | F.col(f"is_{k}")
     fits = F.col("positive") & F.col("day").isNotNull() & ~bad
-    place = F.row_number().over(Window.partitionBy("year", "patient_id", "day", fits).orderBy("encounter_id"))
-    reason = F.when(~F.col("positive") & F.col("any_positive"), "positive_method_not_permitted").when(~F.col("positive"), "context_not_positive").when(F.col("day").isNull(), "excluded_unusable_date").when(bad, "excluded_by_quality_rule").when(place > 1, "same_day_not_representative").otherwise("eligible_positive")
-    return e.withColumn("reason", reason).withColumn("counted", F.col("reason") == "eligible_positive")
+    e = e.withColumn("place", F.count_if(fits).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    later = fits & (F.col("place") > F.min(F.when(fits, F.col("place"))).over(same))
+    reason = F.when(~F.col("positive") & F.col("any_positive"), "positive_method_not_permitted").when(~F.col("positive"), "context_not_positive").when(F.col("day").isNull(), "excluded_unusable_date").when(bad, "excluded_by_quality_rule").when(later, "same_day_not_representative").otherwise("eligible_positive")
+    return e.withColumn("reason", reason).drop("place").withColumn("counted", F.col("reason") == "eligible_positive")
 
 
 _DEC = f"""dc AS MATERIALIZED (SELECT *, positive AND day IS NOT NULL AND count(*) OVER (PARTITION BY year, patient_id, day, positive AND day IS NOT NULL) > 1 AS twin, CASE WHEN NOT positive AND any_positive THEN 'positive_method_not_permitted' WHEN NOT positive THEN 'context_not_positive' WHEN day IS NULL THEN 'excluded_unusable_date' WHEN disputed THEN 'excluded_by_quality_rule'
   WHEN row_number() OVER (PARTITION BY year, patient_id, day, positive AND day IS NOT NULL AND NOT disputed ORDER BY encounter_id) > 1 THEN 'same_day_not_representative' ELSE 'eligible_positive' END AS reason FROM evd)"""
 
 
-VERSION = "1"
+VERSION = "2"
 TABLES = ("nation", "region", "supplier", "customer", "orders", "lineitem")
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """decided(), written once for its tables; all views of an evaluation read it. ref: E1, E2, ... by day within patient and year."""
-
-    def build() -> DataFrame:
-        order = Window.partitionBy("year", "patient_id").orderBy(F.col("day").asc_nulls_last(), "encounter_id")
-        return decided(spark, sf_dir).withColumn("ref", F.concat(F.lit("E"), F.row_number().over(order)))
-
-    return stored.evaluation(spark, "decisions", VERSION, [f"{sf_dir}/{t}.parquet" for t in TABLES], build, rule=RULE, methods=METHODS, excluded=EXCLUDED)
+    """decided(), written once for its tables; all views of an evaluation read it."""
+    return stored.evaluation(spark, "decisions", VERSION, [f"{sf_dir}/{t}.parquet" for t in TABLES], lambda: decided(spark, sf_dir), rule=RULE, methods=METHODS, excluded=EXCLUDED)
 
 
 @query("encounter_decisions", f"WITH {bind.CTES}, {_ENC}, {_EVID}, {_DEC} SELECT year, patient_id, encounter_id, day, reason, concat_ws(',', CASE WHEN disputed OR (positive AND day IS NULL) THEN 'date_quality_issue' END, CASE WHEN twin THEN 'possible_duplicate' END) AS flags FROM dc")
