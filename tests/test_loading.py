@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import re
 
 import pytest
 from conftest import SMALL
@@ -70,6 +71,33 @@ def test_an_empty_return_says_nothing(spark):
     assert got == [(1, "submission_is_empty", "$"), (2, "days_out_of_stock_exceeds_period", "stock[0].value"), (2, "duplicate_stock_row", "stock[2].commodity")]
 
 
+RETURNS = ['{"id":1,"form":"yearly","starts":"2024-02-01","ends":"2024-02-29","revision":1}', '{"id":1,"form":"yearly","starts":"2024-02-01","ends":"2024-02-29","revision":1}', '{"id":2,"form":"weekly","starts":"2024-02-05","ends":"2024-02-11","revision":0,"observations":[{"age_band":"under_5","sex":"male","value":"x"},{"element":"deaths","age_band":"unspecified","sex":"male","value":"x"},{"element":"deaths","age_band":"unspecified","sex":"male","value":"2"},null],"laboratory":[{"element":"smear","value":"1"}]}']
+
+
+@pytest.mark.parametrize("keyed", [False, True])
+def test_returns_of_one_id_have_their_issues_each(spark, keyed):
+    lines = spark.createDataFrame([(json.loads(x)["id"], x) for x in RETURNS], "id long, line string")
+    got = sorted((r.id, r.code, r.path, r.severity) for r in validation.return_issues(lines if keyed else lines.select("line")).collect())
+    assert got == [
+        (1, "unknown_form", "form", "error"), (1, "unknown_form", "form", "error"), (2, "duplicate_cell", "observations[2].element", "error"), (2, "laboratory_block_on_the_wrong_form", "laboratory[0]", "error"), (2, "revision_not_positive", "revision", "error"),
+        (2, "value_not_numeric", "observations[0].value", "warning"), (2, "value_not_numeric", "observations[1].value", "warning"),
+    ]
+
+
+def test_returns_are_shuffled_once_and_their_rules_compiled(spark):
+    """Lines that are parted by id are judged where they are; no generated method is above 8,000 bytes, where the JVM stops to compile."""
+    lines = spark.createDataFrame([(json.loads(x)["id"], x) for x in RETURNS], "id long, line string").repartition(4, "id")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        run = validation.return_issues(lines)._jdf.queryExecution()
+        code = run.explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+        assert run.executedPlan().toString().count("Exchange hashpartitioning") == 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 8000, sizes
+
+
 def test_a_payload_of_many_keys_becomes_one_map(spark, tmp_path):
     at = dt.datetime(2024, 1, 1)
     rows = [(0, at, 3, "error", 1.0, '{"k": 60, "z": 1}'), (1, at + dt.timedelta(hours=1), 3, "error", 1.0, '{"k": 70, "m": "x"}'), (2, at, 3, "purchase", 1.0, '{"k": 2}'), (4, at, 50, "error", 1.0, '{"k": 1}'), (6, at, 4, "click", 1.0, '{"k": 1}'), (8, at, 4, "error", 1.0, '{"q": 1}'), (10, at, 4, "view", 1.0, '{"k": "hot"}'), (12, at, 5, "purchase", 1.0, '{"k": 3}'), (14, at, 4, "error", 1.0, None)]

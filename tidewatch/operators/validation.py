@@ -227,102 +227,120 @@ FORMS = {
 }
 
 
-def _in(form: Column, value: Column, of: Callable[[Form], tuple[str, ...]]) -> Column:
-    """Whether a value is among those of its form."""
-    out = F.lit(False)
+def _printed() -> dict[str, dict[str, str]]:
+    """What forms print, by block (and `metric`) and form|name: an observation is `split` or `whole`, or of the wrong block, a test is
+    `on` its form or `off`."""
+    out: dict[str, dict[str, str]] = {"observations": {}, "stock": {}, "metric": {}, "laboratory": {}}
     for name, f in FORMS.items():
-        out = out | ((form == name) & value.isin(*(of(f) or ("",))))
+        out["observations"] |= {f"{name}|{e}": "split" if split else "whole" for e, split in f.elements.items()} | {f"{name}|{e}": "wrong" for e in (*f.commodities, *TESTS)}
+        out["stock"] |= {f"{name}|{e}": "on" for e in f.commodities}
+        out["metric"] |= {f"{name}|{m}": "on" for m in f.metrics}
+        out["laboratory"] |= {f"{name}|{e}": "on" if e in f.tests else "off" for e in TESTS}
     return out
 
 
-def head_faults(cells: Column) -> Column:
-    """Issues of returns (form, starts, ends, revision, period_label, source_reference) with so many cells. A form or period that
-    is not sound stops everything else."""
+def printed(block: str, name: str) -> Column:
+    """What a name is to a block of its form (form), null if it is not printed there."""
+    known = F.create_map(*(F.lit(x) for kv in _printed()[block].items() for x in kv))
+    return F.try_element_at(known, F.concat_ws("|", "form", name))
+
+
+def head_faults(r: DataFrame) -> DataFrame:
+    """Returns (form, starts, ends, revision, period_label, source_reference, and cells: how many) with issues and stops: a form or
+    period that is not sound stops everything else."""
     form, span = F.col("form"), F.date_diff("ends", "starts")
     week, month = form == "weekly", form == "monthly"
-    stop = F.when(form.isNull() | ~form.isin(*FORMS), "unknown_form").when(span < 0, "period_reversed").when(week & (span != 6), "period_is_not_a_week").when(week & (F.weekday("starts") != 0), "week_does_not_start_on_monday").when(month & (F.dayofmonth("starts") != 1), "month_does_not_start_on_the_first").when(month & (F.col("ends") != F.last_day("starts")), "month_does_not_end_on_the_last_day")
-    path = F.when(stop == "unknown_form", "form").when(stop.isin("week_does_not_start_on_monday", "month_does_not_start_on_the_first"), "period_start").otherwise("period_end")
-    long = lambda c: when(F.coalesce(F.length(c) > LIMITS[c], F.lit(False)), "text_exceeds_contract_limit", c)
-    rest = F.concat(when(F.col("revision") < 1, "revision_not_positive", "revision"), long("period_label"), long("source_reference"), when(cells == 0, "submission_is_empty", "$"))
-    return F.when(stop.isNotNull(), F.array(issue(stop, path))).otherwise(rest)
+    stop = F.when(form.isNull() | ~form.isin(*FORMS), verdict("unknown_form", "form")).when(span < 0, verdict("period_reversed", "period_end")).when(week & (span != 6), verdict("period_is_not_a_week", "period_end")).when(week & (F.weekday("starts") != 0), verdict("week_does_not_start_on_monday", "period_start")).when(month & (F.dayofmonth("starts") != 1), verdict("month_does_not_start_on_the_first", "period_start")).when(month & (F.col("ends") != F.last_day("starts")), verdict("month_does_not_end_on_the_last_day", "period_end"))
+    long = lambda c: F.when(F.length(c) > LIMITS[c], verdict("text_exceeds_contract_limit", c))
+    rest = [F.when(F.col("revision") < 1, verdict("revision_not_positive", "revision")), long("period_label"), long("source_reference"), F.when(F.col("cells") == 0, verdict("submission_is_empty", "$"))]
+    r = r.withColumn("stop", stop)
+    return r.withColumns({"stops": F.col("stop").isNotNull(), "issues": F.array_compact(F.when(F.col("stop").isNotNull(), F.array("stop")).otherwise(F.array(*rest)))}).drop("stop")
 
 
-def stopped() -> Column:
-    return F.exists("issues", lambda i: i.code.isin("unknown_form", "period_reversed", "period_is_not_a_week", "week_does_not_start_on_monday", "month_does_not_start_on_the_first", "month_does_not_end_on_the_last_day"))
+def verdict(code: str, path: str) -> Column:
+    """An issue whose code and path are fixed: one constant, so that a chain of rules stays small as generated code (the JVM does
+    not compile methods above 8,000 bytes, and runs them many times slower)."""
+    return F.struct(F.lit(code).alias("code"), F.lit(path).alias("path"), F.lit("warning" if code in WARNINGS else "error").alias("severity"))
 
 
 def cell_faults(c: DataFrame) -> DataFrame:
-    """Issues of cells (id, form, starts, ends, block, place, a row's members as texts; of the block `head` the issue itself): id, code,
-    path, severity. A cell's rules come in the form's order and the first one counts; a cell is a duplicate if a sound one
-    before it has the same key."""
-    form, number = F.col("form"), F.col("value").try_cast("double")
-    blank = F.coalesce(F.col("value"), F.lit("")) == ""
-    e, band, sex = F.col("element"), F.col("age_band"), F.col("sex")
-    split = _in(form, e, lambda f: tuple(k for k, d in f.elements.items() if d))
-    wrong_block = _in(form, e, lambda f: f.commodities) | e.isin(*TESTS)
-    observed = F.when(wrong_block, "element_in_the_wrong_block").when(~_in(form, e, lambda f: tuple(f.elements)), "unknown_element").when(~band.isin(*BANDS), "unknown_age_band").when(split & (band == "unspecified"), "disaggregation_missing").when(~split & (band != "unspecified"), "unexpected_disaggregation").when(~sex.isin(*SEXES), "unknown_sex").when(~blank & number.isNull(), "value_not_numeric").when(number < 0, "value_negative")
-    at_observed = F.when(observed.isin("unknown_age_band", "disaggregation_missing", "unexpected_disaggregation"), "age_band").when(observed == "unknown_sex", "sex").when(observed.isin("value_not_numeric", "value_negative"), "value").otherwise("element")
-    stocked = F.when(~_in(form, e, lambda f: f.commodities), "unknown_commodity").when(~_in(form, F.col("metric"), lambda f: f.metrics), "unknown_stock_metric").when(~blank & number.isNull(), "stock_value_not_numeric").when(number < 0, "stock_value_negative").when(F.length("unit") > LIMITS["unit"], "text_exceeds_contract_limit").when((F.col("metric") == "days_out") & (number > F.date_diff("ends", "starts") + 1), "days_out_of_stock_exceeds_period")
-    at_stocked = F.when(stocked == "unknown_commodity", "commodity").when(stocked == "unknown_stock_metric", "metric").when(stocked == "text_exceeds_contract_limit", "unit").otherwise("value")
-    done, positive = F.col("value").try_cast("bigint"), F.col("positive").try_cast("bigint")
-    odd = (~blank & done.isNull()) | ((F.coalesce(F.col("positive"), F.lit("")) != "") & positive.isNull())
-    tested = F.when(~e.isin(*TESTS), "unknown_laboratory_test").when(~_in(form, e, lambda f: f.tests), "laboratory_block_on_the_wrong_form").when((done < 0) | (positive < 0), "laboratory_value_negative").when(odd, "laboratory_value_not_numeric").when(positive > done, "more_positive_than_done")
-    at_tested = F.when(tested == "unknown_laboratory_test", "test").when(tested == "laboratory_value_negative", F.when(done < 0, "done").otherwise("positive")).when(tested == "laboratory_value_not_numeric", F.when(~blank & done.isNull(), "done").otherwise("positive")).otherwise("")
-    block = F.col("block")
-    fault = F.when(block == "observations", observed).when(block == "stock", stocked).when(block == "laboratory", tested)
-    at = F.when(block == "observations", at_observed).when(block == "stock", at_stocked).otherwise(at_tested)
-    c = c.withColumns({"fault": fault, "at": at})
-    sound = F.col("fault").isNull() | F.col("fault").isin(*WARNINGS)
-    key = F.when(block == "observations", F.concat_ws("|", e, band, sex)).when(block == "stock", F.concat_ws("|", e, "metric")).when(block == "head", F.col("place").cast("string")).otherwise(e)
-    c = c.withColumns({"sound": sound, "key": key})
+    """Issues of cells (id, form, days, block, place, a row's members as texts; place is null if a return has no cells, and issues
+    are those of the whole return, at one of its rows): id, code, path, severity. A cell's rules come in the form's order and
+    the first one counts; a cell is a duplicate if a sound one before it has the same key.
+    """
+    block, e, band, sex = F.col("block"), F.col("element"), F.col("age_band"), F.col("sex")
+    observation, item, laboratory = block == "observations", block == "stock", block == "laboratory"
+    filled, done, positive = F.col("filled"), F.col("done"), F.col("positives")
+    # What rules share is a column first.
+    c = c.withColumns({
+        "printed": F.when(observation, printed("observations", "element")).when(item, printed("stock", "element")).otherwise(printed("laboratory", "element")), "metric_printed": F.when(item, printed("metric", "metric")), "filled": F.coalesce(F.col("value"), F.lit("")) != "",
+        "number": F.when(~laboratory, F.col("value").try_cast("double")), "done": F.when(laboratory, F.col("value").try_cast("bigint")), "positives": F.when(laboratory, F.col("positive").try_cast("bigint")),
+    })
+    what, number, unknown_element = F.col("printed"), F.col("number"), e.isNotNull() & F.col("printed").isNull()
+    observed = F.when(what == "wrong", verdict("element_in_the_wrong_block", "element")).when(unknown_element, verdict("unknown_element", "element")).when(~band.isin(*BANDS), verdict("unknown_age_band", "age_band")).when((what == "split") & (band == "unspecified"), verdict("disaggregation_missing", "age_band")).when((what == "whole") & (band != "unspecified"), verdict("unexpected_disaggregation", "age_band")).when(~sex.isin(*SEXES), verdict("unknown_sex", "sex")).when(filled & number.isNull(), verdict("value_not_numeric", "value")).when(number < 0, verdict("value_negative", "value"))
+    stocked = F.when(unknown_element, verdict("unknown_commodity", "commodity")).when(F.col("metric").isNotNull() & F.col("metric_printed").isNull(), verdict("unknown_stock_metric", "metric")).when(filled & number.isNull(), verdict("stock_value_not_numeric", "value")).when(number < 0, verdict("stock_value_negative", "value")).when(F.length("unit") > LIMITS["unit"], verdict("text_exceeds_contract_limit", "unit")).when((F.col("metric") == "days_out") & (number > F.col("days")), verdict("days_out_of_stock_exceeds_period", "value"))
+    tested = F.when(unknown_element, verdict("unknown_laboratory_test", "test")).when(what == "off", verdict("laboratory_block_on_the_wrong_form", "")).when(done < 0, verdict("laboratory_value_negative", "done")).when(positive < 0, verdict("laboratory_value_negative", "positive")).when(filled & done.isNull(), verdict("laboratory_value_not_numeric", "done")).when((F.coalesce(F.col("positive"), F.lit("")) != "") & positive.isNull(), verdict("laboratory_value_not_numeric", "positive")).when(positive > done, verdict("more_positive_than_done", ""))
+    key = F.when(observation, F.concat_ws("|", e, band, sex)).when(item, F.concat_ws("|", e, "metric")).otherwise(e)
+    c = c.select("id", "block", "place", "issues", key.alias("key"), F.when(observation, observed).when(item, stocked).when(laboratory, tested).alias("fault"))
+    c = c.withColumn("sound", F.col("place").isNotNull() & (F.col("fault").isNull() | (F.col("fault.severity") == "warning")))
     c = c.withColumn("twin", F.col("sound") & (F.row_number().over(Window.partitionBy("id", "block", "key", "sound").orderBy("place")) > 1))
-    name = F.when(block == "observations", "duplicate_cell").when(block == "stock", "duplicate_stock_row").otherwise("duplicate_laboratory_row")
-    own = F.when(block == "observations", "element").when(block == "stock", "commodity").otherwise("test")
-    cell = F.concat(block, F.lit("["), "place", F.lit("]"))
-    path = lambda field: F.when(field != "", F.concat_ws(".", cell, field)).otherwise(cell)
-    found = F.concat(F.when(block == "head", F.array("head")).otherwise(F.array().cast(ISSUE)), when(F.col("fault").isNotNull(), F.col("fault"), path(F.col("at"))), when(F.col("twin"), name, path(own)))
+    c = c.where(F.col("fault").isNotNull() | F.col("twin") | F.col("issues").isNotNull())
+    name = F.when(observation, verdict("duplicate_cell", "element")).when(item, verdict("duplicate_stock_row", "commodity")).otherwise(verdict("duplicate_laboratory_row", "test"))
+
+    def own(holds: Column, i: Column) -> Column:
+        path = F.concat(block, F.lit("["), "place", F.lit("]"), F.when(i.path != "", F.concat(F.lit("."), i.path)).otherwise(""))
+        return F.when(holds, F.array(F.struct(i.code.alias("code"), path.alias("path"), i.severity.alias("severity")))).otherwise(F.array().cast(ISSUE))
+
+    found = F.concat(F.coalesce("issues", F.array().cast(ISSUE)), own(F.col("fault").isNotNull(), F.col("fault")), own(F.col("twin"), name))
     return c.select("id", F.explode(found).alias("i")).select("id", "i.*")
 
 
-RETURN = "id long, form string, starts date, ends date, revision int, period_label string, source_reference string, observations array<struct<element: string, age_band: string, sex: string, value: string>>, stock array<struct<element: string, metric: string, value: string, unit: string>>, laboratory array<struct<element: string, value: string, positive: string>>"
+#: A cell of any block: members that its block has not are null.
+CELL = "struct<element: string, age_band: string, sex: string, metric: string, value: string, unit: string, positive: string>"
+RETURN = "id long, form string, starts date, ends date, revision int, period_label string, source_reference string, " + ", ".join(f"{b} array<{CELL}>" for b in ("observations", "stock", "laboratory"))
 
 
 def return_issues(lines: DataFrame) -> DataFrame:
-    """id, code, path, severity of aggregate returns (line: JSON)."""
-    r = lines.select(F.from_json("line", RETURN).alias("r")).select("r.*")
+    """id, code, path, severity of aggregate returns (line: JSON). Lines may hold id, that of their return, too: where they are
+    already parted by it, duplicates are told without another shuffle."""
+    own = [F.col("id").alias("line_id")] if "id" in lines.columns else []
+    r = lines.select(*own, F.from_json("line", RETURN).alias("r")).select(*(["line_id"] if own else []), "r.*")
+    if own:
+        r = r.drop("id").withColumnRenamed("line_id", "id")
     size = lambda c: F.coalesce(F.size(c), F.lit(0))
-    r = r.withColumn("cells", size("observations") + size("stock") + size("laboratory")).withColumn("issues", head_faults(F.col("cells")))
-
-    def cell(block: str, *own: str) -> Column:
-        members = ("element", "age_band", "sex", "metric", "value", "unit", "positive")
-        one = lambda c, i: F.struct(F.lit(block).alias("block"), i.alias("place"), *((c[m] if m in own else F.lit(None).cast("string")).alias(m) for m in members), F.lit(None).cast(ISSUE.removeprefix("array<").removesuffix(">")).alias("head"))
-        return F.when(F.col("stops"), None).otherwise(F.transform(block, one))
-
-    # Issues of the whole return go along as cells of their own, so that texts are parsed and rows are made once.
-    none = F.lit(None).cast("string")
-    head = F.transform("issues", lambda x, i: F.struct(F.lit("head").alias("block"), i.alias("place"), *(none.alias(m) for m in ("element", "age_band", "sex", "metric", "value", "unit", "positive")), x.alias("head")))
-    blocks = [head, cell("observations", "element", "age_band", "sex", "value"), cell("stock", "element", "metric", "value", "unit"), cell("laboratory", "element", "value", "positive")]
-    r = r.withColumn("stops", stopped())
-    c = r.select("id", "form", "starts", "ends", F.explode(F.flatten(F.array_compact(F.array(*blocks)))).alias("c")).select("id", "form", "starts", "ends", "c.*")
-    return cell_faults(c)
+    r = r.withColumns({"observed": size("observations"), "stocked": size("stock"), "tested": size("laboratory")})
+    r = head_faults(r.withColumn("cells", F.col("observed") + F.col("stocked") + F.col("tested")))
+    blocks = F.flatten(F.array(*(F.coalesce(b, F.array().cast(f"array<{CELL}>")) for b in ("observations", "stock", "laboratory"))))
+    # All cells of a return in one array, the blocks one after another; without any it keeps one row, for its issues.
+    c = r.select("id", "form", (F.date_diff("ends", "starts") + 1).alias("days"), "observed", "stocked", F.when(F.size("issues") > 0, F.col("issues")).alias("issues"), F.when(~F.col("stops"), blocks).alias("x"))
+    c = c.select("id", "form", "days", "observed", "stocked", "issues", F.posexplode_outer("x").alias("at", "c"))
+    at, observed, stocked = F.col("at"), F.col("observed"), F.col("stocked")
+    block = F.when(at < observed, "observations").when(at < observed + stocked, "stock").when(at.isNotNull(), "laboratory")
+    place = F.when(at < observed, at).when(at < observed + stocked, at - observed).otherwise(at - observed - stocked)
+    return cell_faults(c.select("id", "form", "days", block.alias("block"), place.alias("place"), F.when(F.coalesce(at, F.lit(0)) == 0, F.col("issues")).alias("issues"), "c.*"))
 
 
 def return_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, line: an order as a return, its lines as cells, by their numbers' remainder of 3: observations, stock and tests. Forms,
     elements, bands and metrics come from the lines' columns, so many do not fit."""
     o, l = bind.table(spark, sf_dir, "orders"), bind.table(spark, sf_dir, "lineitem")
-    k, p, n = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber")
     pick = lambda column, *values: F.element_at(F.array(*map(F.lit, values)), (column % len(values) + 1).cast("int"))
-    value = F.when(F.col("l_tax") != 0, F.when(F.col("l_discount") == 0, F.lit("nil")).otherwise((F.col("l_quantity") - 3).cast("int").cast("string")))
-    cell = F.struct(n.alias("n"), F.struct(pick(p, "cases", "deaths", "attendance", "stays", "births", "tablets").alias("element"), pick(p, "under_5", "unspecified", "5_and_over", "unspecified", "under_5", "adult").alias("age_band"), pick(F.col("l_suppkey"), "male", "female", "unspecified", "x").alias("sex"), value.alias("value")).alias("o"), F.struct(pick(p, "tablets", "kits", "nets", "soap").alias("element"), pick(F.col("l_suppkey"), "on_hand", "days_out", "received", "lost").alias("metric"), value.alias("value"), F.when(p % 50 == 0, F.repeat(F.lit("u"), 65)).alias("unit")).alias("s"), F.struct(pick(p, "smear", "rapid", "culture").alias("element"), value.alias("value"), F.when(F.col("l_tax") != 0.05, F.floor(F.col("l_discount") * 100 * 3 - 2).cast("string")).otherwise(F.lit("few")).alias("positive")).alias("l"))
-    g = l.groupBy(k.alias("id")).agg(F.array_sort(F.collect_list(F.struct(n.alias("n"), p.alias("p"), F.col("l_suppkey").alias("s"), F.col("l_quantity").alias("q"), F.col("l_discount").alias("d"), F.col("l_tax").alias("t"), cell.alias("c")))).alias("x"))
-    of = lambda r, name: F.transform(F.filter("x", lambda x: x.n % 3 == r), lambda x: x["c"][name])
+    value = lambda x: F.when(x.t != 0, F.when(x.d == 0, F.lit("nil")).otherwise((x.q - 3).cast("int").cast("string"))).alias("value")
+    # Lines travel as numbers; each becomes the one cell that it stands for afterwards.
+    line = F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_quantity").alias("q"), F.col("l_discount").alias("d"), F.col("l_tax").alias("t"))
+    g = l.select(F.col("l_orderkey").alias("id"), line.alias("x")).groupBy("id").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    cells = {
+        "observations": (1, lambda x: F.struct(pick(x.p, "cases", "deaths", "attendance", "stays", "births", "tablets").alias("element"), pick(x.p, "under_5", "unspecified", "5_and_over", "unspecified", "under_5", "adult").alias("age_band"), pick(x.s, "male", "female", "unspecified", "x").alias("sex"), value(x))),
+        "stock": (2, lambda x: F.struct(pick(x.p, "tablets", "kits", "nets", "soap").alias("element"), pick(x.s, "on_hand", "days_out", "received", "lost").alias("metric"), value(x), F.when(x.p % 50 == 0, F.repeat(F.lit("u"), 65)).alias("unit"))),
+        "laboratory": (0, lambda x: F.struct(pick(x.p, "smear", "rapid", "culture").alias("element"), value(x), F.when(x.t != 0.05, F.floor(x.d * 100 * 3 - 2).cast("string")).otherwise(F.lit("few")).alias("positive"))),
+    }
+    of = lambda block: F.transform(F.filter("x", lambda x: x.n % 3 == cells[block][0]), cells[block][1]).alias(block)
     i, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
     form = F.when(i % 101 == 0, "yearly").when(i % 2 == 0, "weekly").otherwise("monthly")
     starts = F.when(i % 7 == 0, day).when(i % 2 == 0, F.date_trunc("week", day).cast("date")).otherwise(F.trunc(day, "month"))
     ends = F.when(i % 11 == 0, F.date_sub(starts, 1)).when(i % 13 == 0, F.date_add(starts, 9)).when(i % 2 == 0, F.date_add(starts, 6)).otherwise(F.last_day(starts))
     head = o.select(i.alias("id"), form.alias("form"), starts.alias("starts"), ends.alias("ends"), (i % 17).cast("int").alias("revision"), F.when(i % 19 == 0, F.repeat(F.lit("p"), 33)).alias("period_label"), F.when(i % 23 == 0, F.repeat(F.lit("s"), 129)).alias("source_reference"))
-    every = head.join(g, "id", "left").select(*head.columns, of(1, "o").alias("observations"), of(2, "s").alias("stock"), of(0, "l").alias("laboratory"))
+    every = head.join(g, "id", "left").select(*head.columns, *map(of, cells))
     return every.select("id", F.to_json(F.struct(*every.columns)).alias("line"))
 
 
